@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarifold.llm import hamming_join
+from tarifold.llm import hamming_join, rule_list, site_bayes
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op5_site_bayes_quality": site_bayes.query,
+        "op7_decision_list_rules": rule_list.query,
         "op10_hamming_near_dedup": hamming_join.query,
     }
 
