@@ -6,16 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarifold.llm import hamming_join, rule_list, site_bayes
+from tarifold.llm import hamming_join, mixing, packing, rule_list, site_bayes
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    import corpus_pipeline
+
     return {
+        "op3_mixing_budgets": mixing.query,
         "op5_site_bayes_quality": site_bayes.query,
         "op7_decision_list_rules": rule_list.query,
+        "op8_shortest_pack_first": packing.query,
         "op10_hamming_near_dedup": hamming_join.query,
+        "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_mixing_budgets": mixing.oracle()}
