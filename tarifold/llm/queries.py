@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarifold.llm import hamming_join, mixing, packing, rule_list, site_bayes
+from tarifold.llm import hamming_join, link_trust, merkle_audit, mixing, packing, rule_list, site_bayes
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,13 +14,19 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
     return {
         "op3_mixing_budgets": mixing.query,
+        "op4_merkle_fixity": merkle_audit.query,
         "op5_site_bayes_quality": site_bayes.query,
         "op7_decision_list_rules": rule_list.query,
         "op8_shortest_pack_first": packing.query,
+        "op9_link_trust": link_trust.query,
         "op10_hamming_near_dedup": hamming_join.query,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mixing_budgets": mixing.oracle()}
+    return {
+        "op3_mixing_budgets": mixing.oracle(),
+        "op4_merkle_fixity": merkle_audit.oracle(),
+        "op9_link_trust": link_trust.oracle(),
+    }
