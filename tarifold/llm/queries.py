@@ -6,16 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarifold.llm import hamming_join, link_trust, merkle_audit, mixing, packing, rule_list, site_bayes
+from tarifold.llm import hamming_join, link_trust, merkle_audit, mixing, packing, repair, rule_list, site_bayes, token_rollup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
     return {
+        "op2_token_rollups": token_rollup.query,
         "op3_mixing_budgets": mixing.query,
         "op4_merkle_fixity": merkle_audit.query,
         "op5_site_bayes_quality": site_bayes.query,
+        "op6_repair_shards": repair.query,
         "op7_decision_list_rules": rule_list.query,
         "op8_shortest_pack_first": packing.query,
         "op9_link_trust": link_trust.query,
@@ -26,6 +28,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_token_rollups": token_rollup.query,
         "op3_mixing_budgets": mixing.oracle(),
         "op4_merkle_fixity": merkle_audit.oracle(),
         "op9_link_trust": link_trust.oracle(),

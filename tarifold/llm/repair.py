@@ -27,6 +27,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,61 +38,66 @@ from tarifold.llm.common import table
 VOCABULARY, IDS = "byte_bpe_50k", 50_257
 SHARD_TOKENS = 1 << 20
 #: Least count of a replaced pair; least share of the symbols that another round must save.
-MIN_COUNT, MIN_GAIN = 8, 0.01
+MIN_COUNT, MIN_GAIN = 8, 0.02
+
+_LOW = 0xFFFFFFFF
 
 SCHEMA = "shard string, doc_ids array<bigint>, id_starts array<int>, symbol_starts array<int>, rules binary, lengths binary, symbols binary, n_ids bigint, n_symbols bigint, n_rules int"
 
 
 def _choose(codes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Pair codes by falling count such that no id is both a left and a right."""
-    order = np.lexsort((codes, -counts))
+    codes = codes[np.argsort(-counts, kind="stable")]  # they come sorted: ties by code
     left, right, out = set(), set(), []
-    for code in codes[order].tolist():
-        a, b = code >> 32, code & 0xFFFFFFFF
+    for k, (a, b) in enumerate(zip((codes & _LOW).tolist(), (codes >> 32).tolist())):
         if a != b and a not in right and b not in left:
             left.add(a)
             right.add(b)
-            out.append(code)
-    return np.array(out, np.int64)
+            out.append(k)
+    return codes[out]
 
 
 def compress(ids: np.ndarray, starts: np.ndarray, first: int = IDS, min_count: int = MIN_COUNT, min_gain: float = MIN_GAIN) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(symbols, symbol starts, rules, lengths) of the documents that start at starts.
 
     rules[k] is the pair that nonterminal first + k stands for, lengths[k] the
-    number of ids it expands to.
+    number of ids it expands to. A pair's code is the 8 bytes of two
+    neighbouring 4-byte ids, read in place.
     """
-    seq = ids.astype(np.int64)
-    begins = np.zeros(len(seq) + 1, np.int32)  # documents that begin at a symbol; several where some are empty
-    np.add.at(begins, starts, 1)
+    seq = np.ascontiguousarray(ids, "<i4")
+    begins = np.zeros(len(seq) + 1, bool)
+    begins[starts] = True
     rules, lengths = np.zeros((0, 2), np.int64), np.ones(first, np.int64)
     while len(seq) > 1:
-        pair = (seq[:-1] << 32) | seq[1:]
-        open_ = begins[1:-1] == 0
-        ordered = np.sort(pair[open_])
+        pair = np.ndarray((len(seq) - 1,), "<i8", seq, 0, (4,))
+        inside = ~begins[1:-1]
+        ordered = pair[inside]
         if not len(ordered):
             break
-        edge = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
+        ordered.sort()
+        edge = np.concatenate(([0], np.flatnonzero(ordered[1:] != ordered[:-1]) + 1))
         counts = np.diff(np.append(edge, len(ordered)))
         often = counts >= min_count
-        chosen = np.sort(_choose(ordered[edge[often]], counts[often]))
+        chosen = _choose(ordered[edge[often]], counts[often])
         if not len(chosen):
             break
-        at = np.searchsorted(chosen, pair)
-        at[at == len(chosen)] = 0
-        hit = (chosen[at] == pair) & open_
-        where = np.flatnonzero(hit)
         number = first + len(rules)
-        seq[where] = number + at[where]
+        left, right = chosen & _LOW, chosen >> 32
+        is_left, is_right = np.zeros(number, bool), np.zeros(number, bool)
+        is_left[left], is_right[right] = True, True
+        maybe = np.flatnonzero(is_left[seq[:-1]] & is_right[seq[1:]] & inside)
+        rule = pd.Index(chosen).get_indexer(pair[maybe])
+        where, rule = maybe[rule >= 0], rule[rule >= 0]
+        seq[where] = number + rule
         keep = np.ones(len(seq), bool)
         keep[where + 1] = False
-        rules = np.concatenate([rules, np.column_stack([chosen >> 32, chosen & 0xFFFFFFFF])])
-        lengths = np.concatenate([lengths, lengths[chosen >> 32] + lengths[chosen & 0xFFFFFFFF]])
-        before = len(seq)
-        seq, begins = seq[keep], begins[np.append(keep, True)]
+        rules = np.concatenate([rules, np.column_stack([left, right])])
+        lengths = np.concatenate([lengths, lengths[left] + lengths[right]])
+        seq, begins, before = seq[keep], begins[np.append(keep, True)], len(seq)
         if before - len(seq) < min_gain * before:
             break
-    return seq, np.repeat(np.arange(len(begins)), begins), rules, lengths[first:]
+    _, nth = np.unique(starts, return_inverse=True)
+    return seq, np.flatnonzero(begins)[nth], rules, lengths[first:]
 
 
 def decode(symbols: np.ndarray, rules: np.ndarray, lengths: np.ndarray, start: int = 0, stop: int | None = None, first: int = IDS) -> np.ndarray:
@@ -110,8 +116,8 @@ def decode(symbols: np.ndarray, rules: np.ndarray, lengths: np.ndarray, start: i
         width = np.where(rule, 2, 1)
         at = np.cumsum(width) - width
         out = np.empty(int(width.sum()), np.int64)
-        out[at] = np.where(rule, rules[part * rule - first * rule, 0] if len(rules) else 0, part)
-        out[at[rule] + 1] = rules[part[rule] - first, 1]
+        out[at] = part
+        out[at[rule]], out[at[rule] + 1] = rules[part[rule] - first, 0], rules[part[rule] - first, 1]
         part = out
     return part[start - skipped : stop - skipped]
 
