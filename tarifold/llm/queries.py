@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarifold.llm import hamming_join, link_trust, merkle_audit, mixing, packing, repair, rule_list, site_bayes, token_rollup
+from tarifold.llm import cover_tree, hamming_join, link_trust, merkle_audit, mixing, packing, repair, rule_list, site_bayes, token_rollup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
     return {
+        "op1_cover_tree_pairs": cover_tree.query,
         "op2_token_rollups": token_rollup.query,
         "op3_mixing_budgets": mixing.query,
         "op4_merkle_fixity": merkle_audit.query,
@@ -28,7 +29,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_cover_tree_pairs": cover_tree.query,
         "op2_token_rollups": token_rollup.query,
+        "op1_cover_tree_pairs": cover_tree.oracle(),
         "op3_mixing_budgets": mixing.oracle(),
         "op4_merkle_fixity": merkle_audit.oracle(),
         "op9_link_trust": link_trust.oracle(),
