@@ -14,6 +14,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 WS = "[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 ZERO_WIDTH = "[\u200b\u200c\u200d\ufeff]"
@@ -45,13 +46,13 @@ def norm_warehouse(c: Column) -> Column:
     return F.lower(norm_ws(c))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfkc(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for s in batches:
         yield s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfc(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for s in batches:
         yield s.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
@@ -76,7 +77,7 @@ def sku_tail(c: Column) -> Column:
 
 def sanitize_tag(c: Column) -> Column:
     """File tag: runs of anything but Latin and Cyrillic letters, digits, dot, underscore and minus become _."""
-    return F.regexp_replace(F.regexp_replace(text(c), "[ \\\\/()]", "_"), "[^0-9A-Za-zА-Яа-я._-]+", "_")
+    return F.regexp_replace(F.regexp_replace(strip(text(c)), "[ \\\\/()]", "_"), "[^0-9A-Za-zА-Яа-я._-]+", "_")
 
 
 def is_numberish(c: Column) -> Column:

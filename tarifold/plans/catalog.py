@@ -563,7 +563,7 @@ def oracle_sql() -> dict[str, str]:
         "q_json_array_stats": "with u as (select user_id, count(*) as n from events group by user_id) select count(*) * 4 as keys, count(*) * 2 as arrays, count(*) as objects, count(*) as values, sum(n + least(n, 2)) as items, sum(n + least(n, 2)) // (count(*) * 2) as average from u",
         "q_json_array_lengths": "with u as (select user_id, count(*) as n from events group by user_id) select 'list' as key, sum(n) as items, count(*) as n from u union all select 'pair', sum(least(n, 2)), count(*) from u",
         "q_norm_text": f"""select 'd' || doc_id as id, regexp_replace(regexp_replace(text, '{SPACES}+', ' ', 'g'), '^ | $', '', 'g') as text from documents union all select 'c' || conv_id || '-' || turn, regexp_replace(regexp_replace(text, '{SPACES}+', ' ', 'g'), '^ | $', '', 'g') from conversations""",
-        "q_sanitize_tag": "select doc_id, regexp_replace(regexp_replace(substr(text, 1, 60), '[ \\\\/()]', '_', 'g'), '[^0-9A-Za-zА-Яа-я._-]+', '_', 'g') as tag from documents",
+        "q_sanitize_tag": f"select doc_id, regexp_replace(regexp_replace(regexp_replace(substr(text, 1, 60), '^{SPACES}+|{SPACES}+$', '', 'g'), '[ \\\\/()]', '_', 'g'), '[^0-9A-Za-zА-Яа-я._-]+', '_', 'g') as tag from documents",
         "q_sha_keys": "select p_partkey, 'unknown_sku_' || substr(sha1(p_brand || '|' || p_name), 1, 12) as sku, sha256(p_partkey || '|' || p_brand) as fingerprint, substr(sha256(p_brand || ':' || p_partkey), 1, 16) as core from part",
         "q_effective_month": "select event_id, strftime(date_trunc('second', ts) - case when event_id % 2 = 0 then interval 3 hour else interval 0 hour end, '%Y-%m') as month from events",
         "q_sanity": "select l_orderkey, l_linenumber, 'SC001' as check_id, 'negative_quantity' as error_code from lineitem where l_quantity - 2 < 0 union all select l_orderkey, l_linenumber, 'SC002', 'negative_price' from lineitem where l_extendedprice - 5000 < 0",

@@ -25,7 +25,8 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 def read_ndjson(spark: SparkSession, path: str, schema: str | StructType) -> DataFrame:
     """Permissive: rows that don't parse have all nulls but _corrupt_record."""
     shape = StructType.fromDDL(schema) if isinstance(schema, str) else schema
-    return spark.read.schema(shape.add("_corrupt_record", "string")).json(path, mode="PERMISSIVE")
+    parsed = F.from_json("value", shape.add("_corrupt_record", "string"), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
+    return spark.read.text(path).filter(F.col("value") != "").select(parsed.alias("r")).select("r.*")
 
 
 def json_kind(value: Column) -> Column:
