@@ -127,9 +127,10 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str, keep: float = K
     """
     model = fit(spark, docs, sf_dir, fit_rows)
     rates = stash(site_rates(evidence(docs, model)), "rates").select(F.col("host").alias("__host"), F.col("section").alias("__section"), F.col("shift").alias("__shift"))
-    tagged = docs.withColumn("__host", _site("source")).withColumn("__section", _site("lang"))
+    # the score is a column below the join: there the expressions its features share are evaluated once, in a filter they are not
     score = F.greatest(F.lit(-12.0), F.least(F.lit(12.0), model.log_odds(F.col("text"))))
-    kept = join_lookup(tagged, rates, ["__host", "__section"]).filter(score + F.coalesce(F.col("__shift"), F.lit(0.0)) >= math.log(keep / (1 - keep)))
+    tagged = docs.select("*", _site("source").alias("__host"), _site("lang").alias("__section"), score.alias("__score"))
+    kept = join_lookup(tagged, rates, ["__host", "__section"]).filter(F.col("__score") + F.coalesce(F.col("__shift"), F.lit(0.0)) >= math.log(keep / (1 - keep)))
     return kept.select(*docs.columns)
 
 
