@@ -32,13 +32,13 @@ from pyspark.sql import functions as F
 from tarifold.llm.common import table
 from tarifold.llm.features import FIT_ROWS, NAMES, labelled_features, text_features
 
-#: Share of a rule's held-out cover that must be bad, and rows it must cover there.
+#: Share of a rule's cover that must be bad, on the held-out part and over all; rows it must cover in all.
 MIN_PRECISION, MIN_COVER = 0.9, 5
 MAX_CONDITIONS = 4
 #: Rules speak of a text's composition only: word length and size differ between honest languages and genres.
 RULE_NAMES = [k for k in NAMES if k not in ("log_words", "word_length")]
-#: Thresholds tried for a feature: this many quantiles of its values.
-QUANTILES = 128
+#: Thresholds tried for a feature: midpoints between this many quantiles of its values, which are observed values.
+QUANTILES = 2048
 
 
 @dataclass(frozen=True)
@@ -94,7 +94,7 @@ def learn(x: dict[str, np.ndarray], bad: np.ndarray, min_precision: float = MIN_
     grow = np.arange(size) % 3 != 2
     cuts = {}
     for name in x:
-        values = np.unique(np.quantile(x[name], np.linspace(0, 1, QUANTILES)))
+        values = np.unique(np.quantile(x[name], np.linspace(0, 1, QUANTILES), method="nearest"))
         cuts[name] = (values[:-1] + values[1:]) / 2
     left, rules = np.ones(size, bool), []
     while True:
@@ -108,14 +108,17 @@ def learn(x: dict[str, np.ndarray], bad: np.ndarray, min_precision: float = MIN_
         if not rule:
             return rules
 
-        def worth(r: Rule) -> tuple[float, float, int]:
-            inside = _holds(r, x, size) & left & ~grow
-            p, n = int((bad & inside).sum()), int((~bad & inside).sum())
-            return ((p - n) / (p + n) if p + n else -1.0, p / (p + n) if p + n else 0.0, p + n)
+        def cover(r: Rule, part: np.ndarray) -> tuple[int, int]:
+            inside = _holds(r, x, size) & left & part
+            return int((bad & inside).sum()), int((~bad & inside).sum())
 
-        pruned = max((rule[:k] for k in range(1, len(rule) + 1)), key=lambda r: (worth(r)[0], -len(r)))
-        _, precision, cover = worth(pruned)
-        if precision < min_precision or cover < min_cover:
+        def worth(r: Rule) -> float:
+            p, n = cover(r, ~grow)
+            return (p - n) / (p + n) if p + n else -1.0
+
+        pruned = max((rule[:k] for k in range(1, len(rule) + 1)), key=lambda r: (worth(r), -len(r)))
+        (p, n), (p_all, n_all) = cover(pruned, ~grow), cover(pruned, np.ones(size, bool))
+        if p < min_precision * max(p + n, 1) or p_all + n_all < min_cover or p_all < min_precision * (p_all + n_all):
             return rules
         rules.append(pruned)
         left &= ~_holds(pruned, x, size)
