@@ -50,7 +50,12 @@ def shortest_pack_first(histogram: dict[int, int], context: int = CONTEXT) -> li
         todo = histogram[length]
         while todo:
             if not spaces or -spaces[0] < length:
-                put((length,), todo, context - length)
+                # each new pack stays the shortest until it is full of this length
+                each = context // length
+                if todo >= each:
+                    put((length,) * each, todo // each, context - each * length)
+                if todo % each:
+                    put((length,) * (todo % each), 1, context - todo % each * length)
                 break
             space = -spaces[0]
             pattern, count = open_packs[space].pop()
