@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from tarifold.schemas import GRID
+from tarifold.session import ship
 
 
 def render_cell(value) -> str:
@@ -112,6 +113,7 @@ class GridSource(DataSource):
 
 
 def read_grid(spark: SparkSession, path: str, sheet: str | None = None, first_row: int = 1) -> DataFrame:
+    ship(spark)
     spark.dataSource.register(GridSource)
     reader = spark.read.format("grid").option("firstrow", str(first_row))
     if sheet is not None:
