@@ -88,18 +88,27 @@ def current_pointers(pointers: DataFrame, at: str | Column, keys: list[str]) ->
     return valid.groupBy(*keys).agg(F.max_by("artifact_id", F.struct("valid_from", "artifact_id")).alias("artifact_id"), F.max("valid_from").alias("valid_from"))
 
 
-def pointers_as_of(probes: DataFrame, pointers: DataFrame, keys: list[str], time: str) -> DataFrame:
-    """For each probe the pointer in force at its time: union, sort by time within the key, carry forward.
+def pointers_as_of(probes: DataFrame, pointers: DataFrame, keys: list[str], time: str, bin_seconds: int = 86_400) -> DataFrame:
+    """For each probe the pointer in force at its time: of those started by then the latest, if it has not ended.
 
-    Linear in both sides, where a range join would compare all pairs of a key.
+    A binned interval join. Cut off where the next one starts, the intervals of
+    a key don't overlap, so spreading them over time bins adds at most one row
+    per key and bin. Probes meet them by (key, bin), an equi-join whose
+    partitions stay small however few keys there are.
     """
-    right = pointers.select(*keys, F.col("valid_from").alias("__at"), F.struct("artifact_id", "valid_from", "valid_to").alias("__p"), F.lit(0).alias("__side"))
-    left = probes.select(*keys, F.col(time).alias("__at"), F.lit(None).alias("__p"), F.lit(1).alias("__side"), F.struct(*probes.columns).alias("__probe"))
-    both = right.withColumn("__probe", F.lit(None)).unionByName(left)
-    seen = F.last("__p", ignorenulls=True).over(Window.partitionBy(*keys).orderBy("__at", "__side").rowsBetween(Window.unboundedPreceding, 0))
-    out = both.withColumn("__p", seen).filter("__side = 1")
-    in_force = F.col("__p.valid_to").isNull() | (F.col("__p.valid_to") > F.col("__at"))
-    return out.select("__probe.*", F.when(in_force, F.col("__p.artifact_id")).alias("artifact_id"))
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    width = bin_seconds * 1_000_000
+    last = probes.agg(F.max(micros(time))).first()[0]
+    spans = pointers.select(*keys, "artifact_id", micros("valid_from").alias("__from"), micros("valid_to").alias("__to"))
+    following = F.lead("__from").over(Window.partitionBy(*keys).orderBy("__from", "artifact_id"))
+    spans = spans.withColumn("__end", F.least("__to", following)).filter(F.col("__from") <= F.lit(last)).filter(F.col("__end").isNull() | (F.col("__end") > F.col("__from")))
+    until = F.least(F.coalesce("__end", F.lit(last)), F.lit(last))
+    right = spans.withColumn("__bin", F.explode(F.sequence(F.floor(F.col("__from") / width), F.floor(until / width)))).alias("r")
+    left = probes.withColumn("__at", micros(time)).withColumn("__bin", F.floor(F.col("__at") / width)).alias("l")
+    on = (F.col("l.__bin") == F.col("r.__bin")) & (F.col("r.__from") <= F.col("l.__at")) & (F.col("r.__end").isNull() | (F.col("r.__end") > F.col("l.__at")))
+    for k in keys:
+        on = on & (F.col(f"l.{k}") == F.col(f"r.{k}"))
+    return left.join(right, on, "left").select(*(F.col(f"l.{c}") for c in probes.columns), F.col("r.artifact_id").alias("artifact_id"))
 
 
 def pointer_intervals(log: DataFrame, keys: list[str], time: str, tie: str) -> DataFrame:

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import io
 import os
+import shutil
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import SparkSession
@@ -11,22 +15,35 @@ from pyspark.sql import SparkSession
 _shipped: set[str] = set()
 
 
+def _archive() -> bytes:
+    root = os.path.dirname(os.path.abspath(__file__))
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as archive:
+        for at, _, names in os.walk(root):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    archive.write(os.path.join(at, name), os.path.relpath(os.path.join(at, name), os.path.dirname(root)))
+    return out.getvalue()
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the workers, once per application.
 
     Functions that run in Python workers are pickled by reference, so the
     workers must be able to import the package wherever the driver was started.
+    The archive lies in the shared folder of spark.checkpoint.dir; where that
+    is unset, in a folder of the driver's that is removed when it exits.
     """
     context = spark.sparkContext
     if context.applicationId in _shipped:
         return
-    root = os.path.dirname(os.path.abspath(__file__))
-    with tempfile.TemporaryDirectory() as folder:
-        path = os.path.join(folder, "tarifold.zip")
-        with zipfile.ZipFile(path, "w") as archive:
-            for at, _, names in os.walk(root):
-                for name in sorted(names):
-                    if name.endswith(".py"):
-                        archive.write(os.path.join(at, name), os.path.relpath(os.path.join(at, name), os.path.dirname(root)))
-        context.addPyFile(path)
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        shared = tempfile.mkdtemp(prefix="tarifold-code-")
+        atexit.register(shutil.rmtree, shared, True)
+    target = context._jvm.org.apache.hadoop.fs.Path(f"{shared.rstrip('/')}/code-{uuid.uuid4().hex}/tarifold.zip")
+    stream = target.getFileSystem(context._jsc.hadoopConfiguration()).create(target)
+    stream.write(_archive())
+    stream.close()
+    context.addPyFile(target.toString())
     _shipped.add(context.applicationId)
