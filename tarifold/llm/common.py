@@ -11,6 +11,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tarifold.session import ship
+
 #: Rows up to which a lookup side may be broadcast; larger sides are shuffled.
 BROADCAST_ROWS = 100_000
 
@@ -19,6 +21,7 @@ WORD = "[^ \\t\\n\\r\\f\\x0B]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -59,6 +62,7 @@ def stash(df: DataFrame, tag: str) -> DataFrame:
     and outlives any executor.
     """
     spark = df.sparkSession
+    ship(spark)
     path = new_path(spark, tag)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
