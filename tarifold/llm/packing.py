@@ -108,9 +108,10 @@ def pack(docs: DataFrame, context: int = CONTEXT) -> DataFrame:
     slot_type = "array<struct<rank:bigint,pack:bigint,offset:int,pattern:int>>"
     plan = spark.createDataFrame(sorted(of_length.items()), f"length int, slots {slot_type}")
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    plan = sizes.select("length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")).join(F.broadcast(plan), "length")  # at most `context` rows
+    base = sizes.select("length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     ranked = cut.withColumn("rank", F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "piece")).cast("long") - 1)
-    found = ranked.join(plan, ["length", "bucket"]).withColumn("rank", F.col("rank") + F.col("base"))
+    # the base joins on the window's own partitioning; the slots are at most `context` rows
+    found = ranked.join(base, ["length", "bucket"]).withColumn("rank", F.col("rank") + F.col("base")).join(F.broadcast(plan), "length")
     slot = F.expr("element_at(filter(slots, s -> s.rank <= rank), -1)")
     found = found.withColumn("slot", slot)
     return found.select("doc_id", "piece", "start", "length", (F.col("slot.pack") + F.col("rank") - F.col("slot.rank")).alias("pack"), F.col("slot.offset").alias("offset"), F.col("slot.pattern").alias("pattern"))

@@ -84,7 +84,7 @@ def evidence(docs: DataFrame, model: Logistic) -> DataFrame:
     )
 
 
-def _strength(table: DataFrame, rate: Column, centre: Column, n: Column) -> Column:
+def _strength(rate: Column, centre: Column, n: Column) -> Column:
     """Method-of-moments strength of a Beta prior around centre, in pseudo-documents."""
     spread = F.sum(n * F.pow(rate - centre, 2)) / F.sum(n)
     within = F.sum(centre * (1 - centre)) / F.sum(n)
@@ -105,10 +105,10 @@ def site_rates(scored: DataFrame) -> DataFrame:
     total = paths.agg(F.sum("n").alias("n"), F.sum("good").alias("good")).first()
     base = (total["good"] + 0.5) / (total["n"] + 1) if total["n"] else 0.5
     n, rate = F.col("host_n"), F.col("host_good") / F.col("host_n")
-    k_host = hosts.agg(_strength(hosts, rate, F.lit(base), n).alias("k")).first()["k"] or 1.0
+    k_host = hosts.agg(_strength(rate, F.lit(base), n).alias("k")).first()["k"] or 1.0
     hosts = hosts.withColumn("host_rate", (F.col("host_good") + k_host * base) / (n + k_host))
     both = paths.join(hosts, "host")
-    k_path = both.agg(_strength(both, F.col("good") / F.col("n"), F.col("host_rate"), F.col("n")).alias("k")).first()["k"] or 1.0
+    k_path = both.agg(_strength(F.col("good") / F.col("n"), F.col("host_rate"), F.col("n")).alias("k")).first()["k"] or 1.0
     rate = (F.col("good") + k_path * F.col("host_rate")) / (F.col("n") + k_path)
     shift = F.log(rate / (1 - rate)) - F.lit(math.log(base / (1 - base)))
     return both.select("host", "section", "n", "host_rate", rate.alias("path_rate"), shift.alias("shift"))
