@@ -123,3 +123,42 @@ class Registry:
                 plans = [] if made is None else [made] if isinstance(made, Plan) else list(made)
                 return (plans, None) if plans else ([], "no plan")
         return [], "no adapter"
+
+
+@dataclass(frozen=True)
+class ColumnRule:
+    """How a field is recognised: kind header_exact, header_contains, value_pattern or column_position."""
+
+    field: str
+    kind: str
+    value: str | int
+    priority: int = 0
+
+
+KINDS = ["header_exact", "header_contains", "value_pattern", "column_position"]
+
+
+def map_columns(header: list[str], sample: list[list[str]], rules: list[ColumnRule]) -> dict[int, tuple[str, ColumnRule]]:
+    """1-based column -> (field, rule). Exact beats contains beats pattern beats position; then the higher priority.
+
+    header and sample are the first rows of one sheet, on the driver.
+    """
+    import re
+
+    low = [" ".join(h.split()).lower() for h in header]
+    out: dict[int, tuple[str, ColumnRule]] = {}
+    taken: set[str] = set()
+    for rule in sorted(rules, key=lambda r: (KINDS.index(r.kind), -r.priority)):
+        if rule.field in taken:
+            continue
+        for at in range(1, len(header) + 1):
+            values = [row[at - 1] for row in sample if at <= len(row) and row[at - 1] != ""]
+            met = {
+                "header_exact": low[at - 1] == str(rule.value).lower(), "header_contains": str(rule.value).lower() in low[at - 1],
+                "value_pattern": bool(values) and rule.kind == "value_pattern" and all(re.fullmatch(str(rule.value), v) for v in values), "column_position": rule.value == at,
+            }[rule.kind]
+            if met and at not in out:
+                out[at] = (rule.field, rule)
+                taken.add(rule.field)
+                break
+    return out

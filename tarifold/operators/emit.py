@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from tarifold.functions import hashing, numeric
 from tarifold.functions.text import norm_warehouse, norm_ws, normalize_sku, sku_tail, text
+from tarifold.sources.grid import header_index
 from tarifold.sources.mapping import Mapping
 
 NDJSON_CONTRACT, EMITTER = "1.0.0", "1.0.0"
@@ -27,12 +28,46 @@ def cell(position: int) -> Column:
     return F.coalesce(F.get("cells", position - 1), F.lit("")) if position > 0 else F.lit("")
 
 
-def price_rows(grid: DataFrame, mapping: Mapping, header: list[str] | None = None) -> DataFrame:
-    """Price rows of a grid. header: names of warehouses are the header's cells where it reaches."""
+#: Headers of the header-addressed catalogue, by role.
+HEADED = {"goods_id": "Код товара (goods_id)", "name": "Номенклатура", "article": "Артикул", "price_raw": "Цена", "warehouse": "Склад", "qty_raw": "Остаток на складе"}
+
+
+def headed_rows(grid: DataFrame, header_row: int = 6, data_row: int | None = None, names: dict[str, str] = HEADED) -> tuple[DataFrame | None, str | None]:
+    """(rows with one column per role, None), or (None, reason) for a sheet without that header.
+
+    The header row alone is read by the driver; of equal headers the last counts.
+    """
+    head = grid.filter(F.col("row_no") == header_row).first()
+    if head is None:
+        return None, "no header row"
+    at = header_index(head["cells"])
+    missing = [n for n in names.values() if n not in at]
+    if missing:
+        return None, f"missing columns: {missing}"
+    rows = grid.filter(F.col("row_no") >= (data_row or header_row + 1)).select("row_no", *(cell(at[n]).alias(k) for k, n in names.items()))
+    return rows.withColumn("goods_id", F.nullif(F.trim("goods_id"), F.lit(""))), None
+
+
+def sheet_rows(grid: DataFrame, columns: dict[str, int], first_row: int = 2) -> DataFrame:
+    """Positional sheet: one column per role at its 1-based position."""
+    return grid.filter(F.col("row_no") >= first_row).select("row_no", *(cell(n).alias(k) for k, n in columns.items()))
+
+
+#: Positions of the two known positional layouts.
+TYRES = {"name": 1, "sku_raw": 2, "brand": 3, "qty_raw": 12, "price_raw": 13}
+WHEELS = {"name": 1, "sku_raw": 2, "brand": 3, "qty_raw": 14, "price_raw": 15}
+
+
+def price_rows(grid: DataFrame, mapping: Mapping, header: list[str] | None = None, extra: dict[str, int] | None = None) -> DataFrame:
+    """Price rows of a grid.
+
+    header: names of warehouses are the header's cells where it reaches.
+    extra: further columns to carry along (retail prices and the like), by position.
+    """
     names = [header[w.column - 1] if header is not None and w.column <= len(header) else w.name for w in mapping.warehouses]
     stock = F.array(*(F.struct(F.lit(n).alias("name"), cell(w.column).alias("qty_raw")) for n, w in zip(names, mapping.warehouses)))
     rows = grid.filter(F.col("row_no") >= mapping.data_row)
-    return rows.select("row_no", *(cell(mapping.columns[k]).alias({"price": "price_raw"}.get(k, k)) for k in ("article_primary", "article_fallback", "brand", "name", "price")), stock.alias("warehouses"))
+    return rows.select("row_no", *(cell(mapping.columns[k]).alias({"price": "price_raw"}.get(k, k)) for k in ("article_primary", "article_fallback", "brand", "name", "price")), *(cell(n).alias(k) for k, n in (extra or {}).items()), stock.alias("warehouses"))
 
 
 def all_empty() -> Column:

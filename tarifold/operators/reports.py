@@ -71,3 +71,28 @@ def union_contracts(*lines: DataFrame) -> DataFrame:
     for more in lines[1:]:
         out = out.unionByName(more)
     return out
+
+
+def content_checksum(items: DataFrame) -> DataFrame:
+    """One row that tells whether two snapshots hold the same items: count and an order-free digest; ids don't count."""
+    digest = F.xxhash64(F.to_json(F.struct("supplier_id", "raw", "quality_flags"), {"ignoreNullFields": "false"}))
+    return items.agg(F.count("*").alias("items"), F.coalesce(F.sum(digest.cast("decimal(38,0)")), F.lit(0)).cast("string").alias("digest"))
+
+
+def reprocessed(items: DataFrame, snapshot_id: str, supplier_id: str | None = None, signatures: DataFrame | None = None) -> DataFrame:
+    """Items of a new snapshot: of one supplier, or those with a given conflict signature (item_id)."""
+    found = items if supplier_id is None else items.filter(F.col("supplier_id") == supplier_id)
+    if signatures is not None:
+        found = found.join(signatures.select(F.col("item_id").alias("id")).distinct(), "id", "left_semi").select(*items.columns)
+    return found.withColumns({"snapshot_id": F.lit(snapshot_id), "id": F.sha2(F.concat_ws("|", F.lit(snapshot_id), "id"), 256)})
+
+
+def reviewed_flags(items: DataFrame, audit: DataFrame, states: DataFrame) -> DataFrame:
+    """Items with needs_review where they have a conflict and the block flag where their supplier is blocked.
+
+    states: supplier_id, state (normal, degraded, blocked), one row each.
+    """
+    doubted = audit.select(F.col("item_id").alias("id")).distinct().withColumn("__doubt", F.lit("needs_review"))
+    joined = items.join(doubted, "id", "left").join(states.select("supplier_id", F.when(F.col("state") == "blocked", "blocked_for_aggregation").alias("__block")), "supplier_id", "left")
+    flags = F.array_union(F.coalesce("quality_flags", F.array().cast("array<string>")), F.array_compact(F.array("__doubt", "__block")))
+    return joined.withColumn("quality_flags", flags).select(*items.columns)

@@ -87,3 +87,18 @@ def test_relational_helpers(spark):
     got = {(r["key"], str(r["at"])[:10]): r["artifact_id"] for r in offers.pointers_as_of(probes, pointers, ["key"], "at").collect()}
     assert got == {("k", "2025-12-31"): None, ("k", "2026-01-01"): "a", ("k", "2026-01-02"): "a", ("k", "2026-01-03"): "b", ("z", "2026-01-03"): None}
     assert offers.current_pointers(pointers, "2026-01-02", ["key"]).first()["artifact_id"] == "a"
+
+
+def test_reprocessing(spark, store):
+    from tarifold.operators import reports
+
+    items = store.read("items")
+    again = reports.reprocessed(items, "s2", supplier_id="s")
+    assert reports.content_checksum(items).first() == reports.content_checksum(again).first()
+    assert again.select("id").intersect(items.select("id")).isEmpty()
+    marked = spark.createDataFrame([("i1",)], "item_id string")
+    assert reports.reprocessed(items, "s3", signatures=marked).count() == 1
+    assert reports.content_checksum(items.filter("id <> 'i1'")).first() != reports.content_checksum(items).first()
+    states = spark.createDataFrame([("s", "blocked")], "supplier_id string, state string")
+    flags = {r["id"]: r["quality_flags"] for r in reports.reviewed_flags(items, marked, states).collect()}
+    assert flags["i1"] == ["x", "needs_review", offers.BLOCKED] and flags["i2"] == [offers.BLOCKED] and flags["i3"] == [offers.BLOCKED]

@@ -218,3 +218,27 @@ def test_stream_accepts_a_run_once(spark, tmp_path):
     stream = inbox.first_of_each_run(spark.readStream.schema(frame.schema).parquet(source))
     stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination(60)
     assert sorted(r["run_id"] for r in spark.read.parquet(out).collect()) == ["r1", "r2"]
+
+
+def test_headed_and_positional_rows(spark):
+    head = ["x", *emit.HEADED.values()]
+    rows = [("f", "s", 6, head), ("f", "s", 7, ["", "12", "n", "a", "1 200,5", "w", "> 4"]), ("f", "s", 8, ["", "", "n", "a", "1", "w", "4"]), ("f", "s", 9, ["", "13", "n", "a", "0", "w", "4"])]
+    found, reason = emit.headed_rows(spark.createDataFrame(rows, schemas.GRID))
+    assert reason is None and [(r["fate"], r["qty"], r["price"]) for r in emit.emit_headed(found).orderBy("row_no").collect()] == [("emit", 4, 1200.5), ("no_id", 4, 1.0), ("bad_price", 4, 0.0)]
+    assert emit.headed_rows(spark.createDataFrame(rows[1:], schemas.GRID)) == (None, "no header row")
+    assert emit.headed_rows(spark.createDataFrame([("f", "s", 6, head[:3])], schemas.GRID))[1].startswith("missing columns")
+    sheet = [("f", "s", 1, ["h"]), ("f", "s", 2, ["n", " k ", "b", *[""] * 8, "5", "100,0"]), ("f", "s", 3, ["n", "k", "b", *[""] * 8, "5", "0"])]
+    lines = emit.emit_sheet(emit.sheet_rows(spark.createDataFrame(sheet, schemas.GRID), emit.TYRES), zero_price_apart=True).orderBy("row_no").collect()
+    assert [(r["sku"], r["price"], r["qty"], r["fate"]) for r in lines] == [("k", "100", "5", "emit"), ("k", "", "5", "price_zero")]
+
+
+def test_extra_columns_are_carried(spark, price_grid):
+    rows = emit.price_rows(price_grid, mapping.parse_mapping(MAPPING), extra={"retail_raw": 13})
+    assert "retail_raw" in emit.explode_stocked(rows, "Main").columns
+
+
+def test_column_rules():
+    r = dispatch.ColumnRule
+    rules = [r("price", "header_contains", "цена", 1), r("price", "header_exact", "цена опт"), r("qty", "value_pattern", "[0-9]+"), r("name", "column_position", 1)]
+    got = dispatch.map_columns(["Имя", "Цена  розн", "цена опт", "x"], [["a", "1.5", "2.5", "7"], ["b", "1.5", "2.5", ""]], rules)
+    assert {k: v[0] for k, v in got.items()} == {3: "price", 4: "qty", 1: "name"}
