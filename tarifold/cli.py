@@ -30,9 +30,10 @@ def parser() -> argparse.ArgumentParser:
     command("emit", input=True, mapping=True, effective_at=True, run_id=True, out_dir=True, supplier=True, parser=True)
     command("gate", stats=True, out=False, baseline=False)
     command("ingest", good=True, stats=True, verdict=True, mapping=False, root=True)
-    command("curate", manifest=True, out_dir=True).add_argument("--max-dropped-samples", type=int, default=50)
+    curate = command("curate", manifest=True, out_dir=True)
+    curate.add_argument("--max-dropped-samples", default=50, type=int)
     command("run", input=True, mapping=True, effective_at=True, run_id=True, root=True, supplier=True, parser=True, baseline=False)
-    command("batch", root=True, out=True, run_id=True, mapping=True, effective_at=True, work=True, only_supplier=False).add_argument("--known-only", action="store_true")
+    command("batch", root=True, out=True, run_id=True, mapping=True, effective_at=True, work=True, only_supplier=False).add_argument(*["--known-only"], action="store_true")
     return top
 
 

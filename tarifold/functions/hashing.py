@@ -43,7 +43,7 @@ def sha256_file(path: str, lf: bool = False) -> str:
             if lf:
                 chunk = held + chunk
                 held = b"\r" if chunk.endswith(b"\r") else b""
-                chunk = chunk[: len(chunk) - len(held)].replace(b"\r\n", b"\n")
+                chunk = b"\n".join(chunk[: len(chunk) - len(held)].split(b"\r\n"))
             digest.update(chunk)
     digest.update(held)
     return digest.hexdigest()
@@ -54,7 +54,7 @@ def utc_text(value: str) -> str:
     at = datetime.fromisoformat(value)
     if at.tzinfo is None:
         raise ValueError(f"time without offset: {value}")
-    return at.astimezone(UTC).isoformat().replace("+00:00", "Z")
+    return at.astimezone(UTC).replace(tzinfo=None).isoformat() + "Z"
 
 
 def utc_month(value: str) -> str:

@@ -133,6 +133,6 @@ def normalize_value(raw: Column, kind: str) -> Column:
     plain = _double(s)
     if kind == "price":
         return plain
-    nothing = s.isin("", "—", "-", "нет", "отсутствует", "неограничено")
+    nothing = s.isin("неограничено", "отсутствует", "нет", "-", "—", "")
     bound = F.coalesce(F.nullif(F.regexp_extract(s, "^>=?([0-9.]+)$", 1), F.lit("")), F.nullif(F.regexp_extract(s, "^([0-9.]+)(?:[+]|-[0-9.]+)$", 1), F.lit("")))
     return F.when(nothing, F.lit(None).cast("double")).otherwise(F.coalesce(plain, _double(bound)))

@@ -77,11 +77,11 @@ def sku_tail(c: Column) -> Column:
 
 def sanitize_tag(c: Column) -> Column:
     """File tag: runs of anything but Latin and Cyrillic letters, digits, dot, underscore and minus become _."""
-    return F.regexp_replace(F.regexp_replace(strip(text(c)), "[ \\\\/()]", "_"), "[^0-9A-Za-zА-Яа-я._-]+", "_")
+    return F.regexp_replace(F.regexp_replace(strip(text(c)), "[ \\\\/()]", "_"), "[^-._0-9a-zA-Zа-яА-Я]+", "_")
 
 
 def is_numberish(c: Column) -> Column:
-    return strip(text(c)).rlike("^-?[0-9]+([.,][0-9]+)?$")
+    return strip(text(c)).rlike("^-?[0-9]+(?:[,.][0-9]+)?$")
 
 
 def nonempty_count(cells: Column) -> Column:

@@ -12,8 +12,8 @@ from tarifold.functions.text import is_numberish, nonempty_count, norm_header
 #: Name fragment -> layout, first match wins; the default comes last.
 NAME_LAYOUTS = [("груз", "truck"), ("диск", "wheels"), ("комплект", "fittings"), ("шин", "tyres")]
 #: Words that a header row tends to hold, and those of its second row.
-HEADER_WORDS = ["вид", "резьба", "длина", "ключ", "посад", "секрет", "артикул", "код", "марка", "бренд", "наименование", "опт", "рознич", "миц", "склад", "остат", "заказ"]
-SECOND_WORDS = ["цена", "остаток", "шт", "руб", "заказ"]
+HEADER_WORDS = sorted("артикул бренд вид длина заказ ключ код марка миц наименование опт остат посад резьба рознич секрет склад".split())
+SECOND_WORDS = ["заказ", "остаток", "руб", "цена", "шт"]
 
 
 def layout_of_name(name: Column, layouts: list[tuple[str, str]] = NAME_LAYOUTS, default: str = "tyres") -> Column:

@@ -114,7 +114,7 @@ def typed_contract(lines: DataFrame, run: dict[str, str]) -> DataFrame:
     """Good lines in the shape of the typed contract. run: supplier_id, parser_id, mapping_version, mapping_hash, run_id, effective_at."""
     fixed = {"ndjson_contract_version": NDJSON_CONTRACT, "emitter_version": EMITTER, **run}
     return good_lines(lines).select(
-        *(F.lit(fixed[k]).alias(k) for k in ("ndjson_contract_version", "emitter_version", "supplier_id", "parser_id", "mapping_version", "mapping_hash", "run_id", "effective_at")), F.col("sku").alias("sku_candidate_key"),
+        *(F.lit(fixed[k]).alias(k) for k in "ndjson_contract_version emitter_version supplier_id parser_id mapping_version mapping_hash run_id effective_at".split()), F.col("sku").alias("sku_candidate_key"),
         F.struct(F.col("article").alias("supplier_article"), text(F.col("brand")).alias("brand_raw"), text(F.col("name")).alias("name_raw"), "price_raw", "qty_raw", F.col("warehouse").alias("supplier_warehouse_name")).alias("raw"),
         F.struct("price", "qty").alias("parsed"), F.col("flags").alias("quality_flags"), F.struct(F.col("row_no").cast("int").alias("source_row_number")).alias("_meta"),
     )
@@ -230,7 +230,7 @@ def emit_sheet(rows: DataFrame, zero_price_apart: bool = False) -> DataFrame:
     out = rows.withColumns({"sku": sku, "__p": price, "__q": qty})
     fate = F.when(F.col("sku") == "", "missing_sku")
     if zero_price_apart:
-        fate = fate.when(norm_ws(F.col("price_raw")).isin("0", "0.0", "0,0"), "price_zero").when(F.col("__p.value") == "", "price_missing")
+        fate = fate.when(norm_ws(F.col("price_raw")).rlike("^0([.,]0)?$"), "price_zero").when(F.col("__p.value") == "", "price_missing")
     else:
         fate = fate.when(F.col("__p.value") == "", "bad_price")
     fate = fate.when((F.col("__q.value") == "") & (norm_ws(F.col("qty_raw")) == ""), "qty_empty").when(F.coalesce(F.col("__q.value").try_cast("decimal(38,0)"), F.lit(0)) <= 0, "qty_invalid").otherwise("emit")

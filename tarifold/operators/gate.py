@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 PASS, WARN, FAIL = "PASS", "WARN", "FAIL"
 EXIT = {PASS: 0, WARN: 10, FAIL: 20}
-REQUIRED = ["run_id", "supplier_id", "parser_id", "file_readable", "structure_ok", "good_rows", "bad_rows", "exploded_lines", "explosion_factor_exact", "source_rows_read", "flags_counts"]
+REQUIRED = sorted("bad_rows exploded_lines explosion_factor_exact file_readable flags_counts good_rows parser_id run_id source_rows_read structure_ok supplier_id".split())
 
 
 def metric_reasons(stats: DataFrame, baseline: DataFrame) -> DataFrame:

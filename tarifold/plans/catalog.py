@@ -558,12 +558,12 @@ def oracle_sql() -> dict[str, str]:
             select h.file, coalesce(string_agg(t, '#' order by i), '') as tokens from heads h left join f using (file) group by h.file""",
         "q_required_missing": f"with {HEADS_SQL} select file, array_to_string(list_filter(['the', 'of', 'de', 'der'], lambda x: not list_contains(row1, x)), ',') as missing from heads",
         "q_layout_of_name": "select p_partkey, case when contains(lower(p_name), 'ring') then 'rings' when contains(lower(p_name), 'bolt') then 'bolts' when contains(lower(p_name), 'widget') then 'widgets' else 'other' end as layout from part",
-        "q_header_score": f"""with {HEADS_SQL}, c as (select file, cells[1:8] as cells from heads0), s as (select file, lower(array_to_string(list_filter(cells, lambda x: trim(x) <> ''), ' ')) as low, len(list_filter(cells, lambda x: {_norm_sql("x")} <> '')) as filled, len(list_filter(cells, lambda x: regexp_matches({_norm_sql("x")}, '^-?[0-9]+([.,][0-9]+)?$'))) as numbers from c)
+        "q_header_score": f"""with {HEADS_SQL}, c as (select file, cells[1:8] as cells from heads0), s as (select file, lower(array_to_string(list_filter(cells, lambda x: trim(x) <> ''), ' ')) as low, len(list_filter(cells, lambda x: {_norm_sql("x")} <> '')) as filled, len(list_filter(cells, lambda x: regexp_matches({_norm_sql("x")}, '^-?[0-9]+(?:[,.][0-9]+)?$'))) as numbers from c)
             select file, (case when filled > 0 then filled * 10 + 15 * (contains(low, 'the')::int + contains(low, 'de')::int + contains(low, 'und')::int) - numbers * 4 end)::int as score from s""",
         "q_json_array_stats": "with u as (select user_id, count(*) as n from events group by user_id) select count(*) * 4 as keys, count(*) * 2 as arrays, count(*) as objects, count(*) as values, sum(n + least(n, 2))::bigint as items, (sum(n + least(n, 2)) // (count(*) * 2))::bigint as average from u",
         "q_json_array_lengths": "with u as (select user_id, count(*) as n from events group by user_id) select 'list' as key, sum(n)::bigint as items, count(*) as n from u union all select 'pair', sum(least(n, 2))::bigint, count(*) from u",
         "q_norm_text": f"""select 'd' || doc_id as id, regexp_replace(regexp_replace(text, '{SPACES}+', ' ', 'g'), '^ | $', '', 'g') as text from documents union all select 'c' || conv_id || '-' || turn, regexp_replace(regexp_replace(text, '{SPACES}+', ' ', 'g'), '^ | $', '', 'g') from conversations""",
-        "q_sanitize_tag": f"select doc_id, regexp_replace(regexp_replace(regexp_replace(substr(text, 1, 60), '^{SPACES}+|{SPACES}+$', '', 'g'), '[ \\\\/()]', '_', 'g'), '[^0-9A-Za-zА-Яа-я._-]+', '_', 'g') as tag from documents",
+        "q_sanitize_tag": f"select doc_id, regexp_replace(regexp_replace(regexp_replace(substr(text, 1, 60), '^{SPACES}+|{SPACES}+$', '', 'g'), '[ \\\\/()]', '_', 'g'), '[^-._0-9a-zA-Zа-яА-Я]+', '_', 'g') as tag from documents",
         "q_sha_keys": "select p_partkey, 'unknown_sku_' || substr(sha1(p_brand || '|' || p_name), 1, 12) as sku, sha256(p_partkey || '|' || p_brand) as fingerprint, substr(sha256(p_brand || ':' || p_partkey), 1, 16) as core from part",
         "q_effective_month": "select event_id, strftime(date_trunc('second', ts) - case when event_id % 2 = 0 then interval 3 hour else interval 0 hour end, '%Y-%m') as month from events",
         "q_sanity": "select l_orderkey, l_linenumber, 'SC001' as check_id, 'negative_quantity' as error_code from lineitem where l_quantity - 2 < 0 union all select l_orderkey, l_linenumber, 'SC002', 'negative_price' from lineitem where l_extendedprice - 5000 < 0",

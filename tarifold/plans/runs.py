@@ -38,13 +38,13 @@ class RunError(RuntimeError):
 
 def dump(document: dict) -> str:
     """Canonical JSON: sorted keys, no blanks, text as it is."""
-    return json.dumps(document, sort_keys=True, ensure_ascii=False, separators=(",", ":"))
+    return json.dumps(document, separators=(",", ":"), sort_keys=True, ensure_ascii=False)
 
 
 def write_text(path: str, content: str) -> None:
     """Write beside the target, then rename over it."""
     os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
-    with open(f"{path}.tmp", "w", encoding="utf-8", newline="\n") as file:
+    with open(f"{path}.tmp", mode="w", newline="\n", encoding="utf-8") as file:
         file.write(content)
     os.replace(f"{path}.tmp", path)
 
@@ -139,11 +139,11 @@ def ingest_run(spark: SparkSession, good: str, stats_path: str, verdict_path: st
             segment = f"{root}/facts/{stats['supplier_id']}/{stats['parser_id']}/{utc_month(stats['effective_at'])}/{run_id}.ndjson"
             write_lines(lines.orderBy("line_no").select("value"), segment)
             lines.unpersist()
-            now = datetime.now(UTC).isoformat().replace("+00:00", "Z")
+            now = utc_text(datetime.now(UTC).isoformat())
             manifest_path = f"{root}/manifests/{run_id}.json"
             manifest = expected | {
                 "ingestion_version": "1.0.0", "counts": {"lines_written": n}, "ingested_at": now, "paths": {"segment": segment, "stats": stats_path, "verdict": verdict_path, "mapping": mapping_path, "accepted_marker": marker},
-                "sha256": {"segment": sha256_file(segment), "good_input": sha256_file(good), "stats": sha256_file(stats_path), "verdict": sha256_file(verdict_path), "mapping_lf": sha256_file(mapping_path, lf=True) if mapping_path else None},
+                "sha256": {k: sha256_file(p) for k, p in {"segment": segment, "good_input": good, "stats": stats_path, "verdict": verdict_path}.items()} | {"mapping_lf": sha256_file(mapping_path, lf=True) if mapping_path else None},
             }
             write_text(manifest_path, dump(manifest))
             write_text(marker, dump({"status": "accepted", "run_id": run_id, "ingested_at": now, "manifest_ref": manifest_path}))
@@ -220,4 +220,4 @@ def batch_run(spark: SparkSession, root: str, registry: Registry, execute, run_i
 
 def skipped(spark: SparkSession, reason: str) -> tuple[DataFrame, dict]:
     """Output of a sheet that is left out: no lines, and stats that say why."""
-    return spark.createDataFrame([], schemas.ITEM_LINE), {"status": "SKIP", "reason": reason, "rows_seen": 0, "rows_emitted": 0}
+    return spark.createDataFrame([], schemas.ITEM_LINE), {"rows_seen": 0, "rows_emitted": 0, "reason": reason, "status": "SKIP"}

@@ -24,7 +24,7 @@ POINTERS = "environment string, channel string, artifact_id string, valid_from t
 OFFERS = "artifact_id string, offer_id string, canonical_item_id string, supplier_id string, warehouse_key string, sku_candidate_key string, price decimal(38,6), qty int, currency string, quality_flags array<string>"
 
 ROW_AUDIT = "item_id string, field string, l1_value string, l2_value string, conflict_type string, signature_core string, supplier_id string, seen_at timestamp"
-CANONICAL_REQUIRED = ["supplier", "source_file", "source_table", "row_index", "qty_column_index", "raw"]
+CANONICAL_REQUIRED = "supplier source_file source_table row_index qty_column_index raw".split()
 CANONICAL_ALLOWED = [*CANONICAL_REQUIRED, "article", "brand", "name", "qty", "price", "currency", "warehouse"]
 REJECTED_REQUIRED = [*CANONICAL_REQUIRED, "error"]
-TYPED_REQUIRED = ["ndjson_contract_version", "emitter_version", "supplier_id", "parser_id", "mapping_version", "mapping_hash", "run_id", "effective_at", "sku_candidate_key", "raw", "parsed", "quality_flags", "_meta"]
+TYPED_REQUIRED = sorted(part.split()[0] for part in TYPED_LINE.replace("<", " ").split(", ") if " " in part)

@@ -48,7 +48,7 @@ POSITIONS = {"article_primary": 7, "article_fallback": 8, "brand": 9, "name": 10
 
 
 def hash_lf(data: bytes) -> str:
-    return hashlib.sha256(data.replace(b"\r\n", b"\n")).hexdigest()
+    return hashlib.sha256(b"\n".join(data.split(b"\r\n"))).hexdigest()
 
 
 def _position(value: Any, role: str, strict: bool) -> int:

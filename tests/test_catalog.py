@@ -19,7 +19,7 @@ def test_nfkc_against_python(spark, sf):
 
     def want(text):
         s = unicodedata.normalize("NFKC", text[:40])
-        s = re.sub(r"\s+", " ", re.sub("[​‌‍﻿]", "", s).strip())
+        s = " ".join(re.sub("[​‌‍﻿]", "", s).split())
         return s[:-2] if s.endswith(".0") and all(c.isdigit() or c in ".-" for c in s) else s
 
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}

@@ -101,12 +101,12 @@ def test_ingest_refuses(spark, tmp_path, price_grid, mapping_path):
 def test_gate(spark):
     stats = {"run_id": "r", "supplier_id": "s", "parser_id": "p", "file_readable": True, "structure_ok": True, "good_rows": 3935, "bad_rows": 0, "exploded_lines": 3935, "explosion_factor_exact": emit.exact_ratio(3935, 2745), "source_rows_read": 2745, "flags_counts": {"missing_price": 21}}
     assert stats["explosion_factor_exact"] == "1.433515482695810564663023679"
-    baseline = {"parser_id": "p", "metrics": {"good_rows": {"expected": 3935, "tolerance_abs": 0}, "explosion_factor_exact": {"expected": "1.433515482695810564663023679"}, "flags_counts.missing_price": {"expected": 21}}}
+    baseline = {"parser_id": "p", "metrics": {"explosion_factor_exact": {"expected": emit.exact_ratio(3935, 2745)}, "good_rows": {"tolerance_abs": 0, "expected": 3935}, "flags_counts.missing_price": {"expected": 21}}}
     assert gate.gate_document(spark, stats, baseline)["verdict"] == "PASS"
     assert gate.gate_document(spark, stats)["exit_code"] == 10
     assert [r["code"] for r in gate.gate_document(spark, stats | {"good_rows": 3936}, baseline)["reasons"]] == ["metric_out_of_tolerance"]
     assert [r["code"] for r in gate.gate_document(spark, stats | {"parser_id": "q"}, baseline)["reasons"]] == ["baseline_mismatch"]
-    assert gate.gate_document(spark, stats, baseline | {"metrics": {"no.such": {"expected": 1}}})["reasons"] == [{"level": "WARN", "code": "metric_missing", "metric": "no.such"}]
+    assert gate.gate_document(spark, stats, baseline | {"metrics": {"no.such": {"expected": 1}}})["reasons"] == [{"metric": "no.such", "code": "metric_missing", "level": "WARN"}]
     failed = gate.gate_document(spark, stats | {"exploded_lines": 0, "bad_rows": 4}, baseline)
     assert (failed["exit_code"], [r["code"] for r in failed["reasons"]]) == (20, ["exploded_lines_zero"])
     with pytest.raises(ValueError):
