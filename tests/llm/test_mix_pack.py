@@ -1,6 +1,6 @@
 import collections
 
-from conftest import prose
+from samples import prose
 from oracle import assert_same
 from pyspark.sql import functions as F
 

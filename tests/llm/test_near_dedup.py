@@ -1,5 +1,5 @@
 import numpy as np
-from conftest import prose
+from samples import prose
 
 from tarifold.llm import hamming_join as hj
 

@@ -2,7 +2,7 @@ import collections
 
 import numpy as np
 import pytest
-from conftest import prose
+from samples import prose
 
 from tarifold.llm import repair, token_rollup, tokens
 
