@@ -242,3 +242,15 @@ def test_column_rules():
     rules = [r("price", "header_contains", "цена", 1), r("price", "header_exact", "цена опт"), r("qty", "value_pattern", "[0-9]+"), r("name", "column_position", 1)]
     got = dispatch.map_columns(["Имя", "Цена  розн", "цена опт", "x"], [["a", "1.5", "2.5", "7"], ["b", "1.5", "2.5", ""]], rules)
     assert {k: v[0] for k, v in got.items()} == {3: "price", 4: "qty", 1: "name"}
+
+
+def test_windowed_counts_and_facts(spark, tmp_path):
+    frame = spark.createDataFrame([("a", "2026-01-01 00:00:10"), ("a", "2026-01-01 00:00:50"), ("b", "2026-01-01 00:02:00")], "k string, t string").select("k", F.to_timestamp("t").alias("at"))
+    frame.coalesce(1).write.parquet(str(tmp_path / "e"))
+    counts = inbox.counts_per_window(spark.readStream.schema(frame.schema).parquet(str(tmp_path / "e")), "at", ["k"], "1 minute", "0 seconds")
+    counts.writeStream.format("memory").queryName("counts").outputMode("complete").trigger(availableNow=True).start().awaitTermination(60)
+    assert sorted((r["k"], r["n"]) for r in spark.table("counts").collect()) == [("a", 2), ("b", 1)]
+    lines = spark.createDataFrame([("s", "p", "2026-03-01T00:30:00+03:00")], "supplier_id string, parser_id string, effective_at string")
+    lines.write.parquet(str(tmp_path / "l"))
+    inbox.append_facts(spark.readStream.schema(lines.schema).parquet(str(tmp_path / "l")), str(tmp_path / "f"), str(tmp_path / "c")).awaitTermination(60)
+    assert os.path.isdir(tmp_path / "f" / "supplier_id=s" / "parser_id=p" / "month=2026-02")
