@@ -121,3 +121,9 @@ def test_packs_with_many_buckets(spark, sf, monkeypatch):
 def test_packs_of_odd_rows(spark, odd_docs, no_docs):
     check_packs(packing.pack(odd_docs, 300), odd_docs, 300)
     assert packing.pack(no_docs).count() == 0
+
+
+def test_no_text_is_shuffled(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    plan = mixing.mix(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan
