@@ -18,7 +18,7 @@ from tarifold.llm import cover_tree, hamming_join, link_trust, merkle_audit, mix
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_cover_tree_pairs": cover_tree.query,
-        "op2_token_rollups": token_rollup.query,
+        "op2_token_rollups": token_rollup.whole_query,
         "op3_mixing_budgets": mixing.query,
         "op4_merkle_fixity": merkle_audit.query,
         "op5_site_bayes_quality": site_bayes.query,

@@ -39,7 +39,7 @@ from tarifold.llm.common import join_lookup, new_path, stash, table
 GROUP = ["source", "lang", "tokenizer"]
 SUMS = ["documents", "tokens"]
 FIRST, REVISED = "byte_bpe_50k", "byte_bpe_multi_50k"
-#: Languages whose counts the revision leaves alone.
+#: Languages whose counts query()'s revision leaves alone; op2 itself leaves none alone.
 UNREVISED = ["en"]
 
 
@@ -130,38 +130,43 @@ class Rollup:
             self._fs.delete(self._path(f"{self.path}/deltas/{b}"), True)
 
 
-def _revise(lang: Column) -> Column:
-    return ~F.coalesce(lang, F.lit("")).isin(*UNREVISED)
+def _revise(lang: Column, unrevised: list[str]) -> Column:
+    return ~F.coalesce(lang, F.lit("")).isin(*unrevised)
 
 
-def counted(docs: DataFrame, folder: str = bpe.VOCABULARY_DIR) -> DataFrame:
-    """doc_id, source, lang, a digest of the text, and its tokens: the first count of all, the revised of some."""
+def counted(docs: DataFrame, folder: str = bpe.VOCABULARY_DIR, unrevised: list[str] = UNREVISED) -> DataFrame:
+    """doc_id, source, lang, a digest of the text, and its tokens: the first count of all, the revised of all but unrevised languages."""
     text = F.col("text").cast("string")
-    other = F.when(_revise(F.col("lang").cast("string")), text)
+    other = F.when(_revise(F.col("lang").cast("string"), unrevised), text)
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), F.md5(F.coalesce(text, F.lit(""))).alias("digest"),
         token_counter(FIRST, folder)(text).alias("tokens"), token_counter(REVISED, folder)(other).alias("revised"),
     )
 
 
-def maintain(store: Rollup, docs: DataFrame, folder: str = bpe.VOCABULARY_DIR) -> DataFrame:
+def maintain(store: Rollup, docs: DataFrame, folder: str = bpe.VOCABULARY_DIR, unrevised: list[str] = UNREVISED) -> DataFrame:
     """Totals after four batches over docs: load, removal of exact copies, recount, and a replay of the removal.
 
     load inserts every row under the first tokenizer; copies deletes all rows
     of a text but those of its least doc_id; recount revises the remaining rows
-    that are not in UNREVISED languages to the second tokenizer.
+    that are not in unrevised languages to the second tokenizer.
     """
-    rows = stash(counted(docs, folder), "counted")
+    rows = stash(counted(docs, folder, unrevised), "counted")
     least = stash(rows.groupBy("digest").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).filter("n > 1").drop("n"), "least")
     tagged = stash(join_lookup(rows, least, ["digest"]).withColumn("copy", F.coalesce(F.col("doc_id") > F.col("least"), F.lit(False))).drop("digest", "least"), "tagged")
     copies = signed(tagged.filter("copy"), -1, FIRST)
     store.commit("load", signed(tagged, 1, FIRST))
     store.commit("copies", copies)
-    store.commit("recount", revised(tagged.filter(~F.col("copy") & _revise(F.col("lang"))), (FIRST, "tokens"), (REVISED, "revised")))
+    store.commit("recount", revised(tagged.filter(~F.col("copy") & _revise(F.col("lang"), unrevised)), (FIRST, "tokens"), (REVISED, "revised")))
     store.commit("copies", copies)
     return store.totals()
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """op2: totals of the whole documents table after its batches."""
+    """Totals of the documents table after its batches, UNREVISED languages not recounted."""
     return maintain(Rollup(spark, new_path(spark, "rollup")), table(spark, sf_dir, "documents"))
+
+
+def whole_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op2: totals of the whole documents table after its batches, the remaining rows of every language recounted."""
+    return maintain(Rollup(spark, new_path(spark, "rollup")), table(spark, sf_dir, "documents"), unrevised=[])

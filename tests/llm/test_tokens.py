@@ -38,6 +38,30 @@ def test_odd_rows(spark, tmp_path, odd_docs, no_docs):
     assert totals(token_rollup.maintain(token_rollup.Rollup(spark, str(tmp_path / "b")), no_docs)) == {}
 
 
+def brute_recount(rows):
+    """Totals with every remaining row under the second vocabulary, whatever its language."""
+    least, out = {}, collections.defaultdict(lambda: [0, 0])
+    for r in rows:
+        if r["doc_id"] is not None:
+            least[r["text"] or ""] = min(least.get(r["text"] or "", r["doc_id"]), r["doc_id"])
+    for r in rows:
+        t = r["text"] or ""
+        if r["doc_id"] is None or r["doc_id"] <= least[t]:
+            entry = out[r["source"] or "", r["lang"] or "", token_rollup.REVISED]
+            entry[0] += 1
+            entry[1] += len(tokens.encoder(token_rollup.REVISED).encode_ordinary(t))
+    return {k: tuple(v) for k, v in out.items()}
+
+
+def test_every_language_is_recounted(spark, sf, tmp_path, odd_docs):
+    from tarifold.llm import queries
+
+    got = totals(queries.queries()["op2_token_rollups"](spark, sf))
+    assert got == brute_recount(spark.read.parquet(f"{sf}/documents.parquet").collect())
+    assert any(lang == "en" for _, lang, _ in got)
+    assert totals(token_rollup.maintain(token_rollup.Rollup(spark, str(tmp_path / "a")), odd_docs, unrevised=[])) == brute_recount(odd_docs.collect())
+
+
 def test_batches_are_idempotent_and_commute(spark, tmp_path):
     rows = spark.createDataFrame([("s", "en", 5), ("s", "en", 7), (None, None, 2)], "source string, lang string, tokens long")
     one, other = rows.filter("tokens = 5"), rows.filter("tokens <> 5")
