@@ -5,7 +5,9 @@ about SHARD_TOKENS token ids. In it, frequent pairs of neighbouring ids are
 replaced by new ids (nonterminals), round after round, until no pair is worth a
 rule or a round gains too little. A round replaces many pairs at once: they are
 taken by falling count as long as no id is the left of one and the right of
-another, so their occurrences cannot overlap. Pairs never cross a document's
+another, so their occurrences cannot overlap. A pair of two equal ids is taken
+on the same terms; inside a run of that id it is counted and replaced left to
+right without overlap. Pairs never cross a document's
 end. A shard stores its rules, the expansion length of every nonterminal, the
 reduced sequence and where each document starts in ids and in symbols, so any
 range of a document's ids is decoded without expanding the rest.
@@ -50,13 +52,21 @@ def _choose(codes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     codes = codes[np.argsort(-counts, kind="stable")]  # they come sorted: ties by code
     left, right, out = set(), set(), []
     for k, (a, b) in enumerate(zip((codes & _LOW).tolist(), (codes >> 32).tolist())):
-        if a != b and a not in right and b not in left:
+        if a not in right and b not in left:
             left.add(a)
             right.add(b)
             out.append(k)
     return codes[out]
 
 
+def _alternate(at: np.ndarray) -> np.ndarray:
+    """Which of the rising positions are the first, third, fifth ... of their run of neighbours."""
+    nth = np.arange(len(at))
+    head = np.ones(len(at), bool)
+    head[1:] = at[1:] != at[:-1] + 1
+    return (nth - np.maximum.accumulate(np.where(head, nth, 0))) % 2 == 0
+
+
 def compress(ids: np.ndarray, starts: np.ndarray, first: int = IDS, min_count: int = MIN_COUNT, min_gain: float = MIN_GAIN) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(symbols, symbol starts, rules, lengths) of the documents that start at starts.
 
@@ -71,6 +81,8 @@ def compress(ids: np.ndarray, starts: np.ndarray, first: int = IDS, min_count: i
     while len(seq) > 1:
         pair = np.ndarray((len(seq) - 1,), "<i8", seq, 0, (4,))
         inside = ~begins[1:-1]
+        twins = np.flatnonzero((seq[:-1] == seq[1:]) & inside)
+        inside[twins[~_alternate(twins)]] = False  # overlaps the pair before it
         ordered = pair[inside]
         if not len(ordered):
             break

@@ -131,6 +131,27 @@ def test_round_trip_of_odd_rows(spark, odd_docs, no_docs):
     assert repair.shards(no_docs).count() == 0
 
 
+def test_runs_of_one_id():
+    for n in (8, 15, 16, 17, 100_001):
+        ids = np.full(n, 3)
+        symbols, starts, rules, lengths = repair.compress(ids, np.array([0]), first=10)
+        assert repair.decode(symbols, rules, lengths, first=10).tolist() == ids.tolist()
+        assert len(symbols) <= 30 and (n < 16 or rules[0].tolist() == [3, 3])
+    ids, starts = np.array([1, 1, 1, 2, 1, 1, 1, 1] * 50), np.arange(0, 400, 4)
+    symbols, at, rules, lengths = repair.compress(ids, starts, first=10)
+    assert repair.decode(symbols, rules, lengths, first=10).tolist() == ids.tolist()
+    for k, s in enumerate(at):  # document by document
+        part = symbols[s : at[k + 1] if k + 1 < len(at) else None]
+        assert repair.decode(part, rules, lengths, first=10).tolist() == ids[4 * k : 4 * k + 4].tolist()
+
+
+def test_repeated_text_is_compressed():
+    ids = tokens.encode(tokens.encoder(repair.VOCABULARY), "na " * 100_000)
+    symbols, _, rules, lengths = repair.compress(ids, np.array([0]))
+    assert len(symbols) + len(rules) < 60
+    assert repair.decode(symbols, rules, lengths).tolist() == ids.tolist()
+
+
 def test_no_pair_crosses_a_document():
     ids = np.array([1, 2] * 40)
     symbols, starts, rules, lengths = repair.compress(ids, np.arange(0, 80, 2) + 1 - 1, first=10)
