@@ -2,8 +2,8 @@
 
 A shard is a run of whole documents, in the order of the table's files, of
 about SHARD_TOKENS token ids. In it, frequent pairs of neighbouring ids are
-replaced by new ids (nonterminals), round after round, until no pair is worth a
-rule or a round gains too little. A round replaces many pairs at once: they are
+replaced by new ids (nonterminals), round after round, until no pair is left
+that occurs MIN_COUNT times. A round replaces many pairs at once: they are
 taken by falling count as long as no id is the left of one and the right of
 another, so their occurrences cannot overlap. A pair of two equal ids is taken
 on the same terms; inside a run of that id it is counted and replaced left to
@@ -39,8 +39,8 @@ from tarifold.llm.common import table
 
 VOCABULARY, IDS = "byte_bpe_50k", 50_257
 SHARD_TOKENS = 1 << 20
-#: Least count of a replaced pair; least share of the symbols that another round must save.
-MIN_COUNT, MIN_GAIN = 8, 0.02
+#: Least count of a replaced pair.
+MIN_COUNT = 8
 
 _LOW = 0xFFFFFFFF
 
@@ -67,7 +67,7 @@ def _alternate(at: np.ndarray) -> np.ndarray:
     return (nth - np.maximum.accumulate(np.where(head, nth, 0))) % 2 == 0
 
 
-def compress(ids: np.ndarray, starts: np.ndarray, first: int = IDS, min_count: int = MIN_COUNT, min_gain: float = MIN_GAIN) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def compress(ids: np.ndarray, starts: np.ndarray, first: int = IDS, min_count: int = MIN_COUNT) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(symbols, symbol starts, rules, lengths) of the documents that start at starts.
 
     rules[k] is the pair that nonterminal first + k stands for, lengths[k] the
@@ -105,9 +105,7 @@ def compress(ids: np.ndarray, starts: np.ndarray, first: int = IDS, min_count: i
         keep[where + 1] = False
         rules = np.concatenate([rules, np.column_stack([left, right])])
         lengths = np.concatenate([lengths, lengths[left] + lengths[right]])
-        seq, begins, before = seq[keep], begins[np.append(keep, True)], len(seq)
-        if before - len(seq) < min_gain * before:
-            break
+        seq, begins = seq[keep], begins[np.append(keep, True)]
     _, nth = np.unique(starts, return_inverse=True)
     return seq, np.flatnonzero(begins)[nth], rules, lengths[first:]
 

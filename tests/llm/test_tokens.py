@@ -152,6 +152,30 @@ def test_repeated_text_is_compressed():
     assert repair.decode(symbols, rules, lengths).tolist() == ids.tolist()
 
 
+def repeats(symbols, starts):
+    """Counts of the pairs left, pairs in a run of one symbol without overlap."""
+    found, begins = collections.Counter(), set(np.asarray(starts).tolist())
+    i = 1
+    while i < len(symbols):
+        if i in begins:
+            i += 1
+            continue
+        a, b = int(symbols[i - 1]), int(symbols[i])
+        found[a, b] += 1
+        i += 2 if a == b and i + 1 < len(symbols) and i + 1 not in begins and symbols[i + 1] == a else 1
+    return found
+
+
+def test_no_frequent_pair_is_left(spark, sf):
+    enc = tokens.encoder(repair.VOCABULARY)
+    parts = [tokens.encode(enc, r["text"] or "") for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").collect()]
+    sizes = np.array([len(p) for p in parts])
+    ids = np.concatenate(parts)
+    symbols, starts, rules, lengths = repair.compress(ids, np.cumsum(sizes) - sizes)
+    assert max(repeats(symbols, starts).values()) < repair.MIN_COUNT
+    assert repair.decode(symbols, rules, lengths).tolist() == ids.tolist()
+
+
 def test_no_pair_crosses_a_document():
     ids = np.array([1, 2] * 40)
     symbols, starts, rules, lengths = repair.compress(ids, np.arange(0, 80, 2) + 1 - 1, first=10)
