@@ -5,7 +5,11 @@ and structural links of weight 1, both ways, between a host and its parent
 domain. Trust is a personalised PageRank from trusted seeds along the edges;
 distrust is the same from blocked seeds along the reversed edges (who links to
 a blocked host is suspect). Both run in one loop over one edge table, in fixed
-point (integers), so that results don't depend on the order of additions.
+point (integers), so that results don't depend on the order of additions. op9
+iterates from the seeds' own share upwards: ranks only grow, and what is still
+to come, over all hosts, is at most FOLLOW^n / (1 - FOLLOW^n) of the growth in
+the last n rounds, so it stops when that is negligible against BLOCK_AT. query()
+and the SQL form take ROUNDS rounds from the full seeds instead, short of that.
 
 Only the host graph iterates: pages are read once for it, edges are aggregated
 once, and each round is a join and an aggregation of ranks by host. The
@@ -35,6 +39,8 @@ TRUSTED, BLOCKED = "^www[.]", "^m[.].*[.]com$"
 ROUNDS, FOLLOW, MASS, CUT_EVERY = 12, 85, 1_000_000_000, 4
 #: Least distrust of a blocked host.
 BLOCK_AT = MASS // 1000
+#: Growth of all ranks together, between two cuts, at which they have converged.
+NEGLIGIBLE = BLOCK_AT // 1000
 
 HOST = "^[A-Za-z][A-Za-z0-9+.-]*://([^/?#@]*@)?([^/?#:@]+)"
 LINK = "(href|src)[ ]*=[ ]*[\"']?(https?:)?//([^/?#:@\"'<> ]+)"
@@ -60,22 +66,53 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return stash(counted.unionByName(both).groupBy("src", "dst").agg(F.sum("weight").alias("weight")), "edges")
 
 
-def propagate(edges: DataFrame, hosts: DataFrame, trusted: str = TRUSTED, blocked: str = BLOCKED, rounds: int = ROUNDS) -> DataFrame:
-    """host, trust and distrust of every host that has any."""
+def _start(edges: DataFrame, hosts: DataFrame, trusted: str, blocked: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Seeds, the edges both ways with the total weight of their start, and what a seed gets in every round."""
     seeds = hosts.select("host", F.explode(F.array(F.when(F.col("host").rlike(trusted), "trust"), F.when(F.col("host").rlike(blocked), "distrust"))).alias("kind")).filter("kind is not null")
     seeds = stash(seeds.select("kind", "host", F.lit(MASS).cast("long").alias("rank")), "seeds")
     ways = edges.select(F.lit("trust").alias("kind"), F.col("src").alias("host"), "dst", "weight").unionByName(edges.select(F.lit("distrust").alias("kind"), F.col("dst").alias("host"), F.col("src").alias("dst"), "weight"))
     out = ways.groupBy("kind", "host").agg(F.sum("weight").alias("total"))
     ways = stash(ways.join(out, ["kind", "host"]), "ways")
-    base = seeds.select("kind", "host", F.expr(f"rank * {100 - FOLLOW} div 100").alias("rank"))
+    return seeds, ways, seeds.select("kind", "host", F.expr(f"rank * {100 - FOLLOW} div 100").alias("rank"))
+
+
+def _round(rank: DataFrame, ways: DataFrame, base: DataFrame) -> DataFrame:
+    moved = ways.join(rank, ["kind", "host"]).select("kind", F.col("dst").alias("host"), F.expr(f"(cast(rank as decimal(20,0)) * {FOLLOW} * cast(weight as decimal(15,0))) div (cast(total as decimal(15,0)) * 100)").alias("rank"))
+    return moved.unionByName(base).groupBy("kind", "host").agg(F.sum("rank").alias("rank")).filter("rank > 0")
+
+
+def _by_host(rank: DataFrame) -> DataFrame:
+    pick = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("rank"))), F.lit(0)).alias(kind)
+    return rank.groupBy("host").agg(pick("trust"), pick("distrust"))
+
+
+def propagate(edges: DataFrame, hosts: DataFrame, trusted: str = TRUSTED, blocked: str = BLOCKED, rounds: int = ROUNDS) -> DataFrame:
+    """host, trust and distrust of every host that has any after some rounds."""
+    seeds, ways, base = _start(edges, hosts, trusted, blocked)
     rank = seeds
     for k in range(1, rounds + 1):
-        moved = ways.join(rank, ["kind", "host"]).select("kind", F.col("dst").alias("host"), F.expr(f"(cast(rank as decimal(20,0)) * {FOLLOW} * cast(weight as decimal(15,0))) div (cast(total as decimal(15,0)) * 100)").alias("rank"))
-        rank = moved.unionByName(base).groupBy("kind", "host").agg(F.sum("rank").alias("rank")).filter("rank > 0")
+        rank = _round(rank, ways, base)
         if k % CUT_EVERY == 0 or k == rounds:
             rank = stash(rank, "rank")
-    pick = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("rank"))), F.lit(0)).alias(kind)
-    return rank.groupBy("host").agg(pick("trust"), pick("distrust"))
+    return _by_host(rank)
+
+
+def converge(edges: DataFrame, hosts: DataFrame, trusted: str = TRUSTED, blocked: str = BLOCKED, negligible: int = NEGLIGIBLE) -> DataFrame:
+    """host, trust and distrust of every host that has any, iterated until all ranks together grow by no more than negligible.
+
+    It ends: a round is monotone and starts below its own result, so integer
+    ranks never fall, and they are bounded.
+    """
+    _, ways, base = _start(edges, hosts, trusted, blocked)
+    rank, before = base, None
+    while True:
+        for _ in range(CUT_EVERY):
+            rank = _round(rank, ways, base)
+        rank = stash(rank, "rank")
+        now = rank.agg(F.coalesce(F.sum(F.col("rank").cast("decimal(28,0)")), F.lit(0))).first()[0]
+        if before is not None and now - before <= negligible:
+            return _by_host(rank)
+        before = now
 
 
 def judge(pages: DataFrame, ranks: DataFrame, blocked: str = BLOCKED, block_at: int = BLOCK_AT) -> DataFrame:
@@ -87,12 +124,22 @@ def judge(pages: DataFrame, ranks: DataFrame, blocked: str = BLOCKED, block_at:
     return joined.select("page_id", "host", trust.alias("trust"), distrust.alias("distrust"), (~bad).alias("allowed"))
 
 
+def _graph(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Edges and all hosts of the pages."""
+    edges = host_edges(pages)
+    return edges, pages.select(host_of(F.col("url")).alias("host")).filter("host is not null").unionByName(edges.select(F.col("src").alias("host"))).unionByName(edges.select(F.col("dst").alias("host"))).distinct()
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """op9: every page judged by its host's trust and distrust."""
+    """Every page judged by its host's trust and distrust after ROUNDS rounds, as in oracle()."""
     pages = table(spark, sf_dir, "pages")
-    edges = host_edges(pages)
-    hosts = pages.select(host_of(F.col("url")).alias("host")).filter("host is not null").unionByName(edges.select(F.col("src").alias("host"))).unionByName(edges.select(F.col("dst").alias("host"))).distinct()
-    return judge(pages, stash(propagate(edges, hosts), "ranks"))
+    return judge(pages, stash(propagate(*_graph(pages)), "ranks"))
+
+
+def converged_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op9: every page judged by its host's converged trust and distrust."""
+    pages = table(spark, sf_dir, "pages")
+    return judge(pages, stash(converge(*_graph(pages)), "ranks"))
 
 
 def oracle() -> str:

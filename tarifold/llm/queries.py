@@ -25,7 +25,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_repair_shards": repair.query,
         "op7_decision_list_rules": rule_list.query,
         "op8_shortest_pack_first": packing.query,
-        "op9_link_trust": link_trust.query,
+        "op9_link_trust": link_trust.converged_query,
         "op10_hamming_near_dedup": hamming_join.query,
         "pipeline": corpus_pipeline.run,
     }

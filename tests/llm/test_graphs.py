@@ -84,6 +84,37 @@ def test_trust_against_dense_pagerank(spark):
             assert abs((got[f"h{i}"][kind] if f"h{i}" in got else 0) - rank[i]) < 1000
 
 
+def test_converged_trust_against_the_linear_system(spark):
+    """A chain longer than ROUNDS and a random graph: ranks and verdicts of the solved system."""
+    rng = np.random.default_rng(7)
+    n, m = 36, 20  # a chain to a blocked host; a random graph beside it
+    w = np.zeros((n + m, n + m), int)
+    w[np.arange(n - 1), np.arange(1, n)] = 1
+    w[n:, n:] = rng.integers(0, 3, (m, m)) * (rng.random((m, m)) < 0.2) * (1 - np.eye(m, dtype=int))
+    trusted, blocked = n, n - 1
+    edges = spark.createDataFrame([(f"h{i}", f"h{j}", int(w[i, j])) for i, j in zip(*np.nonzero(w))], "src string, dst string, weight long")
+    hosts = spark.createDataFrame([(f"h{i}",) for i in range(n + m)], "host string")
+    got = {r["host"]: r for r in link_trust.converge(edges, hosts, f"^h{trusted}$", f"^h{blocked}$").collect()}
+    want = {}
+    for kind, matrix, seed in (("trust", w, trusted), ("distrust", w.T, blocked)):
+        step = matrix / np.maximum(matrix.sum(1, keepdims=True), 1)
+        want[kind] = np.linalg.solve(np.eye(n + m) - 0.85 * step.T, 0.15 * np.eye(n + m)[seed] * link_trust.MASS)
+        for i in range(n + m):
+            assert abs((got[f"h{i}"][kind] if f"h{i}" in got else 0) - want[kind][i]) < link_trust.BLOCK_AT / 100
+    hops = [k for k in range(n) if want["distrust"][n - 1 - k] >= link_trust.BLOCK_AT]
+    assert max(hops) > link_trust.ROUNDS
+    assert hops == [k for k in range(n) if f"h{n - 1 - k}" in got and got[f"h{n - 1 - k}"]["distrust"] >= link_trust.BLOCK_AT]
+
+
+def test_op9_takes_converged_trust(spark, tmp_path):
+    from tarifold.llm import queries
+
+    chain = [(k, f"http://h{k}/", f'<a href="http://h{k - 1}/">' if k > 1 else '<a href="http://m.bad.com/">') for k in range(1, 26)]
+    pages(spark, [(0, "http://m.bad.com/", None), *chain]).write.parquet(f"{tmp_path}/pages.parquet")
+    allowed = {r["page_id"]: r["allowed"] for r in queries.queries()["op9_link_trust"](spark, str(tmp_path)).collect()}
+    assert not any(allowed[k] for k in range(15)) and len(allowed) == 26
+
+
 def brute_pairs(rows, cosine):
     valid = [(i, np.array(v, float)) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v) and np.linalg.norm(v) > 0]
     sizes = [len(v) for _, v in valid]
