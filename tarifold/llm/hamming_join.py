@@ -9,7 +9,8 @@ The signature is cut into m chunks. If two signatures differ in at most
 Every chunk is therefore indexed once per allowed error position, that symbol
 masked out. Two signatures that meet under a key are compared in full, and the
 pair is emitted only under the first key where the two can meet, so no distinct
-is needed afterwards. Nothing is capped: all pairs within the distance appear.
+is needed afterwards. Nothing is capped: all pairs of distinct signatures within
+the distance appear, as pairs of their least holders (see near_pairs).
 
 Defined results for odd input:
 
@@ -240,5 +241,5 @@ def dedup(docs: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """op10: every near-duplicate pair of the whole documents table."""
+    """op10: the near-duplicate pairs of the whole documents table, equal signatures as stars."""
     return near_pairs(table(spark, sf_dir, "documents"))
