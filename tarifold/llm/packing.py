@@ -1,6 +1,8 @@
 """Sequence packing: shortest-pack-first over the length histogram.
 
-Texts are cut in pieces of at most CONTEXT tokens. Only the histogram of piece
+Texts are cut in pieces of at most CONTEXT tokens, which are white-space words
+here: a pack holds more ids of a byte-pair vocabulary than CONTEXT, and a text
+without white space is one piece of length 1, however long it is. Only the histogram of piece
 lengths (at most CONTEXT numbers, whatever the corpus size) reaches the driver,
 which places lengths longest first, each into the pack that is shortest so far
 if it fits there, and counts packs by pattern instead of keeping them one by
@@ -11,7 +13,7 @@ an order inside each bucket, so that a frequent length never meets in one task.
 Defined results for odd input:
 
 * null, empty and blank texts: no piece, no row;
-* very long texts: as many pieces as they need, the whole text;
+* very long texts: as many pieces as their words need, the whole text;
 * ties: pieces of one length are alike; the order is bucket, doc_id, piece;
 * repeated rows: packed each for itself; null doc_id: packed, id null;
 * empty table: empty result; extra columns are ignored.
