@@ -374,6 +374,7 @@ RULES = [("r1", "with_the", None, ["the"], []), ("r2", "german", None, ["der"],
 
 
 def _heads(spark: SparkSession, sf: str) -> DataFrame:
+    """Two header rows of each document; its first 200 characters stand in for their cells."""
     cells = F.split(F.substring("text", 1, 200), " ")
     return _read(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("file"), (F.col("doc_id") % 5).cast("int").alias("cols"), F.slice(cells, 1, 8).alias("row1"), F.slice(cells, 9, 8).alias("row2"))
 
@@ -433,10 +434,12 @@ def q_norm_text(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_norm_sku_nfkc(spark: SparkSession, sf: str) -> DataFrame:
+    """The first 40 characters stand in for a SKU cell."""
     return _read(spark, sf, "documents").select("doc_id", normalize_sku(F.substring("text", 1, 40)).alias("sku"))
 
 
 def q_sanitize_tag(spark: SparkSession, sf: str) -> DataFrame:
+    """The first 60 characters stand in for a tag cell."""
     return _read(spark, sf, "documents").select("doc_id", sanitize_tag(F.substring("text", 1, 60)).alias("tag"))
 
 
