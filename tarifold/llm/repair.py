@@ -3,17 +3,19 @@
 A shard is a run of whole documents, in the order of the table's files, of
 about SHARD_TOKENS token ids. In it, frequent pairs of neighbouring ids are
 replaced by new ids (nonterminals), round after round, until no pair is left
-that occurs MIN_COUNT times. A round replaces many pairs at once: they are
-taken by falling count as long as no id is the left of one and the right of
-another, so their occurrences cannot overlap. A pair of two equal ids is taken
-on the same terms; inside a run of that id it is counted and replaced left to
-right without overlap. Pairs never cross a document's
-end. A shard stores its rules, the expansion length of every nonterminal, the
-reduced sequence and where each document starts in ids and in symbols, so any
-range of a document's ids is decoded without expanding the rest.
+that occurs twice. A round replaces many pairs at once: where occurrences of
+two pairs overlap, the pair of greater count has it, and a pair is only taken
+in a round in which at least two occurrences are left to it. The pair of
+greatest count always keeps all of its own, so every round makes progress. A
+pair of two equal ids is taken on the same terms; inside a run of that id it is
+counted and replaced left to right without overlap. Pairs never cross a
+document's end. A shard stores its rules, the expansion length of every
+nonterminal, the reduced sequence and where each document starts in ids and in
+symbols, so any range of a document's ids is decoded without expanding the rest.
 
 Shards are made inside the scan's partitions: the text is never shuffled, and a
-lost task rebuilds the same shards.
+lost task rebuilds the same shards. A shard is named by its partition and its
+place in it, which no two of a table share.
 
 Defined results for odd input:
 
@@ -29,8 +31,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,25 +42,13 @@ from tarifold.llm.common import table
 VOCABULARY, IDS = "byte_bpe_50k", 50_257
 SHARD_TOKENS = 1 << 20
 #: Least count of a replaced pair.
-MIN_COUNT = 8
+MIN_COUNT = 2
 
 _LOW = 0xFFFFFFFF
 
 SCHEMA = "shard string, doc_ids array<bigint>, id_starts array<int>, symbol_starts array<int>, rules binary, lengths binary, symbols binary, n_ids bigint, n_symbols bigint, n_rules int"
 
 
-def _choose(codes: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Pair codes by falling count such that no id is both a left and a right."""
-    codes = codes[np.argsort(-counts, kind="stable")]  # they come sorted: ties by code
-    left, right, out = set(), set(), []
-    for k, (a, b) in enumerate(zip((codes & _LOW).tolist(), (codes >> 32).tolist())):
-        if a not in right and b not in left:
-            left.add(a)
-            right.add(b)
-            out.append(k)
-    return codes[out]
-
-
 def _alternate(at: np.ndarray) -> np.ndarray:
     """Which of the rising positions are the first, third, fifth ... of their run of neighbours."""
     nth = np.arange(len(at))
@@ -73,41 +63,65 @@ def compress(ids: np.ndarray, starts: np.ndarray, first: int = IDS, min_count: i
     rules[k] is the pair that nonterminal first + k stands for, lengths[k] the
     number of ids it expands to. A pair's code is the 8 bytes of two
     neighbouring 4-byte ids, read in place.
+
+    live marks the positions whose pair may still be frequent: the count of a
+    pair never rises once both its symbols exist, so a position that was rare
+    stays so until one of its two symbols is replaced. Later rounds therefore
+    sort few positions only.
     """
     seq = np.ascontiguousarray(ids, "<i4")
     begins = np.zeros(len(seq) + 1, bool)
     begins[starts] = True
-    rules, lengths = np.zeros((0, 2), np.int64), np.ones(first, np.int64)
+    live = np.ones(len(seq), bool)
+    rules, lengths, number = [], np.ones(first + len(seq), np.int64), first
     while len(seq) > 1:
         pair = np.ndarray((len(seq) - 1,), "<i8", seq, 0, (4,))
-        inside = ~begins[1:-1]
-        twins = np.flatnonzero((seq[:-1] == seq[1:]) & inside)
+        inside = live[:-1] & ~begins[1:-1]
+        twins = np.flatnonzero((seq[:-1] == seq[1:]) & ~begins[1:-1])
         inside[twins[~_alternate(twins)]] = False  # overlaps the pair before it
-        ordered = pair[inside]
-        if not len(ordered):
+        at = np.flatnonzero(inside)
+        if not len(at):
             break
-        ordered.sort()
+        codes = pair[at]
+        order = np.argsort(codes)
+        ordered = codes[order]
         edge = np.concatenate(([0], np.flatnonzero(ordered[1:] != ordered[:-1]) + 1))
         counts = np.diff(np.append(edge, len(ordered)))
         often = counts >= min_count
-        chosen = _choose(ordered[edge[often]], counts[often])
-        if not len(chosen):
+        group = np.empty(len(at), np.int64)  # of each position: its pair's number by code
+        group[order] = np.repeat(np.arange(len(edge)), counts)
+        keep = often[group]
+        live[at[~keep]] = False
+        if not often.any():
             break
-        number = first + len(rules)
-        left, right = chosen & _LOW, chosen >> 32
-        is_left, is_right = np.zeros(number, bool), np.zeros(number, bool)
-        is_left[left], is_right[right] = True, True
-        maybe = np.flatnonzero(is_left[seq[:-1]] & is_right[seq[1:]] & inside)
-        rule = pd.Index(chosen).get_indexer(pair[maybe])
-        where, rule = maybe[rule >= 0], rule[rule >= 0]
-        seq[where] = number + rule
-        keep = np.ones(len(seq), bool)
-        keep[where + 1] = False
-        rules = np.concatenate([rules, np.column_stack([left, right])])
-        lengths = np.concatenate([lengths, lengths[left] + lengths[right]])
-        seq, begins = seq[keep], begins[np.append(keep, True)]
+        # a pair's rank: falling count, then code; of two overlapping occurrences the better ranked is replaced
+        rank = np.empty(len(edge), np.int64)
+        rank[np.lexsort((np.arange(len(edge)), -counts))] = np.arange(len(edge))
+        at, group = at[keep], group[keep]
+        own = np.full(len(seq) + 1, len(edge), np.int64)
+        own[at] = rank[group]
+        mine = own[at]
+        best = (mine <= own[at + 1]) & ((mine < own[at - 1]) | (at == 0))
+        at, group = at[best], group[best]
+        enough = np.bincount(group, minlength=len(edge)) >= min_count
+        at, group = at[enough[group]], group[enough[group]]
+        chosen = np.flatnonzero(enough)
+        name = np.zeros(len(edge), np.int32)
+        name[chosen] = np.arange(number, number + len(chosen))
+        code = ordered[edge[chosen]]
+        left, right = code & _LOW, code >> 32
+        rules.append(np.column_stack([left, right]))
+        lengths[number : number + len(chosen)] = lengths[left] + lengths[right]
+        number += len(chosen)
+        seq[at] = name[group]
+        live[at] = True
+        live[np.maximum(at - 1, 0)] = True
+        stay = np.ones(len(seq), bool)
+        stay[at + 1] = False
+        seq, live, begins = seq[stay], live[stay], begins[np.append(stay, True)]
     _, nth = np.unique(starts, return_inverse=True)
-    return seq, np.flatnonzero(begins)[nth], rules, lengths[first:]
+    made = np.concatenate(rules) if rules else np.zeros((0, 2), np.int64)
+    return seq, np.flatnonzero(begins)[nth], made, lengths[first:number]
 
 
 def decode(symbols: np.ndarray, rules: np.ndarray, lengths: np.ndarray, start: int = 0, stop: int | None = None, first: int = IDS) -> np.ndarray:
@@ -140,14 +154,13 @@ def read_document(row: dict, position: int, start: int = 0, stop: int | None = N
     return decode(symbols[bounds[position] : bounds[position + 1]], rules, np.frombuffer(row["lengths"], np.int32), start, stop)
 
 
-def _shard_row(doc_ids: list, parts: list[np.ndarray]) -> dict:
+def _shard_row(name: str, doc_ids: list, parts: list[np.ndarray]) -> dict:
     sizes = np.array([len(p) for p in parts], np.int64)
     starts = np.cumsum(sizes) - sizes
     ids = np.concatenate(parts) if parts else np.zeros(0, np.int64)
     symbols, at, rules, lengths = compress(ids, starts)
-    known = [d for d in doc_ids if d is not None]
     return {
-        "shard": f"{min(known, default=-1)}-{len(doc_ids)}-{len(ids)}", "doc_ids": doc_ids, "id_starts": starts.astype(np.int32).tolist(), "symbol_starts": at.astype(np.int32).tolist(),
+        "shard": name, "doc_ids": doc_ids, "id_starts": starts.astype(np.int32).tolist(), "symbol_starts": at.astype(np.int32).tolist(),
         "rules": rules.astype(np.int32).tobytes(), "lengths": lengths.astype(np.int32).tobytes(), "symbols": symbols.astype(np.int32).tobytes(), "n_ids": len(ids), "n_symbols": len(symbols), "n_rules": len(rules),
     }
 
@@ -161,18 +174,18 @@ def shards(docs: DataFrame, folder: str = bpe.VOCABULARY_DIR, shard_tokens: int
             ("shard", pa.string()), ("doc_ids", pa.list_(pa.int64())), ("id_starts", pa.list_(pa.int32())), ("symbol_starts", pa.list_(pa.int32())), ("rules", pa.binary()), ("lengths", pa.binary()),
             ("symbols", pa.binary()), ("n_ids", pa.int64()), ("n_symbols", pa.int64()), ("n_rules", pa.int32()),
         ])
-        doc_ids, parts, size = [], [], 0
+        doc_ids, parts, size, partition, place = [], [], 0, TaskContext.get().partitionId(), 0
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 ids = bpe.encode(enc, text.as_py()) if text.is_valid else np.zeros(0, np.uint32)
                 if size and size + len(ids) > shard_tokens:
-                    yield pa.RecordBatch.from_pylist([_shard_row(doc_ids, parts)], shape)
-                    doc_ids, parts, size = [], [], 0
+                    yield pa.RecordBatch.from_pylist([_shard_row(f"{partition}-{place}", doc_ids, parts)], shape)
+                    doc_ids, parts, size, place = [], [], 0, place + 1
                 doc_ids.append(doc_id)
                 parts.append(ids)
                 size += len(ids)
         if doc_ids:
-            yield pa.RecordBatch.from_pylist([_shard_row(doc_ids, parts)], shape)
+            yield pa.RecordBatch.from_pylist([_shard_row(f"{partition}-{place}", doc_ids, parts)], shape)
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(make, SCHEMA)
 

@@ -148,7 +148,7 @@ def test_runs_of_one_id():
 def test_repeated_text_is_compressed():
     ids = tokens.encode(tokens.encoder(repair.VOCABULARY), "na " * 100_000)
     symbols, _, rules, lengths = repair.compress(ids, np.array([0]))
-    assert len(symbols) + len(rules) < 60
+    assert len(symbols) + len(rules) < 60, (len(symbols), len(rules))
     assert repair.decode(symbols, rules, lengths).tolist() == ids.tolist()
 
 
@@ -176,6 +176,68 @@ def test_no_frequent_pair_is_left(spark, sf):
     assert repair.decode(symbols, rules, lengths).tolist() == ids.tolist()
 
 
+def plain_repair(ids, starts, first):
+    """Re-Pair by the book: the most frequent pair (least code on ties) is replaced everywhere, one pair a round."""
+    bounds = [*starts, len(ids)]
+    docs = [list(map(int, ids[a:b])) for a, b in zip(bounds, bounds[1:])]
+    rules = []
+    while True:
+        found = collections.Counter()
+        for d in docs:
+            i = 0
+            while i + 1 < len(d):
+                found[d[i], d[i + 1]] += 1
+                i += 2 if i + 2 < len(d) and d[i] == d[i + 1] == d[i + 2] else 1
+        if not found or max(found.values()) < 2:
+            return docs, rules
+        pair = min(found, key=lambda p: (-found[p], p[1] << 32 | p[0]))
+        for k, d in enumerate(docs):
+            out, i = [], 0
+            while i < len(d):
+                if i + 1 < len(d) and (d[i], d[i + 1]) == pair:
+                    out.append(first + len(rules))
+                    i += 2
+                else:
+                    out.append(d[i])
+                    i += 1
+            docs[k] = out
+        rules.append(pair)
+
+
+def test_size_against_plain_repair(spark, sf):
+    """Many pairs a round cost little: symbols and two ids a rule, against one pair a round."""
+    enc = tokens.encoder(repair.VOCABULARY)
+    parts = [tokens.encode(enc, r["text"] or "")[:150] for r in spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").limit(25).collect()]
+    sizes = np.array([len(p) for p in parts])
+    starts = np.cumsum(sizes) - sizes
+    ids = np.concatenate(parts)
+    docs, plain = plain_repair(ids, starts, repair.IDS)
+    symbols, _, rules, lengths = repair.compress(ids, starts)
+    assert repair.decode(symbols, rules, lengths).tolist() == ids.tolist()
+    assert len(symbols) + 2 * len(rules) <= 1.03 * (sum(map(len, docs)) + 2 * len(plain))
+
+
+def test_random_sequences_round_trip_to_the_end():
+    for seed in range(40):
+        rng = np.random.default_rng(seed)
+        ids = rng.integers(0, 2 + seed % 4, int(rng.integers(0, 300)))
+        starts = np.unique(np.concatenate(([0], rng.integers(0, len(ids) + 1, 4)))) if len(ids) else np.array([0])
+        starts = starts[starts < max(len(ids), 1)]
+        symbols, at, rules, lengths = repair.compress(ids, starts, first=10)
+        assert repair.decode(symbols, rules, lengths, first=10).tolist() == ids.tolist()
+        assert max(repeats(symbols, at).values(), default=0) < 2
+        bounds = [*at, len(symbols)]
+        for k, s in enumerate(starts):
+            want = ids[s : starts[k + 1] if k + 1 < len(starts) else None].tolist()
+            assert repair.decode(symbols[bounds[k] : bounds[k + 1]], rules, lengths, first=10).tolist() == want
+
+
+def test_shard_names_are_unique(spark, odd_docs):
+    twice = odd_docs.unionByName(odd_docs).unionByName(odd_docs.filter("doc_id is null"))
+    names = [r["shard"] for r in repair.shards(twice, shard_tokens=300).select("shard").collect()]
+    assert len(names) == len(set(names)) > 3
+
+
 def test_no_pair_crosses_a_document():
     ids = np.array([1, 2] * 40)
     symbols, starts, rules, lengths = repair.compress(ids, np.arange(0, 80, 2) + 1 - 1, first=10)
