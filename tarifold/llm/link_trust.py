@@ -5,11 +5,10 @@ and structural links of weight 1, both ways, between a host and its parent
 domain. Trust is a personalised PageRank from trusted seeds along the edges;
 distrust is the same from blocked seeds along the reversed edges (who links to
 a blocked host is suspect). Both run in one loop over one edge table, in fixed
-point (integers), so that results don't depend on the order of additions. op9
+point (integers), so that results don't depend on the order of additions. It
 iterates from the seeds' own share upwards: ranks only grow, and what is still
 to come, over all hosts, is at most FOLLOW^n / (1 - FOLLOW^n) of the growth in
-the last n rounds, so it stops when that is negligible against BLOCK_AT. query()
-and the SQL form take ROUNDS rounds from the full seeds instead, short of that.
+the last n rounds, so it stops when that is negligible against BLOCK_AT.
 
 Only the host graph iterates: pages are read once for it, edges are aggregated
 once, and each round is a join and an aggregation of ranks by host. The
@@ -35,8 +34,8 @@ from tarifold.llm.common import join_lookup, stash, table
 
 #: Seeds as patterns over host names: trusted and blocked.
 TRUSTED, BLOCKED = "^www[.]", "^m[.].*[.]com$"
-#: Rounds, share (in percent) of a rank that follows links, mass of a seed, rounds between cuts of the lineage.
-ROUNDS, FOLLOW, MASS, CUT_EVERY = 12, 85, 1_000_000_000, 4
+#: Share (in percent) of a rank that follows links, mass of a seed, rounds between cuts of the lineage.
+FOLLOW, MASS, CUT_EVERY = 85, 1_000_000_000, 4
 #: Least distrust of a blocked host.
 BLOCK_AT = MASS // 1000
 #: Growth of all ranks together, between two cuts, at which they have converged.
@@ -86,17 +85,6 @@ def _by_host(rank: DataFrame) -> DataFrame:
     return rank.groupBy("host").agg(pick("trust"), pick("distrust"))
 
 
-def propagate(edges: DataFrame, hosts: DataFrame, trusted: str = TRUSTED, blocked: str = BLOCKED, rounds: int = ROUNDS) -> DataFrame:
-    """host, trust and distrust of every host that has any after some rounds."""
-    seeds, ways, base = _start(edges, hosts, trusted, blocked)
-    rank = seeds
-    for k in range(1, rounds + 1):
-        rank = _round(rank, ways, base)
-        if k % CUT_EVERY == 0 or k == rounds:
-            rank = stash(rank, "rank")
-    return _by_host(rank)
-
-
 def converge(edges: DataFrame, hosts: DataFrame, trusted: str = TRUSTED, blocked: str = BLOCKED, negligible: int = NEGLIGIBLE) -> DataFrame:
     """host, trust and distrust of every host that has any, iterated until all ranks together grow by no more than negligible.
 
@@ -131,36 +119,35 @@ def _graph(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every page judged by its host's trust and distrust after ROUNDS rounds, as in oracle()."""
-    pages = table(spark, sf_dir, "pages")
-    return judge(pages, stash(propagate(*_graph(pages)), "ranks"))
-
-
-def converged_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op9: every page judged by its host's converged trust and distrust."""
     pages = table(spark, sf_dir, "pages")
     return judge(pages, stash(converge(*_graph(pages)), "ranks"))
 
 
 def oracle() -> str:
-    """The same propagation, its rounds written out."""
+    """The same propagation as a recursive query with the same end: every CUT_EVERY rounds the growth of all ranks is looked at."""
     host = f"nullif(lower(regexp_extract(url, '{HOST}', 2)), '')"
     link = LINK.replace("'", "''")
-    steps = [f"""r0 as (select kind, host, {MASS}::hugeint as rank from seeds)"""]
-    for k in range(1, ROUNDS + 1):
-        steps.append(f"""r{k} as (select kind, host, sum(rank)::hugeint as rank from (select w.kind, w.dst as host, (r.rank * {FOLLOW} * w.weight) // (w.total * 100) as rank from ways w join r{k - 1} r on w.kind = r.kind and w.host = r.host
-    union all select kind, host, {MASS * (100 - FOLLOW) // 100}::hugeint from seeds) group by kind, host having sum(rank) > 0)""")
-    return f"""with own as (select page_id, {host} as host, html from pages),
+    part = MASS * (100 - FOLLOW) // 100
+    return f"""with recursive own as (select page_id, {host} as host, html from pages),
 links as (select host as src, lower(unnest(regexp_extract_all(html, '{link}', 3))) as dst from own where host is not null),
 counted as (select src, dst, count(*) as weight from links where src <> dst group by all),
 linked as (select host from own where host is not null union select dst from counted),
 tree as (select host, nullif(regexp_extract(host, '^[^.]+[.]([^.]+[.].+)$', 1), '') as up from linked),
-edges as (select src, dst, sum(weight)::hugeint as weight from (select * from counted union all select host, up, 1 from tree where up is not null union all select up, host, 1 from tree where up is not null) group by src, dst),
+edges as materialized (select src, dst, sum(weight)::hugeint as weight from (select * from counted union all select host, up, 1 from tree where up is not null union all select up, host, 1 from tree where up is not null) group by src, dst),
 hosts as (select host from own where host is not null union select src from edges union select dst from edges),
-seeds as (select 'trust' as kind, host from hosts where regexp_matches(host, '{TRUSTED}') union all select 'distrust', host from hosts where regexp_matches(host, '{BLOCKED}')),
+seeds as materialized (select 'trust' as kind, host from hosts where regexp_matches(host, '{TRUSTED}') union all select 'distrust', host from hosts where regexp_matches(host, '{BLOCKED}')),
 ways0 as (select 'trust' as kind, src as host, dst, weight from edges union all select 'distrust', dst, src, weight from edges),
-ways as (select *, sum(weight) over (partition by kind, host)::hugeint as total from ways0),
-{", ".join(steps)},
-ranks as (select host, coalesce(sum(rank) filter (kind = 'trust'), 0)::bigint as trust, coalesce(sum(rank) filter (kind = 'distrust'), 0)::bigint as distrust from r{ROUNDS} group by host)
+ways as materialized (select *, sum(weight) over (partition by kind, host)::hugeint as total from ways0),
+r(k, kind, host, "rank", before, over) as (
+    select 0, kind, host, {part}::hugeint, null::hugeint, false from seeds
+    union all
+    select k, kind, host, "rank", case when k % {CUT_EVERY} = 0 then total else before end, k % {CUT_EVERY} = 0 and coalesce(total - before <= {NEGLIGIBLE}, false) from (
+        select *, sum("rank") over ()::hugeint as total from (
+            select k, kind, host, sum("rank")::hugeint as "rank", any_value(before) as before from (
+                select r.k + 1 as k, w.kind, w.dst as host, (r."rank" * {FOLLOW} * w.weight) // (w.total * 100) as "rank", r.before from ways w join r on w.kind = r.kind and w.host = r.host where not r.over
+                union all select r.k + 1, r.kind, r.host, {part}::hugeint, r.before from r semi join seeds s on s.kind = r.kind and s.host = r.host where not r.over
+            ) group by k, kind, host having sum("rank") > 0))),
+ranks as (select host, coalesce(sum("rank") filter (kind = 'trust'), 0)::bigint as trust, coalesce(sum("rank") filter (kind = 'distrust'), 0)::bigint as distrust from r where over group by host)
 select page_id, host, coalesce(trust, 0) as trust, coalesce(distrust, 0) as distrust,
     not (coalesce(regexp_matches(host, '{BLOCKED}'), false) or (coalesce(distrust, 0) >= {BLOCK_AT} and coalesce(distrust, 0) > coalesce(trust, 0))) as allowed from own left join ranks using (host)"""

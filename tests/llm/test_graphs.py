@@ -67,25 +67,8 @@ def test_trust_of_no_pages(spark, tmp_path):
     assert link_trust.query(spark, str(tmp_path)).count() == 0
 
 
-def test_trust_against_dense_pagerank(spark):
-    rng = np.random.default_rng(1)
-    n = 12
-    w = rng.integers(0, 4, (n, n)) * (1 - np.eye(n, dtype=int))
-    edges = spark.createDataFrame([(f"h{i}", f"h{j}", int(w[i, j])) for i in range(n) for j in range(n) if w[i, j]], "src string, dst string, weight long")
-    hosts = spark.createDataFrame([(f"h{i}",) for i in range(n)], "host string")
-    got = {r["host"]: r for r in link_trust.propagate(edges, hosts, "^h0$", "^h1$").collect()}
-    for kind, matrix, seed in (("trust", w, 0), ("distrust", w.T, 1)):
-        step = matrix / np.maximum(matrix.sum(1, keepdims=True), 1)
-        start = np.eye(n)[seed] * link_trust.MASS
-        rank = start
-        for _ in range(link_trust.ROUNDS):
-            rank = 0.15 * start + 0.85 * rank @ step
-        for i in range(n):
-            assert abs((got[f"h{i}"][kind] if f"h{i}" in got else 0) - rank[i]) < 1000
-
-
 def test_converged_trust_against_the_linear_system(spark):
-    """A chain longer than ROUNDS and a random graph: ranks and verdicts of the solved system."""
+    """A long chain and a random graph: ranks and verdicts of the solved system."""
     rng = np.random.default_rng(7)
     n, m = 36, 20  # a chain to a blocked host; a random graph beside it
     w = np.zeros((n + m, n + m), int)
@@ -102,7 +85,7 @@ def test_converged_trust_against_the_linear_system(spark):
         for i in range(n + m):
             assert abs((got[f"h{i}"][kind] if f"h{i}" in got else 0) - want[kind][i]) < link_trust.BLOCK_AT / 100
     hops = [k for k in range(n) if want["distrust"][n - 1 - k] >= link_trust.BLOCK_AT]
-    assert max(hops) > link_trust.ROUNDS
+    assert max(hops) > 12
     assert hops == [k for k in range(n) if f"h{n - 1 - k}" in got and got[f"h{n - 1 - k}"]["distrust"] >= link_trust.BLOCK_AT]
 
 
