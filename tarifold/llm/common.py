@@ -78,6 +78,11 @@ def join_lookup(df: DataFrame, lookup: DataFrame, on: list[str], how: str = "lef
     return df.join(F.broadcast(lookup) if small else lookup, on, how)
 
 
+def columns_of(df: DataFrame) -> list[Column]:
+    """df's own columns, whatever their names hold (dots, backquotes)."""
+    return [F.col("`" + name.replace("`", "``") + "`") for name in df.columns]
+
+
 def words(text: Column) -> Column:
     """Whitespace-separated words of a text; null counts as none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -7,21 +7,26 @@ in which they differ; its expectation is about SYMBOLS * (1 - Jaccard).
 The signature is cut into m chunks. If two signatures differ in at most
 ``max_distance`` < 2 m symbols, some chunk has at most one error (pigeonhole).
 Every chunk is therefore indexed once per allowed error position, that symbol
-masked out. Two signatures that meet under a key are compared in full, and the
-pair is emitted only under the first key where the two can meet, so no distinct
-is needed afterwards. Nothing is capped: all pairs of distinct signatures within
-the distance appear, as pairs of their least holders (see near_pairs).
+masked out. Two signatures that
+meet under a key are compared in full, and the pair is emitted only under the
+first key where the two can meet, so no distinct is needed afterwards. The index
+holds each distinct signature once, by its least holder; the pairs found are
+then spread over all holders. Nothing is capped and nothing left out: all pairs
+of documents whose signatures are within the distance appear.
 
 Defined results for odd input:
 
 * null, empty or blank text: no signature, in no pair; dedup keeps it;
 * one word: the word itself is the only shingle;
 * very long text: whole text is hashed, in one vectorised pass;
-* repeated rows (equal doc_id): one node; a document never pairs with itself;
-* null doc_id: in no pair; dedup keeps it;
-* equal signatures: collapsed to the least doc_id, which is paired with every
-  other holder at distance 0, so that thousands of exact copies cost one row each;
-* extra columns are ignored (and carried by dedup).
+* repeated rows (equal doc_id): one document, which never pairs with itself; with
+  several texts it pairs by the nearest of them; dedup keeps one row of a group
+  even where its rows share an id;
+* null doc_id: in no pair; dedup takes such rows as documents of their own, after
+  all with an id;
+* equal signatures: pairs at distance 0; ties in dedup: the least doc_id stays;
+* empty table: empty result;
+* extra columns are ignored (and carried by dedup, dotted names too).
 """
 
 from __future__ import annotations
@@ -33,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarifold.llm.common import join_lookup, stash, table
+from tarifold.llm.common import columns_of, join_lookup, stash, table
 
 SYMBOLS = 40
 LANES = SYMBOLS // 8
@@ -137,12 +142,12 @@ def _lane_mask(symbols: list[int]) -> dict[int, int]:
 
 
 def _keys() -> Column:
-    """An array of the masked chunk keys: key number and hash of the symbols left."""
+    """An array of the masked chunk keys: hash of the symbols left, its lowest six bits replaced by the key's number."""
     out, number = [], 0
     for chunk in _chunk_symbols():
         for wrong in chunk:
             kept = [F.col(f"s{lane}").bitwiseAND(F.lit(m)) for lane, m in sorted(_lane_mask([s for s in chunk if s != wrong]).items())]
-            out.append(F.xxhash64(F.lit(number), *kept))
+            out.append(F.xxhash64(*kept).bitwiseAND(F.lit(-64)).bitwiseOR(F.lit(number)))
             number += 1
     return F.array(*out)
 
@@ -182,28 +187,53 @@ def hamming_pairs(sigs: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFram
     if not 0 <= max_distance < 2 * CHUNKS:
         raise ValueError(f"the index guarantees distances up to {MAX_DISTANCE}")
     lanes = [f"s{i}" for i in range(LANES)]
-    keyed = sigs.select("doc_id", *lanes, F.posexplode(_keys()).alias("number", "key"))
+    keyed = sigs.select("doc_id", *lanes, F.explode(_keys()).alias("key"))
     a, b = keyed.alias("a"), keyed.alias("b")
-    met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.number") == F.col("b.number")) & (F.col("a.doc_id") < F.col("b.doc_id")))
-    met = met.select(F.col("a.doc_id").alias("doc_a"), F.col("b.doc_id").alias("doc_b"), F.col("a.number").alias("number"), *(_error_bits(i).alias(f"e{i}") for i in range(LANES)))
+    met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.doc_id") < F.col("b.doc_id")))
+    number = F.col("a.key").bitwiseAND(F.lit(63)).cast("int")
+    met = met.select(F.col("a.doc_id").alias("doc_a"), F.col("b.doc_id").alias("doc_b"), number.alias("number"), *(_error_bits(i).alias(f"e{i}") for i in range(LANES)))
     error = [F.col(f"e{i}") for i in range(LANES)]
     met = met.withColumn("distance", sum((F.bit_count(e) for e in error), F.lit(0)).cast("int")).filter(F.col("distance") <= max_distance)
     return met.filter(_first_key(error) == F.col("number")).select("doc_a", "doc_b", "distance")
 
 
-def near_pairs(docs: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
-    """Near-duplicate pairs (doc_a, doc_b, distance), doc_a < doc_b.
+LANE_NAMES = [f"s{i}" for i in range(LANES)]
 
-    Holders of one signature appear as a star around the least of them, at
-    distance 0; two signatures within the distance appear as a pair of their
-    least holders. Together these determine every pair within the distance.
-    """
-    lanes = [f"s{i}" for i in range(LANES)]
+
+def _holders(sigs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Distinct signatures with their least and last holder, and (rep, doc_id) of those with several."""
+    heads = stash(sigs.groupBy(*LANE_NAMES).agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")), "heads")
+    members = sigs.join(heads.filter("rep < last"), LANE_NAMES).select("rep", "doc_id").distinct()
+    return heads, stash(members, "members")
+
+
+def _rep_pairs(heads: DataFrame, max_distance: int) -> DataFrame:
+    return hamming_pairs(heads.withColumnRenamed("rep", "doc_id").drop("last"), max_distance)
+
+
+def near_pairs(docs: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
+    """All near-duplicate pairs (doc_a, doc_b, distance), doc_a < doc_b, each once."""
     sigs = stash(signatures(docs), "signatures")
-    holders = sigs.groupBy(*lanes).agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last"))
-    heads = stash(holders, "heads")
-    star = sigs.join(heads.filter("rep < last"), lanes).filter("doc_id > rep").select(F.col("rep").alias("doc_a"), F.col("doc_id").alias("doc_b"), F.lit(0).alias("distance")).distinct()
-    return star.unionByName(hamming_pairs(heads.withColumnRenamed("rep", "doc_id").drop("last"), max_distance))
+    heads, members = _holders(sigs)
+    one, other = members.select("rep", F.col("doc_id").alias("doc_a")), members.select("rep", F.col("doc_id").alias("doc_b"))
+    same = one.join(other, "rep").filter("doc_a < doc_b").select("doc_a", "doc_b", F.lit(0).alias("distance"))
+    apart = stash(_rep_pairs(heads, max_distance), "rep_pairs")
+    for side in ("doc_a", "doc_b"):  # most signatures have one holder and stay as they are
+        all_ = members.select(F.col("rep").alias(side), F.col("doc_id").alias("__holder"))
+        apart = join_lookup(apart, all_, [side]).withColumn(side, F.coalesce("__holder", side)).drop("__holder")
+    apart = apart.filter("doc_a <> doc_b").select(F.least("doc_a", "doc_b").alias("doc_a"), F.greatest("doc_a", "doc_b").alias("doc_b"), "distance")
+    found = same.unionByName(apart)
+    print_ = F.xxhash64(*LANE_NAMES)
+    twofold = sigs.groupBy("doc_id").agg(F.min(print_).alias("a"), F.max(print_).alias("b")).filter("a <> b")
+    # only a document with several texts can meet another one twice
+    return found if twofold.isEmpty() else found.groupBy("doc_a", "doc_b").agg(F.min("distance").alias("distance"))
+
+
+def links(docs: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
+    """Pairs that connect the same documents as near_pairs: the holders of a signature as a star around the least."""
+    heads, members = _holders(stash(signatures(docs), "signatures"))
+    star = members.filter("doc_id > rep").select(F.col("rep").alias("doc_a"), F.col("doc_id").alias("doc_b"))
+    return star.unionByName(_rep_pairs(heads, max_distance).select("doc_a", "doc_b"))
 
 
 def components(pairs: DataFrame, a: str = "doc_a", b: str = "doc_b") -> DataFrame:
@@ -229,17 +259,30 @@ def components(pairs: DataFrame, a: str = "doc_a", b: str = "doc_b") -> DataFram
         last = now
 
 
+def _lost(docs: DataFrame, max_distance: int) -> DataFrame:
+    groups = components(links(docs, max_distance))
+    return stash(groups.filter("doc_id <> root").select(F.col("doc_id").alias("__lost")), "lost")
+
+
 def dedup(docs: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
-    """docs without the near duplicates: of every group the row with the least doc_id stays.
+    """docs without the near duplicates: of every group the row with the least doc_id stays. All columns are kept.
 
-    Of repeated rows with one doc_id that is in a group or not, all copies of
-    the surviving id stay as they came. All columns are kept.
+    Where ids are null or repeat, rows are numbered first, in a written copy,
+    so that of rows that share an id or have none one stays as well.
     """
-    groups = components(near_pairs(docs, max_distance))
-    lost = stash(groups.filter("doc_id <> root").select(F.col("doc_id").alias("__lost")), "lost")
-    return join_lookup(docs.withColumn("__lost", F.col("doc_id").cast("long")), lost, ["__lost"], "left_anti").drop("__lost")
+    key = F.col("doc_id").cast("long")
+    n = docs.agg(F.count("*").alias("rows"), F.count_distinct(key).alias("ids")).first()
+    if n["rows"] == n["ids"]:
+        return join_lookup(docs.withColumn("__lost", key), _lost(docs, max_distance), ["__lost"], "left_anti").drop("__lost")
+    rows = stash(docs.select(F.monotonically_increasing_id().alias("number"), F.struct(*columns_of(docs)).alias("row")), "rows")
+    own = rows.select("number", F.col("row.doc_id").cast("long").alias("id"))
+    groups = components(links(rows.select(F.col("number").alias("doc_id"), F.col("row.text").alias("text")), max_distance))
+    placed = groups.join(own, groups["doc_id"] == own["number"]).select("number", "root", F.struct(F.col("id").isNull(), "id", "number").alias("place"))
+    first = placed.groupBy("root").agg(F.min_by("number", "place").alias("first"))
+    lost = stash(placed.join(first, "root").filter("number <> first").select("number"), "lost")
+    return join_lookup(rows, lost, ["number"], "left_anti").select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """op10: the near-duplicate pairs of the whole documents table, equal signatures as stars."""
+    """op10: all near-duplicate pairs of the whole documents table."""
     return near_pairs(table(spark, sf_dir, "documents"))

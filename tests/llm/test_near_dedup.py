@@ -5,20 +5,17 @@ from tarifold.llm import hamming_join as hj
 
 
 def brute(rows):
-    """All pairs within the distance, reduced to stars for equal signatures, by comparing every two."""
+    """All pairs within the distance, each document by its nearest text, by comparing every two."""
     sigs = [(i, hj.text_signature(t.encode())) for i, t in rows if i is not None and t is not None]
-    sigs = sorted((i, s.tobytes()) for i, s in sigs if s is not None)
-    rep = {}
-    for i, s in sigs:
-        rep.setdefault(s, i)
-    out = {(rep[s], i, 0) for i, s in sigs if i != rep[s]}
-    reps = [(i, np.frombuffer(s, np.uint8)) for s, i in rep.items()]
-    for k, (i, a) in enumerate(reps):
-        for j, b in reps[:k]:
+    sigs = [(i, s) for i, s in sigs if s is not None]
+    out = {}
+    for k, (i, a) in enumerate(sigs):
+        for j, b in sigs[:k]:
             d = int((a != b).sum())
             if d <= hj.MAX_DISTANCE and i != j:
-                out.add((min(i, j), max(i, j), d))
-    return out
+                pair = (min(i, j), max(i, j))
+                out[pair] = min(d, out.get(pair, d))
+    return {(*p, d) for p, d in out.items()}
 
 
 def pairs(df):
@@ -68,10 +65,30 @@ def test_odd_rows(spark, odd_docs, no_docs):
     kept = hj.dedup(odd_docs)
     ids = sorted((r["doc_id"] for r in kept.collect()), key=lambda x: (x is None, x))
     assert kept.columns == odd_docs.columns
-    assert ids == [1, 4, 5, 6, 7, 8, 9, 10, 11, 12, None, None]
+    assert ids == [1, 4, 5, 6, 7, 8, 9, 10, 11, 12, None]  # the row without an id is a copy of 1, that without a text stays
     assert hj.near_pairs(no_docs).count() == 0 and hj.dedup(no_docs).count() == 0
 
 
+def test_every_pair_of_a_group_of_copies(spark):
+    """Four equal texts make six pairs; a near copy pairs with each of them; a document with two texts is one document."""
+    base = prose(9, 200)
+    rows = [(i, base) for i in (3, 5, 6, 8)] + [(7, base.replace(base.split()[3], "other", 1)), (9, prose(10, 200)), (9, base), (10, prose(10, 200))]
+    got = pairs(hj.near_pairs(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert got == brute(rows)
+    assert {p[:2] for p in got} >= {(3, 5), (3, 6), (3, 8), (5, 6), (5, 8), (6, 8), (3, 7), (7, 8), (8, 9), (9, 10)} and len({p[:2] for p in got}) == len(got)
+
+
+def test_dedup_of_repeated_and_missing_ids(spark):
+    base, other = prose(11, 150), prose(12, 150)
+    rows = [(4, base, "a"), (4, base, "b"), (None, base, "c"), (None, other, "d"), (None, other, "e"), (6, None, "f"), (6, None, "g"), (2, other + " x", "h")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `meta.tag` string")
+    kept = hj.dedup(docs)
+    assert kept.columns == docs.columns
+    assert sorted((str(r["doc_id"]), str(r["text"])) for r in kept.collect()) == sorted([("4", base), ("6", "None"), ("6", "None"), ("2", other + " x")])
+    unique = docs.filter("doc_id in (2, 4)").dropDuplicates(["doc_id"])
+    assert hj.dedup(unique).columns == docs.columns and hj.dedup(unique).count() == 2
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(30)] + [(100, 103), (101, 103), (102, 101)] + [(200, i) for i in range(201, 240)] + [(7, 7)]
     got = {r["doc_id"]: r["root"] for r in hj.components(spark.createDataFrame(edges, "doc_a long, doc_b long")).collect()}
