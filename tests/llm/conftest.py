@@ -19,7 +19,8 @@ def no_docs(spark):
 
 @pytest.fixture(scope="session")
 def no_labels(spark, tmp_path_factory):
-    """A table folder whose labels are empty."""
+    """A table folder whose documents and labels are empty."""
     path = str(tmp_path_factory.mktemp("sf"))
+    spark.createDataFrame([], DOCS).write.parquet(f"{path}/documents.parquet")
     spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
     return path
