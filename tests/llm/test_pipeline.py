@@ -2,10 +2,11 @@ import collections
 
 import corpus_pipeline
 import numpy as np
+import samples
 from oracle import assert_same
 from test_quality import python_features
 
-from tarifold.llm import hamming_join, mixing, queries, rule_list, site_bayes
+from tarifold.llm import hamming_join, mixing, queries, rule_list, site_bayes, token_rollup
 
 
 def test_stages():
@@ -37,7 +38,7 @@ def test_each_stage_against_brute_force(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     kept = corpus_pipeline.quality_classifier(spark, docs, sf)
     scored = site_bayes.evidence(docs, site_bayes.fit(spark, docs, sf))
-    assert {r["doc_id"] for r in kept.collect()} == {r["doc_id"] for r in site_bayes.posterior(scored, site_bayes.site_rates(scored)).filter(f"posterior >= {site_bayes.KEEP}").collect()}
+    assert {r["doc_id"] for r in kept.collect()} == {r["doc_id"] for r in site_bayes.posterior(scored, *site_bayes.site_sums(scored)).filter(f"posterior >= {site_bayes.KEEP}").collect()}
     labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
     ids = {r["doc_id"] for r in kept.collect()}
     assert not [i for i, q in labels.items() if q and i not in ids]  # good documents stay
@@ -63,11 +64,29 @@ def test_each_stage_against_brute_force(spark, sf):
     left = {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, sf).collect()}
     assert left == {r["doc_id"] for r in rows if root.get(r["doc_id"], r["doc_id"]) == r["doc_id"]}
 
-    assert collections.Counter(r["doc_id"] for r in corpus_pipeline.mixing_to_weights(spark, docs, sf).collect()) == collections.Counter(r["doc_id"] for r in mixing.query(spark, sf).collect())
+    counted, ends = mixing._ends(docs, mixing.BUDGET_PERCENT, mixing.MAX_EPOCHS, token_rollup.token_counter(token_rollup.FIRST))
+    assert collections.Counter(r["doc_id"] for r in corpus_pipeline.mixing_to_weights(spark, docs, sf).collect()) == collections.Counter(r["doc_id"] for r in mixing.select(counted, ends).collect())
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, sf).columns == docs.columns
 
 
+def test_rules_work_on_what_the_classifier_kept(spark):
+    """The second stage has the rules of op7, though its input holds no bad label any more, and rejects junk that the first let pass."""
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    junk = spark.createDataFrame([(10**9 + k, (samples.prose(k, 40) + " ") * 10 + "| " * 150, "en", "src0", 0) for k in range(20)], "doc_id long, text string, lang string, source string, n_chars long")
+    first = corpus_pipeline.quality_classifier(spark, docs, sf)
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    assert first.join(labels.filter("quality = 0"), "doc_id").count() == 0
+    planted = first.unionByName(junk.select(first.columns))
+    left = {r["doc_id"] for r in corpus_pipeline.quality_rules(spark, planted, sf).collect()}
+    assert not [i for i in left if i >= 10**9]
+    good = {r["doc_id"] for r in first.join(labels.filter("quality = 1"), "doc_id").collect()}
+    assert good <= left
+    rules = rule_list.fit(spark, docs, sf)
+    assert rules and {r["rules"] for r in rule_list.query(spark, sf).collect()} == {rule_list.describe(rules)}
+
+
 def test_run_is_the_chain(spark, sf, tmp_path):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     for n, (_, stage) in enumerate(corpus_pipeline.STAGES):

@@ -51,9 +51,10 @@ def brute_posterior(rows):
     rate = {h: (g + k1 * base) / (n + k1) for h, (n, g) in host.items()}
     k2 = strength([(n, g / n, rate[h]) for (h, _), (n, g) in path.items()])
     out = []
-    for h, s, e in rows:
+    for (h, s, e), own in zip(rows, p):  # each document's prior is made of the others
         n, g = path[h, s]
-        r = (g + k2 * rate[h]) / (n + k2)
+        m, f = host[h]
+        r = (g - own + k2 * (f - own + k1 * base) / (m - 1 + k1)) / (n - 1 + k2)
         out.append(sig(e + math.log(r / (1 - r)) - math.log(base / (1 - base))))
     return out
 
@@ -63,7 +64,7 @@ def test_posterior_against_brute_force(spark, sf):
     scored = site_bayes.evidence(docs, site_bayes.fit(spark, docs, sf)).orderBy("doc_id")
     rows = scored.collect()
     want = dict(zip([r["doc_id"] for r in rows], brute_posterior([(r["host"], r["section"], r["evidence"]) for r in rows])))
-    got = site_bayes.posterior(scored, site_bayes.site_rates(scored)).collect()
+    got = site_bayes.posterior(scored, *site_bayes.site_sums(scored)).collect()
     assert len(got) == len(want)
     for r in got:
         assert abs(r["posterior"] - want[r["doc_id"]]) < 1e-9
@@ -75,10 +76,42 @@ def test_posterior_against_brute_force(spark, sf):
 def test_sparse_sites_shrink_more(spark):
     rows = [(i, "big", "en", -4.0) for i in range(200)] + [(1000 + i, "good", "en", 4.0) for i in range(400)] + [(2000, "tiny", "en", -4.0)]
     scored = spark.createDataFrame(rows, "doc_id long, host string, section string, evidence double")
-    rate = {r["host"]: r["path_rate"] for r in site_bayes.site_rates(scored).collect()}
+    sums, priors = site_bayes.site_sums(scored)
+    rate = {r["host"]: r["path_rate"] for r in sums.withColumn("path_rate", priors.rates()[1]).collect()}
     assert rate["big"] < rate["tiny"] < rate["good"]
 
 
+def test_a_document_is_not_its_own_prior(spark):
+    rows = [(i, "h", "en", 3.0) for i in range(50)] + [(99, "alone", "en", -9.0)]
+    scored = spark.createDataFrame(rows, "doc_id long, host string, section string, evidence double")
+    got = {r["doc_id"]: r for r in site_bayes.posterior(scored, *site_bayes.site_sums(scored)).collect()}
+    sums, priors = site_bayes.site_sums(scored)
+    assert abs(got[99]["path_rate"] - priors.base) < 1e-9  # nobody else is there: the global rate
+
+
+def test_sites_of_urls(spark):
+    rows = [("https://u@A.example.org:80/blog/x?q", "en"), ("http://b.example.org", "de"), ("src7", "fr"), (None, None)]
+    frame = spark.createDataFrame(rows, "source string, lang string")
+    assert [tuple(r) for r in frame.select(*site_bayes.site_columns(F.col("source"), F.col("lang"))).collect()] == [("a.example.org", "/blog"), ("b.example.org", ""), ("src7", "fr"), ("", "")]
+
+
+def test_logistic_fit_solves_its_equations():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(400, 3)) * [1, 10, 0.1] + [0, 5, 2]
+    y = (rng.random(400) < 1 / (1 + np.exp(-(x @ [1.0, 0.2, -5.0] + 8)))).astype(float)
+    m = site_bayes.fit_logistic(x, y, ["a", "b", "c"])
+    p = 1 / (1 + np.exp(-(x @ np.array(m.weights) + m.bias)))
+    z, w = (x - x.mean(0)) / x.std(0), np.array(m.weights) * x.std(0)
+    assert np.abs(z.T @ (y - p) - site_bayes.RIDGE * w).max() < 1e-4 and abs((y - p).sum()) < 1e-3
+
+
+def test_dotted_and_clashing_columns(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").selectExpr("*", "lang as `meta.lang`", "source as host", "1 as evidence", "2 as posterior", "3 as n", "4 as good", "'x' as `a``b`", "5 as row")
+    for keep in (site_bayes.keep_good, rule_list.keep_good):
+        kept = keep(spark, docs, sf)
+        assert kept.columns == docs.columns and 0 < kept.count() < docs.count() + 1
+
+
 def held_out(spark, sf, kept, fitted):
     labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{sf}/labels.parquet").orderBy(F.xxhash64(F.col("doc_id").cast("long")), "doc_id").collect()[fitted:]}
     right = sum((i in kept) == bool(q) for i, q in labels.items())
@@ -118,7 +151,78 @@ def test_rules_are_ordered_and_exact(spark):
     assert rule_list.learn(x, np.ones(3000, bool)) == [] and rule_list.learn({k: v[:0] for k, v in x.items()}, bad[:0]) == []
     two = [(rule_list.Condition("bars", True, 0.5),), (rule_list.Condition("bars", True, 0.1), rule_list.Condition("digits", False, 0.0))]
     frame = spark.createDataFrame([("| |",), ("| a b c",), ("a",), (None,)], "text string")
-    assert [r[0] for r in frame.select(rule_list.rule_number(two, F.col("text"))).collect()] == [1, 2, 0, 0]
+    assert [r[0] for r in rule_list.numbered(frame, two).select("__rule").collect()] == [1, 2, 0, 0]
+
+
+def brute_learn(x, bad):
+    """Sequential covering with every threshold tried one by one."""
+    size, grow = len(bad), np.arange(len(bad)) % 3 != 2
+    left, rules = np.ones(size, bool), []
+
+    def gain(inside, test):
+        p0, n0 = (bad & inside).sum(), (~bad & inside).sum()
+        p, n = (bad & inside & test).sum(), (~bad & inside & test).sum()
+        return p * (np.log2(p / (p + n)) - np.log2(p0 / (p0 + n0))) if p and p0 else -1.0
+
+    while True:
+        inside, rule = left & grow, []
+        while (~bad & inside).any():
+            best, chosen = 1e-9, None
+            for name in x:
+                values = np.unique(x[name])
+                for above in (True, False):
+                    for cut in (values[:-1] + values[1:]) / 2:
+                        c = rule_list.Condition(name, above, float(cut))
+                        g = gain(inside, c.test(x))
+                        if g > best:
+                            best, chosen = g, c
+            if chosen is None:
+                break
+            rule.append(chosen)
+            inside = inside & chosen.test(x)
+        if not rule:
+            return rules
+
+        def worth(k, part):
+            hit = left & part
+            for c in rule[:k]:
+                hit = hit & c.test(x)
+            return (bad & hit).sum(), (~bad & hit).sum()
+
+        scored = [((p - n) / (p + n) if p + n else -1.0, -k) for k in range(1, len(rule) + 1) for p, n in [worth(k, ~grow)]]
+        k = -max(scored)[1]
+        (p, n), (pa, na) = worth(k, ~grow), worth(k, np.ones(size, bool))
+        if p < rule_list.MIN_PRECISION * max(p + n, 1) or pa + na < rule_list.MIN_COVER or pa < rule_list.MIN_PRECISION * (pa + na):
+            return rules
+        rules.append(rule[:k])
+        hit = np.ones(size, bool)
+        for c in rule[:k]:
+            hit &= c.test(x)
+        left = left & ~hit
+
+
+def test_learner_against_brute_force():
+    for seed in range(4):
+        rng = np.random.default_rng(seed)
+        x = {"a": np.round(rng.random(240), 2), "b": rng.random(240), "c": rng.integers(0, 3, 240).astype(float)}
+        bad = ((x["a"] > 0.8) | ((x["b"] < 0.3) & (x["c"] > 1))) ^ (rng.random(240) < 0.02)
+        got, want = rule_list.learn(x, bad), brute_learn(x, bad)
+        assert len(got) == len(want)
+        for r, w in zip(got, want):
+            assert (rule_list._holds(r, x, 240) == rule_list._holds(tuple(w), x, 240)).all() and set(r) <= set(w)
+
+
+def test_op7_query_against_python(spark):
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rules = rule_list.fit(spark, docs, sf)
+    got = rule_list.query(spark, sf).collect()
+    want = set()
+    for r in docs.collect():
+        x = {k: np.array([v]) for k, v in python_features(r["text"]).items()}
+        if not any(rule_list._holds(rule, x, 1)[0] for rule in rules):
+            want.add(r["doc_id"])
+    assert rules and {r["doc_id"] for r in got} == want and {r["rules"] for r in got} == {rule_list.describe(rules)}
 
 
 def test_ties_in_thresholds():
