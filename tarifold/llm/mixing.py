@@ -22,16 +22,21 @@ Defined results for odd input:
 * null lang or source: the leaf named ""; a source without a number: domain "d";
 * null doc_id: ordered as "" and taken or left like others;
 * ties and repeated rows (equal doc_id): one place in the order, taken only if all fit;
-* unknown language: weight 1; weight 0: nothing is taken;
-* empty table: empty result; extra columns are ignored (and carried by mix).
+* unknown language: weight 1; weight 0: nothing is taken, its share is its siblings';
+* empty table: empty result; extra columns are ignored (and carried by mix, dotted names too).
+
+Tokens are white-space words in op3 itself, so that its SQL form can count them
+too; the pipeline's stage counts byte-pair tokens.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tarifold.llm.common import join_lookup, stash, table, words
+from tarifold.llm.common import columns_of, join_lookup, stash, table, words
 
 DOMAINS = 4
 DOMAIN_WEIGHTS = {"d0": 4, "d1": 3, "d2": 2, "d3": 1}
@@ -81,11 +86,15 @@ def share(children: DataFrame, parent: list[str], order: str) -> DataFrame:
     return c.withColumn("given", given).drop("__used", "__left", "__full")
 
 
-def leaf_budgets(leaves: DataFrame, budget: Column, max_epochs: int = MAX_EPOCHS) -> DataFrame:
-    """Budget `given` of each leaf. leaves: LEAF and tokens; budget: tokens of the root, of its tokens column."""
+def leaf_budgets(leaves: DataFrame, budget: Column, max_epochs: int = MAX_EPOCHS, domain_weights: dict[str, int] = DOMAIN_WEIGHTS, language_weights: dict[str, int] = LANGUAGE_WEIGHTS) -> DataFrame:
+    """Budget `given` of each leaf. leaves: LEAF and tokens; budget: tokens of the root, of its tokens column.
+
+    A node can use what its children of some weight can: one of weight 0 adds nothing to it.
+    """
     own = leaves.withColumn("capacity", F.col("tokens") * max_epochs).withColumn("weight", F.lit(1).cast("long"))
-    languages = own.groupBy("domain", "language").agg(F.sum("capacity").alias("capacity")).withColumn("weight", _weight(F.col("language"), LANGUAGE_WEIGHTS))
-    domains = languages.groupBy("domain").agg(F.sum("capacity").alias("capacity")).withColumn("weight", _weight(F.col("domain"), DOMAIN_WEIGHTS))
+    usable = F.coalesce(F.sum(F.when(F.col("weight") > 0, F.col("capacity"))), F.lit(0)).alias("capacity")
+    languages = own.groupBy("domain", "language").agg(usable).withColumn("weight", _weight(F.col("language"), language_weights))
+    domains = languages.groupBy("domain").agg(usable).withColumn("weight", _weight(F.col("domain"), domain_weights))
     root = leaves.agg(F.sum("tokens").alias("tokens")).select(budget.cast("long").alias("budget"))
     domains = share(domains.crossJoin(F.broadcast(root)), [], "domain").select("domain", F.col("given").alias("budget"))  # root is one row
     languages = share(languages.join(domains, "domain"), ["domain"], "language").select("domain", "language", F.col("given").alias("budget"))
@@ -126,26 +135,29 @@ def select(rows: DataFrame, ends: DataFrame) -> DataFrame:
     return joined.withColumn("__copies", copies).filter("__copies > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__copies") - 1))).drop("__copies", "epochs", "cutoff")
 
 
-def counted_documents(docs: DataFrame) -> DataFrame:
-    return docs.select(*leaf_columns(), F.col("doc_id").cast("long").alias("doc_id"), words(F.col("text")).alias("tokens"))
+def counted_documents(docs: DataFrame, tokens: Callable[[Column], Column] = words) -> DataFrame:
+    return docs.select(*leaf_columns(), F.col("doc_id").cast("long").alias("doc_id"), tokens(F.col("text")).alias("tokens"))
 
 
-def _ends(docs: DataFrame, percent: int, max_epochs: int) -> tuple[DataFrame, DataFrame]:
-    counted = stash(counted_documents(docs), "counted")
+def _ends(docs: DataFrame, percent: int, max_epochs: int, tokens: Callable[[Column], Column] = words) -> tuple[DataFrame, DataFrame]:
+    counted = stash(counted_documents(docs, tokens), "counted")
     leaves = stash(counted.groupBy(*LEAF).agg(F.sum("tokens").alias("tokens")), "leaves")
     budget = F.expr(f"tokens * {percent} div 100")
     return counted, cutoffs(counted, leaf_budgets(leaves, budget, max_epochs))
 
 
-def mix(docs: DataFrame, percent: int = BUDGET_PERCENT, max_epochs: int = MAX_EPOCHS) -> DataFrame:
-    """The rows of docs taken, once per epoch, columns as they came. The text is never shuffled."""
-    _, ends = _ends(docs, percent, max_epochs)
+def mix(docs: DataFrame, percent: int = BUDGET_PERCENT, max_epochs: int = MAX_EPOCHS, tokens: Callable[[Column], Column] = words) -> DataFrame:
+    """The rows of docs taken, once per epoch, columns as they came. The text is never shuffled.
+
+    tokens: the count that budgets are made of; words, or byte-pair tokens of some vocabulary.
+    """
+    _, ends = _ends(docs, percent, max_epochs, tokens)
     names = {c: f"__leaf_{c}" for c in LEAF}
     renamed = ends.select(*(F.col(c).alias(n) for c, n in names.items()), F.col("epochs").alias("__epochs"), F.col("cutoff").alias("__cutoff"))
     tagged = docs.select("*", *(c.alias(names[k]) for k, c in zip(LEAF, leaf_columns())))
     joined = join_lookup(tagged, renamed, list(names.values()), "inner")
     copies = F.col("__epochs") + (_place(F.col("__epochs"), F.col("doc_id")) <= F.col("__cutoff")).cast("long")
-    return joined.withColumn("__n", F.explode(F.when(copies > 0, F.sequence(F.lit(1).cast("long"), copies)))).select(*docs.columns)
+    return joined.withColumn("__n", F.explode(F.when(copies > 0, F.sequence(F.lit(1).cast("long"), copies)))).select(*columns_of(docs))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -174,7 +186,7 @@ def oracle() -> str:
     coalesce(lang, '') as language, coalesce(source, '') as site, coalesce(len(regexp_extract_all(text, '[^ \\t\\n\\r\\f\\v]+')), 0)::bigint as tokens from documents),
 leaves as (select domain, language, site, sum(tokens)::bigint as tokens, sum(tokens)::bigint * {MAX_EPOCHS} as capacity, 1 as weight from docs group by all),
 langs0 as (select domain, language, sum(capacity)::bigint as capacity, {case("language", LANGUAGE_WEIGHTS)} as weight from leaves group by domain, language),
-doms0 as (select domain, sum(capacity)::bigint as capacity, {case("domain", DOMAIN_WEIGHTS)} as weight, (select sum(tokens)::bigint * {BUDGET_PERCENT} // 100 from leaves) as budget from langs0 group by domain),"""
+doms0 as (select domain, coalesce(sum(capacity) filter (weight > 0), 0)::bigint as capacity, {case("domain", DOMAIN_WEIGHTS)} as weight, (select sum(tokens)::bigint * {BUDGET_PERCENT} // 100 from leaves) as budget from langs0 group by domain),"""
         + _share_sql("doms", "doms0", "", "domain", "domain")
         + ",\nlangs1 as (select l.*, d.given as budget from langs0 l join doms d using (domain)),"
         + _share_sql("langs", "langs1", "domain", "language", "domain, language")

@@ -1,20 +1,22 @@
 """Sequence packing: shortest-pack-first over the length histogram.
 
-Texts are cut in pieces of at most CONTEXT tokens, which are white-space words
-here: a pack holds more ids of a byte-pair vocabulary than CONTEXT, and a text
-without white space is one piece of length 1, however long it is. Only the histogram of piece
-lengths (at most CONTEXT numbers, whatever the corpus size) reaches the driver,
-which places lengths longest first, each into the pack that is shortest so far
-if it fits there, and counts packs by pattern instead of keeping them one by
-one. Patterns come back to the pieces by rank: the i-th piece of a length takes
-the i-th slot of that length. Ranks come from counts per (length, bucket) and
-an order inside each bucket, so that a frequent length never meets in one task.
+Texts are cut in pieces of at most CONTEXT byte-pair tokens of VOCABULARY. Only
+the histogram of piece lengths (at most CONTEXT numbers, whatever the corpus
+size) reaches the driver, which places lengths longest first, each into the pack
+that is shortest so far if it fits there, and counts packs by pattern instead of
+keeping them one by one. Patterns come back to the pieces by rank: the i-th
+piece of a length takes the i-th slot of that length. Ranks come from counts per
+(length, bucket) and an order inside each bucket, so that a frequent length
+never meets in one task. The slots of one length are ranges of ranks; a piece
+finds its own by binary search in the sorted ranges, a batch at a time.
 
 Defined results for odd input:
 
-* null, empty and blank texts: no piece, no row;
-* very long texts: as many pieces as their words need, the whole text;
-* ties: pieces of one length are alike; the order is bucket, doc_id, piece;
+* null and empty texts: no piece, no row; blank texts: their white space has tokens;
+* very long texts: as many pieces as their tokens need, the whole text;
+* ties: pieces of one length are alike; the order is bucket, doc_id, piece, and the
+  number of buckets grows with the corpus, so which of two pieces of one length
+  takes which slot may differ between corpora;
 * repeated rows: packed each for itself; null doc_id: packed, id null;
 * empty table: empty result; extra columns are ignored.
 """
@@ -23,12 +25,16 @@ from __future__ import annotations
 
 import heapq
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tarifold.llm.common import stash, table, words
+from tarifold.llm import tokens as bpe
+from tarifold.llm.common import stash, table
+from tarifold.llm.token_rollup import token_counter
 
-CONTEXT = 2048
+CONTEXT, VOCABULARY = 2048, "byte_bpe_50k"
 #: Pieces aimed at in a bucket; the number of buckets grows with the corpus.
 BUCKET_PIECES = 1_000_000
 
@@ -89,34 +95,47 @@ def slots(patterns: list[tuple[tuple[int, ...], int]]) -> dict[int, list[tuple[i
     return out
 
 
-def pieces(docs: DataFrame, context: int = CONTEXT) -> DataFrame:
+def pieces(docs: DataFrame, context: int = CONTEXT, folder: str = bpe.VOCABULARY_DIR) -> DataFrame:
     """doc_id, piece, start and length of every piece, in tokens."""
-    counted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), words(F.col("text")).alias("tokens")).filter("tokens > 0")
+    counted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), token_counter(VOCABULARY, folder)(F.col("text").cast("string")).alias("tokens")).filter("tokens > 0")
     cut = counted.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(tokens - 1) div {context}"))))
     start = F.col("piece") * context
     return cut.select("doc_id", "piece", start.alias("start"), F.least(F.lit(context).cast("long"), F.col("tokens") - start).cast("int").alias("length"))
 
 
-def pack(docs: DataFrame, context: int = CONTEXT) -> DataFrame:
+def slot_finder(of_length: dict[int, list[tuple[int, int, int, int]]]):
+    """An Arrow-batched function (length, rank) -> (pack, offset, pattern).
+
+    The sorted ranges go to the workers as five plain arrays; their number
+    depends on the patterns, not on the number of pieces.
+    """
+    flat = [(length, *slot) for length, own in sorted(of_length.items()) for slot in own]
+    lengths, ranks, packs, offsets, patterns = (np.array(c, np.int64) for c in zip(*flat)) if flat else (np.zeros(0, np.int64),) * 5
+    starts = (lengths << 48) | ranks
+
+    def find(length: pd.Series, rank: pd.Series) -> pd.DataFrame:
+        rank = rank.to_numpy(np.int64)
+        at = np.searchsorted(starts, (length.to_numpy(np.int64) << 48) | rank, "right") - 1
+        return pd.DataFrame({"pack": packs[at] + rank - ranks[at], "offset": offsets[at], "pattern": patterns[at]})
+
+    return F.pandas_udf(find, "pack long, offset int, pattern int")
+
+
+def pack(docs: DataFrame, context: int = CONTEXT, folder: str = bpe.VOCABULARY_DIR) -> DataFrame:
     """doc_id, piece, start, length, pack, offset, pattern: one row per piece."""
-    spark = docs.sparkSession
-    cut = stash(pieces(docs, context), "pieces")
+    cut = stash(pieces(docs, context, folder), "pieces")
     total = cut.count()
     buckets = max(1, -(-total // BUCKET_PIECES))
     cut = cut.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)))
     sizes = stash(cut.groupBy("length", "bucket").agg(F.count("*").alias("n")), "sizes")
     histogram = {r["length"]: r["n"] for r in sizes.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `context` rows
     of_length = slots(shortest_pack_first(histogram, context))
-    slot_type = "array<struct<rank:bigint,pack:bigint,offset:int,pattern:int>>"
-    plan = spark.createDataFrame(sorted(of_length.items()), f"length int, slots {slot_type}")
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     base = sizes.select("length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     ranked = cut.withColumn("rank", F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "piece")).cast("long") - 1)
-    # the base joins on the window's own partitioning; the slots are at most `context` rows
-    found = ranked.join(base, ["length", "bucket"]).withColumn("rank", F.col("rank") + F.col("base")).join(F.broadcast(plan), "length")
-    slot = F.expr("element_at(filter(slots, s -> s.rank <= rank), -1)")
-    found = found.withColumn("slot", slot)
-    return found.select("doc_id", "piece", "start", "length", (F.col("slot.pack") + F.col("rank") - F.col("slot.rank")).alias("pack"), F.col("slot.offset").alias("offset"), F.col("slot.pattern").alias("pattern"))
+    # the base joins on the window's own partitioning
+    found = ranked.join(base, ["length", "bucket"]).withColumn("rank", F.col("rank") + F.col("base"))
+    return found.select("doc_id", "piece", "start", "length", slot_finder(of_length)("length", "rank").alias("slot")).select("doc_id", "piece", "start", "length", "slot.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,7 @@ from samples import prose
 from oracle import assert_same
 from pyspark.sql import functions as F
 
-from tarifold.llm import mixing, packing
+from tarifold.llm import mixing, packing, tokens
 
 
 def test_mixture_equals_oracle(spark, sf):
@@ -44,6 +44,25 @@ def test_budget_beyond_the_corpus_takes_all(spark):
     assert budgets(spark, [("d0", "en", "a", 10), ("d1", "en", "c", 5)], 1000) == {("d0", "en", "a"): 10, ("d1", "en", "c"): 5}
 
 
+def test_a_language_of_weight_zero_leaves_its_share(spark):
+    frame = spark.createDataFrame([("d0", "de", "a", 10_000), ("d0", "en", "b", 10), ("d1", "en", "c", 1000)], "domain string, language string, site string, tokens long")
+    got = {r["site"]: r["given"] for r in mixing.leaf_budgets(frame, F.lit(700), 1, language_weights={"de": 0, "en": 6}).collect()}
+    assert got == {"b": 10, "c": 690}
+    assert mixing.leaf_budgets(frame, F.lit(700), 1, language_weights={"de": 0, "en": 0}).count() == 0
+
+
+def test_mix_by_byte_pair_tokens_and_dotted_columns(spark, sf):
+    from tarifold.llm import token_rollup
+
+    count = token_rollup.token_counter(token_rollup.FIRST)
+    docs = spark.read.parquet(f"{sf}/documents.parquet").selectExpr("*", "lang as `meta.lang`")
+    taken = mixing.mix(docs, tokens=count)
+    assert taken.columns == docs.columns
+    sizes = {r["doc_id"]: r["n"] for r in docs.select("doc_id", count(F.col("text")).alias("n")).collect()}
+    used, budget = sum(sizes[r["doc_id"]] for r in taken.select("doc_id").collect()), sum(sizes.values()) * mixing.BUDGET_PERCENT // 100
+    assert 0.6 * budget < used <= budget
+
+
 def test_prefix_is_the_longest_that_fits(spark):
     rows = [(i, prose(i, 20 + i), "en", "src0", 0) for i in range(200)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
@@ -97,10 +116,9 @@ def check_packs(df, docs, context):
             end += r["length"]
         assert end <= context and len({r["pattern"] for r in members}) == 1
     assert sorted(sum(r["length"] for r in m) for m in by_pack.values()) == one_by_one([r["length"] for r in rows], context)
-    want = collections.Counter()
+    enc, want = tokens.encoder(packing.VOCABULARY), collections.Counter()
     for d in docs.collect():
-        n = len((d["text"] or "").replace("　", "_").split())
-        want[d["doc_id"]] += n
+        want[d["doc_id"]] += len(enc.encode_ordinary(d["text"] or ""))
     got = collections.Counter()
     for r in rows:
         got[r["doc_id"]] += r["length"]
@@ -109,6 +127,7 @@ def check_packs(df, docs, context):
 
 def test_packs(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
+    check_packs(packing.query(spark, sf), docs, packing.CONTEXT)
     check_packs(packing.pack(docs, 512), docs, 512)
 
 
