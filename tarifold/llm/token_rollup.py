@@ -7,10 +7,12 @@ old count and an insert of the new one. Sums commute, so batches may come in
 any order, and a batch is aggregated map-side before anything is shuffled.
 
 A commit is idempotent: the batch's sums are written to a staging folder of
-the shared file system and renamed to deltas/<batch id>; a batch whose folder
+the shared file system and renamed to deltas/<batch id>@<attempt>; a batch that
 is there is not applied again, and a failed attempt leaves nothing that counts.
-One writer commits at a time. compact() folds committed deltas into a base and
-remembers their ids.
+Should two writers commit one batch at once, one of the two folders counts.
+compact() folds committed deltas into a base that lists the batches it holds;
+deltas of listed batches no longer count, so that a crash at any point of a
+compaction changes no total.
 
 Defined results for odd input:
 
@@ -26,6 +28,7 @@ Defined results for odd input:
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,8 +42,6 @@ from tarifold.llm.common import join_lookup, new_path, stash, table
 GROUP = ["source", "lang", "tokenizer"]
 SUMS = ["documents", "tokens"]
 FIRST, REVISED = "byte_bpe_50k", "byte_bpe_multi_50k"
-#: Languages whose counts query()'s revision leaves alone; op2 itself leaves none alone.
-UNREVISED = ["en"]
 
 
 def token_counter(name: str, folder: str = bpe.VOCABULARY_DIR):
@@ -78,13 +79,25 @@ class Rollup:
     def _there(self, name: str) -> bool:
         return self._fs.exists(self._path(f"{self.path}/{name}"))
 
+    def _names(self, folder: str) -> list[str]:
+        return sorted(s.getPath().getName() for s in self._fs.listStatus(self._path(f"{self.path}/{folder}"))) if self._there(folder) else []
+
+    def _state(self) -> tuple[str | None, set[str], dict[str, str]]:
+        """The base that counts (none at first), the batches it holds, and the folder of every other batch."""
+        bases = self._names("base")
+        base = bases[-1] if bases else None
+        held = set(self._names(f"base/{base}/batches")) if base else set()
+        deltas: dict[str, str] = {}
+        for name in self._names("deltas"):
+            batch = name.split("@")[0]
+            if batch not in held:
+                deltas.setdefault(batch, name)  # of two writers of one batch the first name counts
+        return base, held, deltas
+
     def committed(self) -> set[str]:
         """Ids of all batches applied, compacted ones included."""
-        out = set()
-        for folder in ("deltas", "folded"):
-            if self._there(folder):
-                out |= {s.getPath().getName() for s in self._fs.listStatus(self._path(f"{self.path}/{folder}"))}
-        return out
+        _, held, deltas = self._state()
+        return held | set(deltas)
 
     def commit(self, batch_id: str, rows: DataFrame) -> bool:
         """Apply a batch of signed rows once; False if it has been applied before."""
@@ -92,81 +105,79 @@ class Rollup:
             raise ValueError(f"unusable batch id {batch_id!r}")
         if batch_id in self.committed():
             return False
-        staged = f"{self.path}/staging/{batch_id}"
-        rows.groupBy(*GROUP).agg(*(F.sum(c).alias(c) for c in SUMS)).write.mode("overwrite").parquet(staged)
+        name = f"{batch_id}@{uuid.uuid4().hex}"
+        staged = f"{self.path}/staging/{name}"
+        rows.groupBy(*GROUP).agg(*(F.sum(c).alias(c) for c in SUMS)).write.parquet(staged)
         self._fs.mkdirs(self._path(f"{self.path}/deltas"))
-        if not self._fs.rename(self._path(staged), self._path(f"{self.path}/deltas/{batch_id}")):
+        if not self._fs.rename(self._path(staged), self._path(f"{self.path}/deltas/{name}")):
             raise OSError(f"batch {batch_id} could not be committed")
         return True
 
-    def _parts(self) -> list[str]:
-        names = [f"deltas/{b}" for b in sorted(s.getPath().getName() for s in self._fs.listStatus(self._path(f"{self.path}/deltas")))] if self._there("deltas") else []
-        if self._there("base"):
-            bases = sorted(s.getPath().getName() for s in self._fs.listStatus(self._path(f"{self.path}/base")))
-            names += [f"base/{bases[-1]}"]
-        return [f"{self.path}/{n}" for n in names]
-
     def totals(self) -> DataFrame:
+        base, _, deltas = self._state()
+        return self._sums(base, deltas)
+
+    def _sums(self, base: str | None, deltas: dict[str, str]) -> DataFrame:
         schema = "source string, lang string, tokenizer string, documents long, tokens long"
-        parts = self._parts()
+        parts = [f"{self.path}/deltas/{name}" for name in deltas.values()] + ([f"{self.path}/base/{base}/sums"] if base else [])
         rows = self.spark.read.schema(schema).parquet(*parts) if parts else self.spark.createDataFrame([], schema)
         return rows.groupBy(*GROUP).agg(*(F.sum(c).alias(c) for c in SUMS)).filter("documents <> 0 or tokens <> 0")
 
     def compact(self) -> None:
         """Fold all deltas into a new base. Ids are remembered, so replays stay without effect.
 
-        The new base counts from the moment the deltas are moved aside; run it
-        while nothing reads or commits.
+        The new base and the list of the batches in it appear together, by one
+        rename; from then on their deltas don't count, whether they are still
+        there or not. One compaction runs at a time; commits may go on, reads
+        that began before may have to be repeated.
         """
-        done = sorted(self.committed())
-        number = len(list(self._fs.listStatus(self._path(f"{self.path}/base")))) if self._there("base") else 0
-        staged = f"{self.path}/staging/base"
-        self.totals().write.mode("overwrite").parquet(staged)
-        for folder in ("base", "folded"):
-            self._fs.mkdirs(self._path(f"{self.path}/{folder}"))
-        self._fs.rename(self._path(staged), self._path(f"{self.path}/base/{number:08d}"))
-        for b in done:
-            self._fs.mkdirs(self._path(f"{self.path}/folded/{b}"))
-            self._fs.delete(self._path(f"{self.path}/deltas/{b}"), True)
-
-
-def _revise(lang: Column, unrevised: list[str]) -> Column:
-    return ~F.coalesce(lang, F.lit("")).isin(*unrevised)
-
-
-def counted(docs: DataFrame, folder: str = bpe.VOCABULARY_DIR, unrevised: list[str] = UNREVISED) -> DataFrame:
-    """doc_id, source, lang, a digest of the text, and its tokens: the first count of all, the revised of all but unrevised languages."""
+        base, held, deltas = self._state()
+        staged = f"{self.path}/staging/base-{uuid.uuid4().hex}"
+        self._sums(base, deltas).write.parquet(f"{staged}/sums")
+        for batch in sorted(held | set(deltas)):
+            self._fs.mkdirs(self._path(f"{staged}/batches/{batch}"))
+        self._fs.mkdirs(self._path(f"{self.path}/base"))
+        number = int(base) + 1 if base else 0
+        if not self._fs.rename(self._path(staged), self._path(f"{self.path}/base/{number:08d}")):
+            raise OSError("the new base could not be put in place")
+        self._sweep()
+
+    def _sweep(self) -> None:
+        """Remove what no longer counts: folded deltas and bases before the last."""
+        _, _, deltas = self._state()
+        for name in set(self._names("deltas")) - set(deltas.values()):
+            self._fs.delete(self._path(f"{self.path}/deltas/{name}"), True)
+        for name in self._names("base")[:-1]:
+            self._fs.delete(self._path(f"{self.path}/base/{name}"), True)
+
+
+def counted(docs: DataFrame, folder: str = bpe.VOCABULARY_DIR) -> DataFrame:
+    """doc_id, source, lang, a digest of the text, and its tokens under both vocabularies."""
     text = F.col("text").cast("string")
-    other = F.when(_revise(F.col("lang").cast("string"), unrevised), text)
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), F.md5(F.coalesce(text, F.lit(""))).alias("digest"),
-        token_counter(FIRST, folder)(text).alias("tokens"), token_counter(REVISED, folder)(other).alias("revised"),
+        token_counter(FIRST, folder)(text).alias("tokens"), token_counter(REVISED, folder)(text).alias("revised"),
     )
 
 
-def maintain(store: Rollup, docs: DataFrame, folder: str = bpe.VOCABULARY_DIR, unrevised: list[str] = UNREVISED) -> DataFrame:
+def maintain(store: Rollup, docs: DataFrame, folder: str = bpe.VOCABULARY_DIR) -> DataFrame:
     """Totals after four batches over docs: load, removal of exact copies, recount, and a replay of the removal.
 
     load inserts every row under the first tokenizer; copies deletes all rows
     of a text but those of its least doc_id; recount revises the remaining rows
-    that are not in unrevised languages to the second tokenizer.
+    to the second tokenizer.
     """
-    rows = stash(counted(docs, folder, unrevised), "counted")
+    rows = stash(counted(docs, folder), "counted")
     least = stash(rows.groupBy("digest").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).filter("n > 1").drop("n"), "least")
     tagged = stash(join_lookup(rows, least, ["digest"]).withColumn("copy", F.coalesce(F.col("doc_id") > F.col("least"), F.lit(False))).drop("digest", "least"), "tagged")
     copies = signed(tagged.filter("copy"), -1, FIRST)
     store.commit("load", signed(tagged, 1, FIRST))
     store.commit("copies", copies)
-    store.commit("recount", revised(tagged.filter(~F.col("copy") & _revise(F.col("lang"), unrevised)), (FIRST, "tokens"), (REVISED, "revised")))
+    store.commit("recount", revised(tagged.filter(~F.col("copy")), (FIRST, "tokens"), (REVISED, "revised")))
     store.commit("copies", copies)
     return store.totals()
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Totals of the documents table after its batches, UNREVISED languages not recounted."""
+    """op2: totals of the whole documents table after its batches."""
     return maintain(Rollup(spark, new_path(spark, "rollup")), table(spark, sf_dir, "documents"))
-
-
-def whole_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """op2: totals of the whole documents table after its batches, the remaining rows of every language recounted."""
-    return maintain(Rollup(spark, new_path(spark, "rollup")), table(spark, sf_dir, "documents"), unrevised=[])

@@ -7,37 +7,10 @@ from samples import prose
 from tarifold.llm import repair, token_rollup, tokens
 
 
-def brute_totals(rows):
-    least = {}
-    for r in rows:
-        t = r["text"] or ""
-        if r["doc_id"] is not None:
-            least[t] = min(least.get(t, r["doc_id"]), r["doc_id"])
-    out = collections.defaultdict(lambda: [0, 0])
-    for r in rows:
-        t = r["text"] or ""
-        if r["doc_id"] is not None and t in least and r["doc_id"] > least[t]:
-            continue
-        name = token_rollup.FIRST if r["lang"] == "en" else token_rollup.REVISED
-        entry = out[r["source"] or "", r["lang"] or "", name]
-        entry[0] += 1
-        entry[1] += len(tokens.encoder(name).encode_ordinary(t))
-    return {k: tuple(v) for k, v in out.items() if v != [0, 0]}
-
-
 def totals(df):
     return {(r["source"], r["lang"], r["tokenizer"]): (r["documents"], r["tokens"]) for r in df.collect()}
 
 
-def test_totals_against_brute_force(spark, sf, odd_docs):
-    assert totals(token_rollup.query(spark, sf)) == brute_totals(spark.read.parquet(f"{sf}/documents.parquet").collect())
-
-
-def test_odd_rows(spark, tmp_path, odd_docs, no_docs):
-    assert totals(token_rollup.maintain(token_rollup.Rollup(spark, str(tmp_path / "a")), odd_docs)) == brute_totals(odd_docs.collect())
-    assert totals(token_rollup.maintain(token_rollup.Rollup(spark, str(tmp_path / "b")), no_docs)) == {}
-
-
 def brute_recount(rows):
     """Totals with every remaining row under the second vocabulary, whatever its language."""
     least, out = {}, collections.defaultdict(lambda: [0, 0])
@@ -59,7 +32,44 @@ def test_every_language_is_recounted(spark, sf, tmp_path, odd_docs):
     got = totals(queries.queries()["op2_token_rollups"](spark, sf))
     assert got == brute_recount(spark.read.parquet(f"{sf}/documents.parquet").collect())
     assert any(lang == "en" for _, lang, _ in got)
-    assert totals(token_rollup.maintain(token_rollup.Rollup(spark, str(tmp_path / "a")), odd_docs, unrevised=[])) == brute_recount(odd_docs.collect())
+    assert totals(token_rollup.maintain(token_rollup.Rollup(spark, str(tmp_path / "a")), odd_docs)) == brute_recount(odd_docs.collect())
+    assert totals(token_rollup.maintain(token_rollup.Rollup(spark, str(tmp_path / "b")), odd_docs.limit(0))) == {}
+
+
+class Crash(Exception):
+    pass
+
+
+def test_a_crash_in_a_compaction_changes_nothing(spark, tmp_path, monkeypatch):
+    rows = token_rollup.signed(spark.createDataFrame([("s", "en", 5)], "source string, lang string, tokens long"), 1, "t")
+    want = {("s", "en", "t"): (2, 10)}
+    for step in ("_sweep", "rename"):
+        store = token_rollup.Rollup(spark, str(tmp_path / step))
+        assert store.commit("a", rows) and store.commit("b", rows)
+
+        def fail(*_):
+            raise Crash
+
+        with monkeypatch.context() as m:
+            if step == "_sweep":  # the base is there, its deltas too
+                m.setattr(store, "_sweep", fail)
+            else:  # the base is written and not in place
+                m.setattr(store, "_fs", type("Fs", (), {"rename": fail, **{k: getattr(store._fs, k) for k in ("exists", "mkdirs", "listStatus", "delete")}})())
+            with pytest.raises(Crash):
+                store.compact()
+        assert totals(store.totals()) == want and not store.commit("a", rows)
+        store.compact()
+        assert totals(store.totals()) == want and store.committed() == {"a", "b"} and not store.commit("b", rows)
+
+
+def test_two_writers_of_one_batch_count_once(spark, tmp_path, monkeypatch):
+    rows = token_rollup.signed(spark.createDataFrame([("s", "en", 5)], "source string, lang string, tokens long"), 1, "t")
+    one, other = token_rollup.Rollup(spark, str(tmp_path / "s")), token_rollup.Rollup(spark, str(tmp_path / "s"))
+    monkeypatch.setattr(other, "committed", lambda: set())  # looked before the first was done
+    assert one.commit("b", rows) and other.commit("b", rows)
+    assert totals(one.totals()) == {("s", "en", "t"): (1, 5)}
+    one.compact()
+    assert totals(one.totals()) == {("s", "en", "t"): (1, 5)} and one.committed() == {"b"}
 
 
 def test_batches_are_idempotent_and_commute(spark, tmp_path):
