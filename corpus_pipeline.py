@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarifold.llm import hamming_join, mixing, packing, rule_list, site_bayes
+from tarifold.llm import hamming_join, mixing, packing, rule_list, site_bayes, token_rollup
 from tarifold.llm.common import new_path, table
 
 
@@ -14,7 +14,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that no learned rule rejects."""
+    """Documents that no rule rejects; the rules are learned on the whole documents table, as stage 1 leaves one class only."""
     return rule_list.keep_good(spark, docs, sf_dir)
 
 
@@ -24,8 +24,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents taken to meet the target weights, once per epoch."""
-    return mixing.mix(docs)
+    """Documents taken to meet the target weights in byte-pair tokens, once per epoch."""
+    return mixing.mix(docs, tokens=token_rollup.token_counter(token_rollup.FIRST))
 
 
 def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
