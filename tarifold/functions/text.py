@@ -80,6 +80,13 @@ def sanitize_tag(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(strip(text(c)), "[ \\\\/()]", "_"), "[^-._0-9a-zA-Zа-яА-Я]+", "_")
 
 
+def clean_tag(value: str) -> str:
+    """The same on the driver, for one tag."""
+    import re
+
+    return re.sub("[^-._0-9a-zA-Zа-яА-Я]+", "_", re.sub("[ \\\\/()]", "_", value.strip()))
+
+
 def is_numberish(c: Column) -> Column:
     return strip(text(c)).rlike("^-?[0-9]+(?:[,.][0-9]+)?$")
 

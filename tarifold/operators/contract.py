@@ -5,27 +5,30 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarifold.schemas import TYPED_LINE, TYPED_REQUIRED
-from tarifold.sources.files import json_kind
+from tarifold.schemas import CANONICAL_REQUIRED, CANONICAL_TYPES, TYPED_LINE, TYPED_REQUIRED
 
 
-def _part(path: str) -> Column:
-    return F.get_json_object("value", path)
+def parsed_lines(lines: DataFrame) -> DataFrame:
+    """Adds doc: the JSON object in value as a VARIANT, parsed once (null where it is no object)."""
+    parsed = lines.withColumn("__doc", F.try_parse_json("value"))
+    return parsed.withColumn("doc", F.when(F.schema_of_variant("__doc").startswith("OBJECT"), F.col("__doc"))).drop("__doc")
 
 
-def parsed_lines(lines: DataFrame) -> DataFrame:
-    """Adds parts: top-level keys of the JSON object in value (null where it is no object)."""
-    return lines.withColumn("parts", F.when(json_kind(F.col("value")) == "object", F.from_json("value", "map<string,string>")))
+#: Kinds of a JSON value as patterns over VARIANT's type names; whole numbers beyond 64 bits are decimals of scale 0,
+#: as is 1.0, but with fewer digits.
+KINDS = {
+    "object": "OBJECT", "array": "ARRAY", "whole": "BIGINT|DECIMAL[(](19|2[0-9]|3[0-8]),0[)]", "number": "BIGINT|DOUBLE|FLOAT|DECIMAL.*", "string": "STRING", "boolean": "BOOLEAN", "null": "VOID",
+}
 
 
-def _kind(key: str) -> Column:
-    return json_kind(F.col("parts")[key])
+def type_at(path: str) -> Column:
+    """VARIANT's type name at a path of doc; null where nothing is there."""
+    return F.substring_index(F.schema_of_variant(F.try_variant_get("doc", path, "variant")), "<", 1)
 
 
-def _whole(path: str) -> Column:
-    """Absent, null, or a whole number (or boolean) at a path."""
-    v = _part(path)
-    return v.isNull() | v.rlike("^-?[0-9]+$|^true$|^false$")
+def _is(path: str, *kinds: str, absent: bool = False) -> Column:
+    """Whether the value at a path is of one of the kinds; absent: what holds where nothing is there."""
+    return F.coalesce(type_at(path).rlike("^(" + "|".join(KINDS[k] for k in kinds) + ")$"), F.lit(absent))
 
 
 def contract_violation(required: list[str] = TYPED_REQUIRED, expected: dict[str, str] | None = None, strict: bool = True) -> Column:
@@ -33,21 +36,23 @@ def contract_violation(required: list[str] = TYPED_REQUIRED, expected: dict[str,
 
     Permissive (strict=False): presence of the keys and the four container types.
     """
-    out = F.when(F.col("parts").isNull(), F.lit("bad_json"))
+    out = F.when(F.col("doc").isNull(), F.lit("bad_json"))
     for key in required:
-        out = out.when(~F.map_contains_key("parts", key), F.lit(f"missing:{key}"))
+        out = out.when(type_at(f"$.{key}").isNull(), F.lit(f"missing:{key}"))
     shapes = [("quality_flags", "array"), ("_meta", "object"), ("parsed", "object")] + ([] if strict else [("raw", "object")])
     for key, kind in shapes:
         if key in required:
-            out = out.when(F.coalesce(_kind(key), F.lit("")) != kind, F.lit(f"type:{key}"))
+            out = out.when(~_is(f"$.{key}", kind), F.lit(f"type:{key}"))
     if strict:
-        number = _part("$._meta.source_row_number")
         if "_meta" in required:
-            out = out.when(F.coalesce(~number.rlike("^-?[0-9]+$"), F.lit(True)), F.lit("meta:source_row_number"))
+            out = out.when(~_is("$._meta.source_row_number", "whole", "boolean"), F.lit("meta:source_row_number"))
         for key, value in (expected or {}).items():
-            out = out.when(F.coalesce(_part(f"$.{key}"), F.lit("")) != F.lit(value), F.lit(f"mismatch:{key}"))
+            same = F.coalesce(F.try_variant_get("doc", f"$.{key}", "string") == F.lit(value), F.lit(False))
+            # a version may be a number, the other values are texts
+            out = out.when(~(same if key == "mapping_version" else same & _is(f"$.{key}", "string")), F.lit(f"mismatch:{key}"))
         if "parsed" in required:
-            out = out.when(~_whole("$.parsed.price"), F.lit("type:parsed.price")).when(~_whole("$.parsed.qty"), F.lit("type:parsed.qty"))
+            for field in ("price", "qty"):  # a boolean counts as whole
+                out = out.when(~_is(f"$.parsed.{field}", "whole", "boolean", "null", absent=True), F.lit(f"type:parsed.{field}"))
     return out
 
 
@@ -89,16 +94,21 @@ def require(rows: DataFrame, test: Column, message: str) -> DataFrame:
     return rows.filter(checked)
 
 
-def row_error(required: list[str], allowed: list[str], positive: tuple[str, ...] = ("row_index", "qty_column_index")) -> Column:
-    """First schema error of a JSON row in value (with parts): missing or extra key, non-positive index."""
-    keys = F.map_keys("parts")
-    out = F.when(F.col("parts").isNull(), F.lit("bad_json"))
+def row_error(types: dict[str, tuple[str, ...]] = CANONICAL_TYPES, required: list[str] = CANONICAL_REQUIRED, positive: tuple[str, ...] = ("row_index", "qty_column_index")) -> Column:
+    """First schema error of a JSON row (value, doc): missing or extra key, wrong type, non-positive index, raw with other than texts.
+
+    types: the kinds each allowed key may have.
+    """
+    out = F.when(F.col("doc").isNull(), F.lit("bad_json"))
     for key in required:
-        out = out.when(~F.map_contains_key("parts", key), F.lit(f"missing:{key}"))
-    out = out.when(F.size(F.array_except(keys, F.array(*map(F.lit, allowed)))) > 0, F.lit("extra_key"))
+        out = out.when(type_at(f"$.{key}").isNull(), F.lit(f"missing:{key}"))
+    out = out.when(F.size(F.array_except(F.json_object_keys("value"), F.array(*map(F.lit, types)))) > 0, F.lit("extra_key"))
+    for key, kinds in types.items():
+        out = out.when(~_is(f"$.{key}", *kinds, absent=True), F.lit(f"type:{key}"))
     for key in positive:
-        out = out.when(~F.coalesce(F.col("parts")[key].rlike("^[1-9][0-9]*$"), F.lit(False)), F.lit(f"minimum:{key}"))
-    return out
+        out = out.when(F.coalesce(F.try_variant_get("doc", f"$.{key}", "decimal(38,0)") < 1, F.lit(False)), F.lit(f"minimum:{key}"))
+    kinds = F.schema_of_variant(F.try_variant_get("doc", "$.raw", "variant"))
+    return out.when(~kinds.isin("ARRAY<STRING>", "ARRAY<VOID>"), F.lit("type:raw[]"))
 
 
 def completeness(rows: DataFrame, price: Column, qty: Column | None) -> DataFrame:

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarifold.functions.text import is_numberish, nonempty_count, norm_header
+from tarifold.functions.text import clean_tag, is_numberish, nonempty_count, norm_header
 
 #: Name fragment -> layout, first match wins; the default comes last.
 NAME_LAYOUTS = [("груз", "truck"), ("диск", "wheels"), ("комплект", "fittings"), ("шин", "tyres")]
@@ -51,9 +51,11 @@ def match_signatures(files: DataFrame, rules: DataFrame) -> DataFrame:
 
     files: file, header_rows, tokens. rules: rule, layout, header_rows (or null), need.
     """
+    if rules.limit(10_001).count() > 10_000:
+        raise ValueError("more dispatch rules than a configuration should have")
     r = rules.select("rule", "layout", F.col("header_rows").alias("need_rows"), "need")
     test = (F.size("need") > 0) & (F.col("need_rows").isNull() | (F.col("need_rows") == F.col("header_rows"))) & F.forall("need", lambda n: F.exists("tokens", lambda t: F.contains(t, n)))
-    met = files.join(F.broadcast(r), test, "left")  # a handful of configured rules
+    met = files.join(F.broadcast(r), test, "left")
     return met.groupBy("file").agg(F.array_sort(F.collect_list("layout")).alias("layouts")).withColumn("status", F.when(F.size("layouts") == 1, "OK").otherwise("PROBLEM"))
 
 
@@ -88,26 +90,63 @@ def header_rows(grid: DataFrame, scan: int = 20, second_words: list[str] = SECON
     return found.select("source_file", "sheet", count.alias("header_rows"), F.when(thin, 1).otherwise(F.col("row1")).cast("int").alias("header_row"), (F.when(thin, 1).otherwise(F.col("row1")) + count).cast("int").alias("data_row"))
 
 
-def check_header(row1: list[str], row2: list[str], price: int, wholesale: str = "опт", stock: int | None = None) -> list[str]:
-    """Problems of a two-row header at 1-based positions: wholesale price over "цена", stock over "остаток"."""
-    at = lambda row, n: row[n - 1].strip().lower() if 0 < n <= len(row) else ""
+def check_header(row1: list[str], row2: list[str], price: int, wholesale: str = "опт", stock: int | list[int] | None = None, centre: int | None = None) -> list[str]:
+    """Problems of a two-row header at 1-based positions.
+
+    Wholesale price over "цена", named stock columns over "остаток", and a
+    centre column whose first row speaks of the centre and whose second is
+    blank, "остаток" or "центр. склад".
+    """
+    at = lambda row, n: " ".join(row[n - 1].split()).lower() if 0 < n <= len(row) else ""
     out = [] if at(row2, price) == "цена" else ["price label"]
     out += [] if wholesale in at(row1, price) else ["price group"]
-    return out + ([] if stock is None or at(row2, stock) == "остаток" else ["stock label"])
+    if centre is not None:
+        out += ([] if "центр" in at(row1, centre) else ["centre group"]) + ([] if at(row2, centre) in ("", "остаток", "центр. склад") else ["centre label"])
+    for n in [] if stock is None else [stock] if isinstance(stock, int) else stock:
+        out += ([] if at(row2, n) == "остаток" else ["stock label"]) + ([] if at(row1, n) else ["stock name"])
+    return out
 
 
 @dataclass(frozen=True)
 class Plan:
-    """What to run on one file."""
+    """What to run on one file: the emitter, the layout (or category:<key>) and the mapping it needs."""
 
     path: str
     supplier: str
     layout: str
     tag: str
+    emitter: str = "typed"
+    mapping: str | None = None
+
+
+def _stem(path: str) -> str:
+    return path.rsplit("/", 1)[-1].rsplit(".", 1)[0]
+
+
+def workbook_adapter(supplier: str, mappings: dict[str, str], emitter: str = "strings", layouts: list[tuple[str, str]] = NAME_LAYOUTS, default: str = "tyres"):
+    """Plans for a supplier of workbooks: the layout by the file's name, the mapping by the layout (or that of the default)."""
+
+    def plan(path: str) -> Plan | None:
+        low = path.rsplit("/", 1)[-1].lower()
+        layout = next((name for fragment, name in layouts if fragment in low), default)
+        mapping = mappings.get(layout, mappings.get(default))
+        return Plan(path, supplier, layout, clean_tag(f"{supplier}__{_stem(path)}__{layout}"), emitter, mapping) if mapping else None
+
+    return plan
+
+
+def dump_adapter(supplier: str, categories):
+    """Plans for a supplier of JSON dumps: one for each top-level array. categories: path -> sorted keys, or None for no object."""
+
+    def plan(path: str) -> list[Plan] | None:
+        keys = categories(path) if path.lower().endswith(".json") else None
+        return None if keys is None else [Plan(path, supplier, f"category:{k}", clean_tag(f"{supplier}__{_stem(path)}__category:{k}"), "category") for k in keys]
+
+    return plan
 
 
 class Registry:
-    """Supplier adapters: name patterns to a function path -> plans (or None)."""
+    """Supplier adapters: names (whole, case aside; "*" for any) to a function path -> plans (or None)."""
 
     def __init__(self):
         self._adapters: list[tuple[tuple[str, ...], object]] = []
@@ -118,7 +157,7 @@ class Registry:
     def plan(self, supplier: str, path: str) -> tuple[list[Plan], str | None]:
         """(plans, reason for none)."""
         for names, make in self._adapters:
-            if any(n in supplier.lower() for n in names):
+            if supplier.lower() in names or "*" in names:
                 made = make(path)
                 plans = [] if made is None else [made] if isinstance(made, Plan) else list(made)
                 return (plans, None) if plans else ([], "no plan")

@@ -205,9 +205,14 @@ def headed_stats(lines: DataFrame) -> DataFrame:
 
 
 def emit_category(items: DataFrame) -> DataFrame:
-    """JSON category (id, stock, price_minimum, is_object): a missing price is counted and kept."""
+    """JSON category (id, stock, price_minimum, is_object, and id_kind where ids are not all texts): a missing price is counted and kept.
+
+    A blank id, the number 0 and false are no id; the texts "0" and "false" are.
+    """
     q, p = numeric.as_int(F.col("stock")), numeric.as_float(F.col("price_minimum"))
-    no_id = F.trim(text(F.col("id"))).isin("", "0", "false", "0.0")
+    shown = F.trim(text(F.col("id")))
+    kind = F.col("id_kind") if "id_kind" in items.columns else F.lit("string")
+    no_id = (shown == "") | F.coalesce((kind == "number") & (F.col("id").try_cast("double") == 0), F.lit(False)) | F.coalesce((kind == "boolean") & (shown == "false"), F.lit(False))
     fate = F.when(~F.coalesce(F.col("is_object"), F.lit(False)), "no_object").when(no_id, "no_id").when(q.isNull(), "bad_qty").when(q <= 0, "qty_empty").otherwise("emit")
     return items.withColumns({"qty": q, "price": p, "fate": fate})
 
@@ -237,6 +242,43 @@ def emit_sheet(rows: DataFrame, zero_price_apart: bool = False) -> DataFrame:
     return out.withColumns({"price": F.col("__p.value"), "qty": F.col("__q.value"), "flags": F.concat("__p.flags", "__q.flags"), "fate": fate}).drop("__p", "__q")
 
 
+def headed_contract(lines: DataFrame, supplier_id: str, category: str, sheet: str, at: str) -> DataFrame:
+    """Emitted lines of a header-addressed sheet in the item contract."""
+    filled = lambda c: F.nullif(F.trim(text(F.col(c))), F.lit(""))
+    return lines.filter("fate = 'emit'").select(
+        F.lit(supplier_id).alias("supplier_id"), F.lit(f"{supplier_id}__{category}__xlsx_v1").alias("parser_id"), F.lit(f"category:{category}").alias("layout"), F.lit(at).alias("ts_ingested"),
+        F.struct(F.trim("goods_id").alias("supplier_item_id"), filled("name").alias("name"), filled("article").alias("article"), F.col("qty").cast("long").alias("qty"), F.col("price").alias("price_opt"), F.lit("RUB").alias("currency")).alias("item"),
+        F.struct(F.lit(sheet).alias("sheet"), "warehouse").alias("raw"),
+    )
+
+
+def category_contract(lines: DataFrame, supplier_id: str, category: str, at: str) -> DataFrame:
+    """Emitted items of a JSON category in the item contract; the second image field stands in for the first."""
+    some = lambda c: F.nullif(F.col(c), F.lit(""))
+    return lines.filter("fate = 'emit'").select(
+        F.lit(supplier_id).alias("supplier_id"), F.lit(f"{supplier_id}__{category}__json_v1").alias("parser_id"), F.lit(f"category:{category}").alias("layout"), F.lit(at).alias("ts_ingested"),
+        F.struct(
+            F.trim("id").alias("supplier_item_id"), "name", F.col("marka").alias("brand"), "model", "article", F.col("qty").cast("long").alias("qty"), F.col("price").alias("price_opt"),
+            numeric.as_float(F.col("price_roznica")).alias("price_roznica"), F.coalesce(some("image"), F.col("img_url")).alias("image"),
+        ).alias("item"),
+        F.struct(F.lit(category).alias("category_key")).alias("raw"),
+    )
+
+
+def sheet_contract(lines: DataFrame, supplier_id: str, parser_id: str, run_id: str, sheet: str, warehouse: str, currency: str = "RUB") -> DataFrame:
+    """Emitted lines of a positional sheet in the string contract, less the fields such sheets lack."""
+    return lines.filter("fate = 'emit'").select(
+        F.lit(supplier_id).alias("supplier_id"), F.lit(parser_id).alias("parser_id"), F.lit("1.0").alias("parser_version"), F.lit(run_id).alias("run_id"), F.col("flags").alias("quality_flags"),
+        F.struct(F.lit(warehouse).alias("supplier_warehouse_name"), F.col("sku").alias("sku_candidate_key"), "price", "qty", F.lit(currency).alias("currency"), norm_ws(F.col("brand")).alias("brand_raw"), norm_ws(F.col("name")).alias("name_raw")).alias("raw"),
+        F.struct(F.col("row_no").cast("int").alias("source_row_1based"), F.struct(F.lit(sheet).alias("sheet")).alias("passthrough")).alias("_meta"),
+    )
+
+
+def sheet_flag_counts(lines: DataFrame) -> DataFrame:
+    """Flags of emitted lines of a positional sheet."""
+    return counts_by(lines.filter("fate = 'emit'"), "flag", F.col("flags"))
+
+
 def fate_counts(lines: DataFrame) -> DataFrame:
     return lines.groupBy("fate").agg(F.count("*").alias("n"))
 

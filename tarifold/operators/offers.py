@@ -1,15 +1,18 @@
 """Versioned offers: snapshots, aliases, generation, publication, pointers, lookup.
 
-State is a set of tables in a folder (Store): Parquet directories that a
-driver-side transition replaces by writing a new version and moving a pointer
-file to it, so readers see the old or the new version, never a mixture. The
-relational parts (alias joins, lookups, as-of) are pure functions of frames.
+State is a set of tables in a folder of any file system Spark can write to
+(Store): Parquet directories that a driver-side transition replaces by writing a
+new version and moving a pointer file to it, so readers see the old or the new
+version, never a mixture. Every transition of a table holds that table's lock
+from its first read to the move of the pointer. Offers have one directory an
+artifact, so a lookup opens that artifact's only. The relational parts (alias
+joins, lookups, as-of) are pure functions of frames.
 """
 
 from __future__ import annotations
 
 import json
-import os
+import time as clock
 import uuid
 from contextlib import contextmanager
 from datetime import UTC, datetime
@@ -17,7 +20,7 @@ from datetime import UTC, datetime
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tarifold import schemas
+from tarifold import schemas, storage
 from tarifold.functions.hashing import fingerprint
 from tarifold.functions.text import unreviewed_alias
 
@@ -88,27 +91,76 @@ def current_pointers(pointers: DataFrame, at: str | Column, keys: list[str]) ->
     return valid.groupBy(*keys).agg(F.max_by("artifact_id", F.struct("valid_from", "artifact_id")).alias("artifact_id"), F.max("valid_from").alias("valid_from"))
 
 
-def pointers_as_of(probes: DataFrame, pointers: DataFrame, keys: list[str], time: str, bin_seconds: int = 86_400) -> DataFrame:
-    """For each probe the pointer in force at its time: of those started by then the latest, if it has not ended.
+def _micros(c: str) -> Column:
+    return F.unix_micros(F.col(c).cast("timestamp"))
+
+
+def _blocks(first: Column, last: Column, levels: int) -> Column:
+    """The bins first to last as few dyadic blocks: array of (level, block), two a level at most; a block of level k covers 2**k bins."""
+    empty = F.array().cast("array<struct<level:int,block:bigint>>")
+    block = lambda level, n: F.struct(level.cast("int").alias("level"), n.alias("block"))
+
+    def step(state: Column, level: Column) -> Column:
+        a, z = state["a"], state["z"]
+        odd = (a <= z) & (a % 2 == 1)
+        low = a + odd.cast("bigint")
+        even = (low <= z) & (z % 2 == 0)
+        high = z - even.cast("bigint")
+        more = F.concat(state["out"], F.when(odd, F.array(block(level, a))).otherwise(empty), F.when(even, F.array(block(level, z))).otherwise(empty))
+        done = low > high
+        return F.struct(F.when(done, F.lit(1 << 60)).otherwise(F.shiftright(low, 1)).alias("a"), F.when(done, F.lit(-1)).otherwise(F.shiftright(high, 1)).cast("bigint").alias("z"), more.alias("out"))
+
+    start = F.struct(first.cast("bigint").alias("a"), last.cast("bigint").alias("z"), empty.alias("out"))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(levels - 1)), start, step, lambda state: state["out"])
+
 
-    A binned interval join. Cut off where the next one starts, the intervals of
-    a key don't overlap, so spreading them over time bins adds at most one row
-    per key and bin. Probes meet them by (key, bin), an equi-join whose
-    partitions stay small however few keys there are.
+def pointers_as_of(probes: DataFrame, pointers: DataFrame, keys: list[str], time: str, bin_seconds: int = 86_400) -> DataFrame:
+    """For each probe the pointer in force at its time: of those started by then and not ended, the one that started last.
+
+    Two equi-joins by (key, bin), whose partitions stay small however few keys
+    there are. First the intervals cut off where the next one of their key
+    starts: they don't overlap, so they spread over the bins with at most one
+    row per key and bin beyond their number, and they answer every probe but
+    those behind a pointer that has ended while an earlier one goes on. These,
+    few as a rule, look in the true intervals, spread as dyadic blocks of bins
+    (about two a level, however long), of which a probe meets one a level.
     """
-    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
     width = bin_seconds * 1_000_000
-    last = probes.agg(F.max(micros(time))).first()[0]
-    spans = pointers.select(*keys, "artifact_id", micros("valid_from").alias("__from"), micros("valid_to").alias("__to"))
+    reach = probes.agg(F.min(_micros(time)).alias("first"), F.max(_micros(time)).alias("last")).first()
+    first, last = reach["first"], reach["last"]
+    spans = pointers.select(*keys, "artifact_id", _micros("valid_from").alias("__from"), _micros("valid_to").alias("__to")).filter((F.col("__from") <= F.lit(last)) & (F.col("__to").isNull() | (F.col("__to") > F.col("__from"))))
     following = F.lead("__from").over(Window.partitionBy(*keys).orderBy("__from", "artifact_id"))
-    spans = spans.withColumn("__end", F.least("__to", following)).filter(F.col("__from") <= F.lit(last)).filter(F.col("__end").isNull() | (F.col("__end") > F.col("__from")))
+    cut = spans.withColumn("__end", F.least("__to", following)).filter(F.col("__end").isNull() | (F.col("__end") > F.col("__from")))
     until = F.least(F.coalesce("__end", F.lit(last)), F.lit(last))
-    right = spans.withColumn("__bin", F.explode(F.sequence(F.floor(F.col("__from") / width), F.floor(until / width)))).alias("r")
-    left = probes.withColumn("__at", micros(time)).withColumn("__bin", F.floor(F.col("__at") / width)).alias("l")
+    right = cut.withColumn("__bin", F.explode(F.sequence(F.floor(F.col("__from") / width), F.floor(until / width)))).alias("r")
+    left = probes.withColumn("__at", _micros(time)).withColumn("__bin", F.floor(F.col("__at") / width)).alias("l")
     on = (F.col("l.__bin") == F.col("r.__bin")) & (F.col("r.__from") <= F.col("l.__at")) & (F.col("r.__end").isNull() | (F.col("r.__end") > F.col("l.__at")))
     for k in keys:
         on = on & (F.col(f"l.{k}") == F.col(f"r.{k}"))
-    return left.join(right, on, "left").select(*(F.col(f"l.{c}") for c in probes.columns), F.col("r.artifact_id").alias("artifact_id"))
+    found = left.join(right, on, "left").select(*(F.col(f"l.{c}") for c in probes.columns), F.col("l.__at").alias("__at"), F.col("r.artifact_id").alias("__found"))
+    if last is None:
+        return found.select(*probes.columns, F.col("__found").alias("artifact_id"))
+
+    # bins are counted from the first probe's
+    base = first // width
+    levels = (last // width - base + 1).bit_length() + 1
+    rest = found.filter(F.col("__found").isNull() & F.col("__at").isNotNull()).select(*keys, "__at").distinct()
+    rest = rest.withColumn("__bin", F.floor(F.col("__at") / width) - base)
+    rest = rest.select("*", F.explode(F.array(*(F.struct(F.lit(k).alias("level"), F.shiftright("__bin", k).alias("block")) for k in range(levels)))).alias("__b")).select(*keys, "__at", F.col("__b.level").alias("__level"), F.col("__b.block").alias("__block"))
+    long_ = spans.withColumns({"__lo": F.greatest(F.floor(F.col("__from") / width) - base, F.lit(0)), "__hi": F.least(F.floor(F.least(F.coalesce(F.col("__to") - 1, F.lit(last)), F.lit(last)) / width) - base, F.lit(last // width - base))})
+    long_ = long_.filter("__hi >= __lo").select("*", F.explode(_blocks(F.col("__lo"), F.col("__hi"), levels)).alias("__b"))
+    long_ = long_.select(*keys, "artifact_id", "__from", "__to", F.col("__b.level").alias("__level"), F.col("__b.block").alias("__block"))
+    met = rest.join(long_, [*keys, "__level", "__block"]).filter((F.col("__from") <= F.col("__at")) & (F.col("__to").isNull() | (F.col("__to") > F.col("__at"))))
+    late = met.groupBy(*keys, "__at").agg(F.max_by("artifact_id", F.struct("__from", "artifact_id")).alias("__late"))
+    joined = found.join(late, [*keys, "__at"], "left")
+    return joined.select(*(F.col(c) for c in probes.columns), F.coalesce("__found", "__late").alias("artifact_id"))
+
+
+def current_counts(pointers: DataFrame, at: str | Column, keys: list[str]) -> DataFrame:
+    """Per key the pointers valid at a time and whether it is exactly one; keys without a valid pointer count 0."""
+    now = F.lit(at).cast("timestamp") if isinstance(at, str) else at
+    valid = (F.col("valid_from") <= now) & (F.col("valid_to").isNull() | (F.col("valid_to") > now))
+    return pointers.groupBy(*keys).agg(F.count_if(valid).alias("n")).withColumn("exactly_one", F.col("n") == 1)
 
 
 def pointer_intervals(log: DataFrame, keys: list[str], time: str, tie: str) -> DataFrame:
@@ -138,45 +190,58 @@ def items_from_lines(lines: DataFrame, snapshot_id: str) -> DataFrame:
     return lines.select(id_.alias("id"), F.lit(snapshot_id).alias("snapshot_id"), "supplier_id", F.struct("raw.supplier_warehouse_name", F.lit(None).cast("string").alias("warehouse_key"), "raw.sku_candidate_key", "raw.price", "raw.qty", "raw.currency").alias("raw"), "quality_flags")
 
 
-@contextmanager
-def exclusive(path: str):
-    """A lock file made with O_EXCL; an existing one raises FileExistsError."""
-    os.makedirs(os.path.dirname(path), exist_ok=True)
-    os.close(os.open(path, os.O_CREAT | os.O_EXCL | os.O_WRONLY))
-    try:
-        yield
-    finally:
-        os.unlink(path)
+#: Seconds that a transition waits for a table's lock.
+PATIENCE = 60
 
 
 class Store:
-    """Tables of the offer life cycle under a folder. One writer at a time, by lock file."""
+    """Tables of the offer life cycle under a folder."""
 
     TABLES = {"snapshots": schemas.SNAPSHOTS, "items": schemas.ITEMS, "warehouse_keys": schemas.WAREHOUSE_KEYS, "aliases": schemas.ALIASES, "artifacts": schemas.ARTIFACTS, "pointers": schemas.POINTERS, "offers": schemas.OFFERS}
 
     def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root
-        os.makedirs(root, exist_ok=True)
-
-    def read(self, name: str) -> DataFrame:
-        pointer, schema = f"{self.root}/{name}.current", self.TABLES[name]
-        if not os.path.exists(pointer):
-            return self.spark.createDataFrame([], schema)
-        with open(pointer, encoding="utf-8") as file:
-            parts = json.load(file)
-        return self.spark.read.schema(schema).parquet(*(f"{self.root}/{name}/{p}" for p in parts)) if parts else self.spark.createDataFrame([], schema)
+        self.spark, self.root, self._held = spark, root.rstrip("/"), set()
+
+    @contextmanager
+    def _alone(self, name: str):
+        """The lock of a table (or an artifact); nested uses by one Store hold it once."""
+        if name in self._held:
+            yield
+            return
+        until = clock.monotonic() + PATIENCE
+        while True:
+            lock = storage.exclusive(f"{self.root}/locks/{name}")
+            try:
+                lock.__enter__()
+                break
+            except FileExistsError:
+                if clock.monotonic() > until:
+                    raise
+                clock.sleep(0.05)
+        self._held.add(name)
+        try:
+            yield
+        finally:
+            self._held.discard(name)
+            lock.__exit__(None, None, None)
 
     def _parts(self, name: str) -> list[str]:
         pointer = f"{self.root}/{name}.current"
-        if not os.path.exists(pointer):
-            return []
-        with open(pointer, encoding="utf-8") as file:
-            return json.load(file)
+        return json.loads(storage.read_text(pointer)) if storage.exists(pointer) else []
+
+    def _load(self, name: str, parts: list[str]) -> DataFrame:
+        schema = self.TABLES[name]
+        return self.spark.read.schema(schema).parquet(*(f"{self.root}/{name}/{p}" for p in parts)) if parts else self.spark.createDataFrame([], schema)
+
+    def read(self, name: str) -> DataFrame:
+        return self._load(name, self._parts(name))
+
+    def read_offers(self, artifact_id: str) -> DataFrame:
+        """The offers of one artifact; no other artifact's files are opened."""
+        return self._load("offers", [p for p in self._parts("offers") if p.startswith(f"{artifact_id}-")]).filter(F.col("artifact_id") == artifact_id)
 
     def _point(self, name: str, parts: list[str]) -> None:
-        with open(f"{self.root}/{name}.next", "w", encoding="utf-8") as file:
-            json.dump(parts, file)
-        os.replace(f"{self.root}/{name}.next", f"{self.root}/{name}.current")
+        storage.write_text(f"{self.root}/{name}.current", json.dumps(parts))
 
     def _write(self, name: str, rows: DataFrame, part: str | None = None) -> str:
         part = f"{part or 'v'}-{uuid.uuid4().hex}"
@@ -184,18 +249,22 @@ class Store:
         return part
 
     def replace(self, name: str, rows: DataFrame) -> None:
-        self._point(name, [self._write(name, rows)])
+        with self._alone(name):
+            self._point(name, [self._write(name, rows)])
 
     def append(self, name: str, rows: DataFrame) -> None:
-        self._point(name, [*self._parts(name), self._write(name, rows)])
+        with self._alone(name):
+            self._point(name, [*self._parts(name), self._write(name, rows)])
 
     def upsert(self, name: str, rows: DataFrame, keys: list[str]) -> None:
         """Rows replace those of equal keys: anti-join and union, written as one new version."""
-        kept = self.read(name).join(rows.select(*keys), keys, "left_anti")
-        self.replace(name, kept.unionByName(rows))
+        with self._alone(name):
+            kept = self.read(name).join(rows.select(*keys), keys, "left_anti")
+            self.replace(name, kept.unionByName(rows))
 
     def delete(self, name: str, test: Column) -> None:
-        self.replace(name, self.read(name).filter(~F.coalesce(test, F.lit(False))))
+        with self._alone(name):
+            self.replace(name, self.read(name).filter(~F.coalesce(test, F.lit(False))))
 
     def _artifact(self, artifact_id: str) -> dict | None:
         row = self.read("artifacts").filter(F.col("artifact_id") == artifact_id).first()
@@ -206,7 +275,8 @@ class Store:
 
     def seal(self, snapshot_id: str) -> None:
         hit = F.col("snapshot_id") == snapshot_id
-        self.replace("snapshots", self.read("snapshots").withColumns({"status": F.when(hit, "sealed").otherwise(F.col("status")), "sealed_at": F.when(hit, F.current_timestamp()).otherwise(F.col("sealed_at"))}))
+        with self._alone("snapshots"):
+            self.replace("snapshots", self.read("snapshots").withColumns({"status": F.when(hit, "sealed").otherwise(F.col("status")), "sealed_at": F.when(hit, F.current_timestamp()).otherwise(F.col("sealed_at"))}))
 
     def assert_can_generate(self, snapshot_id: str) -> None:
         if self.read("snapshots").filter((F.col("snapshot_id") == snapshot_id) & (F.col("status") == "sealed")).isEmpty():
@@ -218,14 +288,12 @@ class Store:
 
     def generate(self, snapshot_id: str, version: str, artifact_id: str, resolution: str = "inner") -> int:
         """Offers of an artifact, replaced as a whole; the number of offers. Published artifacts are refused."""
-        with exclusive(f"{self.root}/locks/{artifact_id}"):
+        with self._alone(f"artifact-{artifact_id}"):
             self.assert_can_generate(snapshot_id)
             had = self._artifact(artifact_id)
             if had and had["status"] != "generated":
                 raise LifecycleError(f"artifact {artifact_id} is {had['status']}")
-            same = self.read("artifacts").filter((F.col("snapshot_id") == snapshot_id) & (F.col("curated_version") == version) & (F.col("artifact_id") != artifact_id))
-            if not same.isEmpty():
-                raise LifecycleError(f"snapshot {snapshot_id} has an artifact of version {version}")
+            self._assert_version_free(snapshot_id, version, artifact_id)
             items = self.read("items").filter(F.col("snapshot_id") == snapshot_id)
             if resolution == "fallback":
                 offers = offers_fallback(items, self.read("aliases"), self.read("warehouse_keys"), artifact_id)
@@ -235,36 +303,57 @@ class Store:
             n = self.spark.read.schema(schemas.OFFERS).parquet(f"{self.root}/offers/{part}").count()
             if n == 0:
                 raise LifecycleError(f"no item of snapshot {snapshot_id} is mapped to a warehouse")
-            self._point("offers", [p for p in self._parts("offers") if not p.startswith(f"{artifact_id}-")] + [part])
-            print_ = self.spark.range(1).select(fingerprint(F.lit(snapshot_id), F.lit(version), F.lit(artifact_id))).first()[0]
-            row = (artifact_id, snapshot_id, version, print_, "generated", datetime.now(UTC), None, "generator")
-            self.upsert("artifacts", self.spark.createDataFrame([row], schemas.ARTIFACTS), ["artifact_id"])
+            with self._alone("artifacts"):
+                self._assert_version_free(snapshot_id, version, artifact_id)
+                with self._alone("offers"):
+                    self._point("offers", [p for p in self._parts("offers") if not p.startswith(f"{artifact_id}-")] + [part])
+                print_ = self.spark.range(1).select(fingerprint(F.lit(snapshot_id), F.lit(version), F.lit(artifact_id))).first()[0]
+                row = (artifact_id, snapshot_id, version, print_, "generated", datetime.now(UTC), None, "generator")
+                self.upsert("artifacts", self.spark.createDataFrame([row], schemas.ARTIFACTS), ["artifact_id"])
             return n
 
+    def _assert_version_free(self, snapshot_id: str, version: str, artifact_id: str) -> None:
+        """(snapshot_id, curated_version) is unique among artifacts."""
+        same = self.read("artifacts").filter((F.col("snapshot_id") == snapshot_id) & (F.col("curated_version") == version) & (F.col("artifact_id") != artifact_id))
+        if not same.isEmpty():
+            raise LifecycleError(f"snapshot {snapshot_id} has an artifact of version {version}")
+
     def assert_integrity(self, artifact_id: str) -> None:
         had = self._artifact(artifact_id)
         if not had or had["status"] not in ("generated", "published"):
             raise LifecycleError(f"artifact {artifact_id} is {had['status'] if had else 'unknown'}")
-        if self.read("offers").filter(F.col("artifact_id") == artifact_id).isEmpty():
+        if self.read_offers(artifact_id).isEmpty():
             raise LifecycleError(f"artifact {artifact_id} has no offers")
 
     def publish(self, artifact_id: str, by: str = "system") -> str:
-        had = self._artifact(artifact_id)
-        if not had or had["status"] != "generated":
-            raise LifecycleError(f"artifact {artifact_id} is {had['status'] if had else 'unknown'}, not generated")
-        row = tuple((had | {"status": "published", "published_at": datetime.now(UTC), "published_by": by}).values())
-        self.upsert("artifacts", self.spark.createDataFrame([row], schemas.ARTIFACTS), ["artifact_id"])
+        with self._alone("artifacts"):
+            had = self._artifact(artifact_id)
+            if not had or had["status"] != "generated":
+                raise LifecycleError(f"artifact {artifact_id} is {had['status'] if had else 'unknown'}, not generated")
+            row = tuple((had | {"status": "published", "published_at": datetime.now(UTC), "published_by": by}).values())
+            self.upsert("artifacts", self.spark.createDataFrame([row], schemas.ARTIFACTS), ["artifact_id"])
         return artifact_id
 
+    def publish_curated(self, snapshot_id: str, version: str = "v1", by: str = "system") -> str:
+        """The older publication: an artifact found or made by its fingerprint, without offers and without a status. Its id."""
+        print_ = self.spark.range(1).select(fingerprint(F.lit(snapshot_id), F.lit(version))).first()[0]
+        with self._alone("artifacts"):
+            row = self.read("artifacts").filter(F.col("fingerprint") == print_).first()
+            if row:
+                return row["artifact_id"]
+            made = (str(uuid.uuid4()), snapshot_id, version, print_, None, None, datetime.now(UTC), by)
+            self.append("artifacts", self.spark.createDataFrame([made], schemas.ARTIFACTS))
+        return made[0]
+
     def switch_pointer(self, artifact_id: str, environment: str = "production", channel: str = "default", at: datetime | None = None) -> None:
         """Close the open pointer of (environment, channel) and open the next, as one new version."""
         if self._artifact(artifact_id) is None:
             raise LifecycleError(f"artifact {artifact_id} is unknown")
         now = at or datetime.now(UTC)
-        old = self.read("pointers")
         open_ = (F.col("environment") == environment) & (F.col("channel") == channel) & F.col("valid_to").isNull()
-        closed = old.withColumn("valid_to", F.when(open_, F.lit(now)).otherwise(F.col("valid_to")))
-        self.replace("pointers", closed.unionByName(self.spark.createDataFrame([(environment, channel, artifact_id, now, None)], schemas.POINTERS)))
+        with self._alone("pointers"):
+            closed = self.read("pointers").withColumn("valid_to", F.when(open_, F.lit(now)).otherwise(F.col("valid_to")))
+            self.replace("pointers", closed.unionByName(self.spark.createDataFrame([(environment, channel, artifact_id, now, None)], schemas.POINTERS)))
 
     def current_artifact(self, environment: str = "production", channel: str = "default") -> str | None:
         own = self.read("pointers").filter((F.col("environment") == environment) & (F.col("channel") == channel))
@@ -272,7 +361,7 @@ class Store:
         return row["artifact_id"] if row else None
 
     def offers_by_sku(self, artifact_id: str, sku: str) -> DataFrame:
-        return offers_by_sku(self.read("offers"), artifact_id, sku)
+        return offers_by_sku(self.read_offers(artifact_id), artifact_id, sku)
 
     def expire(self, keep_days: int) -> None:
         """Drop snapshots older than keep_days."""
@@ -280,8 +369,10 @@ class Store:
 
     def backfill(self) -> None:
         """Defaults for rows of older versions."""
-        self.replace("snapshots", self.read("snapshots").withColumns({"parser_id": F.coalesce("parser_id", F.lit("seed")), "status": F.coalesce("status", F.lit("sealed"))}))
-        self.replace("artifacts", self.read("artifacts").withColumn("status", F.coalesce("status", F.lit("generated"))))
+        with self._alone("snapshots"):
+            self.replace("snapshots", self.read("snapshots").withColumns({"parser_id": F.coalesce("parser_id", F.lit("seed")), "status": F.coalesce("status", F.lit("sealed"))}))
+        with self._alone("artifacts"):
+            self.replace("artifacts", self.read("artifacts").withColumn("status", F.coalesce("status", F.lit("generated"))))
 
     def register_sql(self) -> None:
         """Views offers and pointers, and the SQL functions current_artifact and offers_by_sku over them."""

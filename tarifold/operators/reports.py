@@ -24,6 +24,24 @@ def extraction_report(rows: DataFrame) -> DataFrame:
     return one.withColumns({"skipped_no_qty_rows": F.col("accepted_input_rows") - F.col("rows_with_qty"), "exploded_rows_count": F.col("canonical_rows") - F.col("rows_with_qty")})
 
 
+def confidence_summary(mapped: DataFrame) -> DataFrame:
+    """Mapped columns (file, column_index, confidence) by confidence: one row each of HIGH, MEDIUM and LOW, 0 where there is none."""
+    levels = mapped.sparkSession.createDataFrame([("HIGH",), ("MEDIUM",), ("LOW",)], "confidence string")
+    return F.broadcast(levels).join(mapped.groupBy("confidence").agg(F.count("*").alias("n")), "confidence", "left").select("confidence", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def with_error_row(rows: DataFrame, failed: Column, message: str) -> DataFrame:
+    """rows, and a row of nulls but for error where the aggregate test failed holds over all of them."""
+    none = [F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema.fields]
+    error = rows.agg(failed.alias("__failed")).filter("__failed").select(*none, F.lit(message).alias("error"))
+    return rows.withColumn("error", F.lit(None).cast("string")).unionByName(error)
+
+
+def with_context(rows: DataFrame, context: DataFrame, on: list[str]) -> DataFrame:
+    """Rows of the runs that a context table names."""
+    return rows.join(context.select(*on).distinct(), on)
+
+
 def array_lengths(texts: DataFrame, column: str = "value") -> DataFrame:
     """key and number of elements of each top-level array."""
     parts = json_categories(texts, column).filter(json_kind(F.col("value")) == "array")
@@ -56,8 +74,8 @@ def audited(found: DataFrame, rule_id: str) -> DataFrame:
 
 
 def signature_rollup(audit: DataFrame) -> DataFrame:
-    """Per signature: first and last seen, count and the number of suppliers."""
-    return audit.groupBy("signature_core").agg(F.min("seen_at").alias("first_seen"), F.max("seen_at").alias("last_seen"), F.count("*").alias("total_count"), F.count_distinct("supplier_id").alias("suppliers"))
+    """Per signature: first and last seen, count, the number of suppliers and their set."""
+    return audit.groupBy("signature_core").agg(F.min("seen_at").alias("first_seen"), F.max("seen_at").alias("last_seen"), F.count("*").alias("total_count"), F.count_distinct("supplier_id").alias("suppliers"), F.array_sort(F.collect_set("supplier_id")).alias("affected_suppliers"))
 
 
 def accepted_only_once(runs: DataFrame, accepted: DataFrame) -> DataFrame:

@@ -231,8 +231,8 @@ def q_gate_verdict(spark: SparkSession, sf: str) -> DataFrame:
 def _json_lines(spark: SparkSession, sf: str) -> DataFrame:
     """events.props widened to lines with typical defects."""
     k = F.col("event_id")
-    meta = F.when(k % 7 == 0, "").when(k % 7 == 1, ', "_meta": 3').when(k % 7 == 2, ', "_meta": {"source_row_number": "x"}').otherwise(', "_meta": {"source_row_number": 4}')
-    parsed = F.when(k % 5 == 0, ', "parsed": {"price": 1.5, "qty": 2}').when(k % 5 == 1, ', "parsed": {"price": null, "qty": 3}').when(k % 5 == 2, ', "parsed": [1]').otherwise(F.concat(F.lit(', "parsed": {"price": 100, "qty": '), (k % 9 - 4).cast("string"), F.lit("}")))
+    meta = F.when(k % 7 == 0, "").when(k % 7 == 1, ', "_meta": 3').when(k % 7 == 2, ', "_meta": {"source_row_number": "x"}').when(k % 7 == 3, ', "_meta": {"source_row_number": "4"}').when(k % 7 == 4, ', "_meta": {"source_row_number": null}').otherwise(', "_meta": {"source_row_number": 4}')
+    parsed = F.when(k % 23 == 3, ', "parsed": {"price": "100", "qty": 2}').when(k % 23 == 4, ', "parsed": {"price": 100, "qty": "7"}').when(k % 23 == 5, ', "parsed": {"price": true, "qty": 12345678901234567890}').when(k % 23 == 6, ', "parsed": {"price": 1.0}').when(k % 5 == 0, ', "parsed": {"price": 1.5, "qty": 2}').when(k % 5 == 1, ', "parsed": {"price": null, "qty": 3}').when(k % 5 == 2, ', "parsed": [1]').otherwise(F.concat(F.lit(', "parsed": {"price": 100, "qty": '), (k % 9 - 4).cast("string"), F.lit("}")))
     value = F.when(k % 31 == 0, "{broken").otherwise(F.concat(F.expr("substring(props, 1, length(props) - 1)"), meta, parsed, F.lit(', "quality_flags": []}')))
     return _read(spark, sf, "events").select(k.alias("line_no"), value.alias("value"))
 
@@ -245,7 +245,10 @@ def q_contract_violations(spark: SparkSession, sf: str) -> DataFrame:
     return lines.select("line_no", contract.contract_violation(NEEDED).alias("strict"), contract.contract_violation(NEEDED, strict=False).alias("permissive"))
 
 
-LINES_SQL = """lines as (select event_id as line_no, event_id % 31 = 0 as broken, event_id % 7 as m, event_id % 5 as p from events)"""
+LINES_SQL = """lines as (select event_id as line_no, event_id % 31 = 0 as broken, event_id % 7 as m, event_id % 5 as p, event_id % 23 as q from events)"""
+#: Strict and permissive violation of those lines.
+STRICT_SQL = "case when broken then 'bad_json' when m = 0 then 'missing:_meta' when m = 1 then 'type:_meta' when p = 2 and q not in (3, 4, 5, 6) then 'type:parsed' when m in (2, 3, 4) then 'meta:source_row_number' when q = 3 then 'type:parsed.price' when q = 4 then 'type:parsed.qty' when q = 5 then null when q = 6 then 'type:parsed.price' when p = 0 then 'type:parsed.price' end"
+PERMISSIVE_SQL = "case when broken then 'bad_json' when m = 0 then 'missing:_meta' when m = 1 then 'type:_meta' when p = 2 and q not in (3, 4, 5, 6) then 'type:parsed' end"
 
 
 def _with_qty(spark: SparkSession, sf: str) -> DataFrame:
@@ -351,6 +354,23 @@ def q_pointer_probes(spark: SparkSession, sf: str) -> DataFrame:
     return offers.pointers_as_of(probes, _pointers(spark, sf).drop("event_id"), ["event_type"], "at").select("o_orderkey", "event_type", "at", "artifact_id")
 
 
+def _open_pointers(spark: SparkSession, sf: str) -> DataFrame:
+    """Pointers that overlap: open ones, and others that end after minutes or weeks."""
+    k = F.col("event_id")
+    end = F.when(k % 97 == 0, F.lit(None).cast("timestamp")).when(k % 5 == 0, F.col("valid_from") + F.expr("interval 21 days")).otherwise(F.col("valid_from") + F.expr("interval 7 minutes"))
+    return _read(spark, sf, "events").filter("event_id % 3 = 0").select("event_type", k.cast("string").alias("artifact_id"), F.col("ts").alias("valid_from"), "event_id").withColumn("valid_to", end)
+
+
+def q_pointer_overlaps(spark: SparkSession, sf: str) -> DataFrame:
+    """As-of join against intervals that overlap: behind an ended pointer the latest of those still open is in force."""
+    probes = _read(spark, sf, "orders").filter("o_orderkey % 5 = 0").select("o_orderkey", F.element_at(F.array(*map(F.lit, ["click", "view", "error"])), (F.col("o_orderkey") % 3 + 1).cast("int")).alias("event_type"), (F.to_timestamp(F.lit("2023-12-31")) + F.make_dt_interval(mins=(F.col("o_orderkey") % 60000).cast("int"))).alias("at"))
+    return offers.pointers_as_of(probes, _open_pointers(spark, sf).drop("event_id"), ["event_type"], "at").select("o_orderkey", "at", "artifact_id")
+
+
+def q_current_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return offers.current_counts(_pointers(spark, sf), AT, ["event_type"])
+
+
 def q_latest_snapshot(spark: SparkSession, sf: str) -> DataFrame:
     sealed = _read(spark, sf, "orders").filter(F.col("o_orderstatus") == "F").select("o_custkey", "o_orderdate", "o_orderkey")
     return offers.latest_per_key(sealed, ["o_custkey"], "o_orderdate", "o_orderkey")
@@ -493,7 +513,7 @@ def q_conflicts(spark: SparkSession, sf: str) -> DataFrame:
 
 def q_signature_rollup(spark: SparkSession, sf: str) -> DataFrame:
     e = _read(spark, sf, "events").select(F.col("event_type").alias("signature_core"), F.col("ts").alias("seen_at"), F.col("user_id").alias("supplier_id"))
-    return reports.signature_rollup(e)
+    return reports.signature_rollup(e).withColumn("affected_suppliers", F.array_join("affected_suppliers", ","))
 
 
 def q_reviewed_key(spark: SparkSession, sf: str) -> DataFrame:
@@ -502,7 +522,9 @@ def q_reviewed_key(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {name: f for name, f in globals().items() if name.startswith("q_")}
+    from tarifold.plans import catalog_io
+
+    return {name: f for names in (globals(), vars(catalog_io)) for name, f in names.items() if name.startswith("q_")}
 
 
 _MAPPED = f"with {ITEMS_SQL}, named as (select *, coalesce(nullif(wname, ''), '__default__') as lookup from items)"
@@ -510,7 +532,12 @@ _MAPPED = f"with {ITEMS_SQL}, named as (select *, coalesce(nullif(wname, ''), '_
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL for every query but q_norm_sku_nfkc, whose normal form DuckDB lacks."""
-    strict = "case when broken then 'bad_json' when m = 0 then 'missing:_meta' when m = 1 then 'type:_meta' when p = 2 then 'type:parsed' when m = 2 then 'meta:source_row_number' when p = 0 then 'type:parsed.price' end"
+    from tarifold.plans import catalog_io
+
+    return _oracle_sql() | catalog_io.oracle_sql()
+
+
+def _oracle_sql() -> dict[str, str]:
     return {
         "q_explode_warehouses": f"with {PL_SQL} select k as row_no, pos as wh_pos, wh as warehouse, qty_raw, price_raw from pl",
         "q_emit_good": f"with {TYPED_SQL} select k as row_no, pos as wh_pos, wh as warehouse, sku, price, qty, array_to_string(flags, ',') as flags from typed where fate = 'good'",
@@ -535,7 +562,7 @@ def oracle_sql() -> dict[str, str]:
             baseline(metric, expected, tolerance, is_text) as (values {", ".join(f"('{m}', '{e}', {t}, {str(x).lower()})" for m, e, t, x in BASELINE)}), j as (select b.*, actual, case when actual is null then 'metric_missing' when case when is_text then actual <> expected else abs(actual::bigint - expected::bigint) > tolerance end then 'metric_out_of_tolerance' end as code from baseline b left join actuals using (metric))
             select metric, expected, actual, 'WARN' as level, code from j where code is not null""",
         "q_gate_verdict": "select (o_custkey % 97)::varchar as run_id, case when not (sum(o_orderkey % 13) > 0) or max(o_custkey) % 5 = 0 or count(*) filter (o_orderstatus <> 'P') = 0 then 'FAIL' when count(*) filter (o_orderstatus = 'P' and o_custkey % 3 = 0) > 0 or count(*) filter (o_totalprice < 1000) > 0 then 'WARN' else 'PASS' end as verdict from orders group by 1",
-        "q_contract_violations": f"with {LINES_SQL} select line_no, {strict} as strict, case when broken then 'bad_json' when m = 0 then 'missing:_meta' when m = 1 then 'type:_meta' when p = 2 then 'type:parsed' end as permissive from lines",
+        "q_contract_violations": f"with {LINES_SQL} select line_no, {STRICT_SQL} as strict, {PERMISSIVE_SQL} as permissive from lines",
         "q_curated_kept": f"with {TYPED_SQL} select k as row_no, pos as wh_pos, sku, price, qty from typed where fate in ('good', 'skip') and qty > 0",
         "q_drop_reasons": f"with {TYPED_SQL} select case when qty is null then 'qty_missing' else 'qty_nonpositive' end as drop_reason, count(*) as n from typed where fate = 'skip' group by 1",
         "q_drop_samples": f"with {TYPED_SQL} select k as row_no, pos as wh_pos, qty, case when qty is null then 'qty_missing' else 'qty_nonpositive' end as drop_reason from typed where fate = 'skip' order by k, pos limit 50",
@@ -550,6 +577,10 @@ def oracle_sql() -> dict[str, str]:
         "q_pointer_asof": f"with {POINTERS_SQL} select event_type, artifact_id, valid_from from pointers where valid_from <= timestamp '{AT}' and (valid_to is null or valid_to > timestamp '{AT}') qualify row_number() over (partition by event_type order by valid_from desc, artifact_id desc) = 1",
         "q_pointer_probes": f"""with {POINTERS_SQL}, probes as (select o_orderkey, ['click', 'view', 'error'][o_orderkey % 3 + 1] as event_type, timestamp '2024-01-01' + to_minutes(o_orderkey % 60000) as at_ from orders)
             select o_orderkey, p.event_type, at_ as "at", artifact_id from probes p left join pointers q on p.event_type = q.event_type and q.valid_from <= at_ and (q.valid_to is null or q.valid_to > at_)""",
+        "q_pointer_overlaps": """with pointers as (select event_type, event_id::varchar as artifact_id, ts as valid_from, case when event_id % 97 = 0 then null when event_id % 5 = 0 then ts + interval 21 days else ts + interval 7 minutes end as valid_to from events where event_id % 3 = 0),
+            probes as (select o_orderkey, ['click', 'view', 'error'][o_orderkey % 3 + 1] as event_type, timestamp '2023-12-31' + to_minutes(o_orderkey % 60000) as at_ from orders where o_orderkey % 5 = 0)
+            select p.o_orderkey, p.at_ as "at", arg_max(artifact_id, (valid_from, artifact_id)) as artifact_id from probes p left join pointers q on p.event_type = q.event_type and q.valid_from <= at_ and (q.valid_to is null or q.valid_to > at_) group by 1, 2""",
+        "q_current_counts": f"with {POINTERS_SQL} select event_type, n, n = 1 as exactly_one from (select event_type, count(*) filter (valid_from <= timestamp '{AT}' and (valid_to is null or valid_to > timestamp '{AT}')) as n from pointers group by 1)",
         "q_latest_snapshot": "select o_custkey, o_orderdate, o_orderkey from orders where o_orderstatus = 'F' qualify row_number() over (partition by o_custkey order by o_orderdate desc, o_orderkey desc) = 1",
         "q_artifact_dups": "select count(*) - (select count(*) from (select distinct l_orderkey, l_suppkey from lineitem)) as duplicates from lineitem",
         "q_fk_orphans": "select l_orderkey, l_linenumber, l_suppkey from lineitem where l_suppkey not in (select s_suppkey from supplier where s_suppkey % 2 = 0)",
@@ -579,6 +610,6 @@ def oracle_sql() -> dict[str, str]:
         "q_conflicts": """with a as (select p_partkey as item_id, p_brand as v from part where p_partkey % 5 <> 0), b as (select p_partkey as item_id, case when p_partkey % 3 = 0 then 'Brand#0' else p_brand end as v from part where p_partkey % 7 <> 0),
             j as (select coalesce(a.item_id, b.item_id) as item_id, a.v as l1_value, b.v as l2_value, case when a.v is null then 'l1_missing' when b.v is null then 'l2_missing' when a.v <> b.v then 'mismatch' end as conflict_type from a full join b on a.item_id = b.item_id)
             select item_id, 'brand' as field, l1_value, l2_value, conflict_type, substr(sha256('brand:r1:' || coalesce(l1_value, '') || ':' || coalesce(l2_value, '') || ':' || conflict_type || ':'), 1, 16) as signature_core from j where conflict_type is not null""",
-        "q_signature_rollup": "select event_type as signature_core, min(ts) as first_seen, max(ts) as last_seen, count(*) as total_count, count(distinct user_id) as suppliers from events group by 1",
+        "q_signature_rollup": "select event_type as signature_core, min(ts) as first_seen, max(ts) as last_seen, count(*) as total_count, count(distinct user_id) as suppliers, array_to_string(list_sort(list(distinct user_id)), ',') as affected_suppliers from events group by 1",
         "q_reviewed_key": "select n_nationkey, case when n_nationkey % 2 = 0 then 'wh' || n_nationkey else '__unreviewed__:' || n_name end as warehouse_key from nation",
     }

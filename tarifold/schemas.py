@@ -13,7 +13,14 @@ TYPED_LINE = (
     "ndjson_contract_version string, emitter_version string, supplier_id string, parser_id string, mapping_version string, mapping_hash string, run_id string, effective_at string, sku_candidate_key string, "
     "raw struct<supplier_article:string,brand_raw:string,name_raw:string,price_raw:string,qty_raw:string,supplier_warehouse_name:string>, parsed struct<price:bigint,qty:bigint>, quality_flags array<string>, _meta struct<source_row_number:int>"
 )
-ITEM_LINE = "supplier_id string, parser_id string, layout string, ts_ingested string, item struct<supplier_item_id:string,name:string,brand:string,model:string,article:string,qty:bigint,price_opt:double,price_retail:double,currency:string,image:string>, raw struct<sheet:string,warehouse:string,category_key:string>"
+#: Item contract of header-addressed sheets and of JSON categories.
+ITEM_LINE = "supplier_id string, parser_id string, layout string, ts_ingested string, item struct<supplier_item_id:string,name:string,article:string,qty:bigint,price_opt:double,currency:string>, raw struct<sheet:string,warehouse:string>"
+CATEGORY_LINE = "supplier_id string, parser_id string, layout string, ts_ingested string, item struct<supplier_item_id:string,name:string,brand:string,model:string,article:string,qty:bigint,price_opt:double,price_roznica:double,image:string>, raw struct<category_key:string>"
+#: String contract of positional sheets, without the fields that those lack.
+SHEET_LINE = (
+    "supplier_id string, parser_id string, parser_version string, run_id string, quality_flags array<string>, raw struct<supplier_warehouse_name:string,sku_candidate_key:string,price:string,qty:string,currency:string,brand_raw:string,name_raw:string>, "
+    "_meta struct<source_row_1based:int,passthrough:struct<sheet:string>>"
+)
 
 SNAPSHOTS = "snapshot_id string, parser_id string, status string, created_at timestamp, sealed_at timestamp"
 ITEMS = "id string, snapshot_id string, supplier_id string, raw struct<supplier_warehouse_name:string,warehouse_key:string,sku_candidate_key:string,price:string,qty:string,currency:string>, quality_flags array<string>"
@@ -25,6 +32,10 @@ OFFERS = "artifact_id string, offer_id string, canonical_item_id string, supplie
 
 ROW_AUDIT = "item_id string, field string, l1_value string, l2_value string, conflict_type string, signature_core string, supplier_id string, seen_at timestamp"
 CANONICAL_REQUIRED = "supplier source_file source_table row_index qty_column_index raw".split()
-CANONICAL_ALLOWED = [*CANONICAL_REQUIRED, "article", "brand", "name", "qty", "price", "currency", "warehouse"]
+CANONICAL_TYPES = {
+    "supplier": ("string",), "source_file": ("string",), "source_table": ("string",), "row_index": ("whole",), "qty_column_index": ("whole",), "raw": ("array",),
+    "article": ("string",), "name": ("string",), "brand": ("string",), "qty": ("number", "null"), "price": ("number", "null"), "warehouse": ("string",), "currency": ("string",),
+}
 REJECTED_REQUIRED = [*CANONICAL_REQUIRED, "error"]
+REJECTED_TYPES = {k: v for k, v in CANONICAL_TYPES.items() if k in CANONICAL_REQUIRED} | {"error": ("string",)}
 TYPED_REQUIRED = sorted(part.split()[0] for part in TYPED_LINE.replace("<", " ").split(", ") if " " in part)

@@ -26,22 +26,28 @@ def _archive() -> bytes:
     return out.getvalue()
 
 
+def scratch(spark: SparkSession, tag: str) -> str:
+    """A fresh path in the shared folder of spark.checkpoint.dir; a temporary one, removed at exit, only where that is unset on a local master."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        shared = tempfile.mkdtemp(prefix="tarifold-")
+        atexit.register(shutil.rmtree, shared, True)
+    return f"{shared.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the workers, once per application.
 
     Functions that run in Python workers are pickled by reference, so the
     workers must be able to import the package wherever the driver was started.
-    The archive lies in the shared folder of spark.checkpoint.dir; where that
-    is unset, in a folder of the driver's that is removed when it exits.
+    The archive lies in the shared folder of spark.checkpoint.dir.
     """
     context = spark.sparkContext
     if context.applicationId in _shipped:
         return
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        shared = tempfile.mkdtemp(prefix="tarifold-code-")
-        atexit.register(shutil.rmtree, shared, True)
-    target = context._jvm.org.apache.hadoop.fs.Path(f"{shared.rstrip('/')}/code-{uuid.uuid4().hex}/tarifold.zip")
+    target = context._jvm.org.apache.hadoop.fs.Path(f"{scratch(spark, 'code')}/tarifold.zip")
     stream = target.getFileSystem(context._jsc.hadoopConfiguration()).create(target)
     stream.write(_archive())
     stream.close()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -12,14 +12,17 @@ from tarifold.functions.text import strip
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """file, line_no (1-based, blank lines count) and value of every non-blank line.
 
-    Physical line numbers need a file in one piece, so each file is one row
-    that is split and exploded; files are spread over the executors. It serves
-    per-run files; tables that need no line number are read by read_ndjson.
+    Files are split: a line's number is its place in its block of the file plus
+    the lines of the blocks before, which one aggregate, a row a block, counts.
+    The ids that Spark gives the rows of a scan rise by one from line to line
+    within a block, and both scans plan the same blocks.
     """
-    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.col("value").alias("__all"))
-    lines = whole.select("file", F.posexplode(F.split("__all", "\n")).alias("line_no", "value"))
+    lines = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("__block"), F.monotonically_increasing_id().alias("__n"), "value")
+    blocks = lines.groupBy("file", "__block").agg(F.count("*").alias("__lines"), F.min("__n").alias("__first"))
+    before = F.coalesce(F.sum("__lines").over(Window.partitionBy("file").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    places = blocks.select("file", "__block", (before - F.col("__first") + 1).alias("__shift"))
     value = F.regexp_replace("value", "\r$", "")
-    return lines.select("file", (F.col("line_no") + 1).alias("line_no"), value.alias("value")).filter(F.col("value") != "")
+    return lines.join(places, ["file", "__block"]).select("file", (F.col("__n") + F.col("__shift")).alias("line_no"), value.alias("value")).filter(F.col("value") != "")
 
 
 def read_ndjson(spark: SparkSession, path: str, schema: str | StructType) -> DataFrame:
@@ -52,7 +55,7 @@ class DumpError(ValueError):
 
 
 def read_json_category(spark: SparkSession, path: str, layout: str) -> DataFrame:
-    """Elements of one top-level array of a JSON dump: pos, is_object and the item's fields as text."""
+    """Elements of one top-level array of a JSON dump: pos, is_object, the item's fields as text and id_kind, the JSON type of its id."""
     if not layout.startswith("category:"):
         raise DumpError(f"layout must be category:<key>, not {layout}", 2)
     key = layout.split(":", 1)[1]
@@ -64,7 +67,19 @@ def read_json_category(spark: SparkSession, path: str, layout: str) -> DataFrame
         raise DumpError(f"{key} is not an array", 4)
     part = F.from_json("value", "map<string,string>")[key]
     items = whole.select(F.posexplode(F.from_json(part, "array<string>")).alias("pos", "element"))
-    return items.select("pos", (json_kind(F.col("element")) == "object").alias("is_object"), F.from_json("element", ITEM).alias("i")).select("pos", "is_object", "i.*")
+    id_type = F.schema_of_variant(F.try_variant_get(F.try_parse_json("element"), "$.id", "variant"))
+    id_kind = F.when(id_type == "STRING", "string").when(id_type == "BOOLEAN", "boolean").when(id_type != "VOID", "number")
+    return items.select("pos", (json_kind(F.col("element")) == "object").alias("is_object"), F.from_json("element", ITEM).alias("i"), id_kind.alias("id_kind")).select("pos", "is_object", "i.*", "id_kind")
+
+
+def dump_categories(spark: SparkSession, path: str) -> list[str] | None:
+    """Sorted names of the top-level arrays of a JSON dump; None where its top level is no object."""
+    whole = spark.read.text(path, wholetext=True)
+    top = whole.select(json_kind(F.col("value")).alias("top")).first()
+    if top is None or top["top"] != "object":
+        return None
+    arrays = json_categories(whole).filter(json_kind(F.col("value")) == "array")
+    return sorted(r["key"] for r in arrays.select("key").collect())  # the keys of one document
 
 
 def scan_inbox(spark: SparkSession, root: str) -> DataFrame:

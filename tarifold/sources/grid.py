@@ -77,6 +77,7 @@ class SheetPartition(InputPartition):
 class GridReader(DataSourceReader):
     def __init__(self, options: dict):
         self.pattern, self.sheet, self.first = options["path"], options.get("sheet"), int(options.get("firstrow", 1))
+        self.fallback = options.get("fallback", "false") == "true"
 
     def partitions(self) -> list[SheetPartition]:
         paths = sorted(glob.glob(self.pattern, recursive=True)) if not os.path.isdir(self.pattern) else sorted(glob.glob(f"{self.pattern}/**", recursive=True))
@@ -86,9 +87,11 @@ class GridReader(DataSourceReader):
         out = []
         for path in paths:
             names = READERS[os.path.splitext(path)[1].lower()][0](path)
-            if self.sheet is not None and self.sheet not in names and names != [""]:
+            if self.fallback:
+                names = [self.sheet if self.sheet in names else names[0]]
+            elif self.sheet is not None and self.sheet not in names and names != [""]:
                 raise ValueError(f"sheet not found: {self.sheet}, there are {names}")
-            out += [SheetPartition(path, n) for n in names if self.sheet is None or n in (self.sheet, "")]
+            out += [SheetPartition(path, n) for n in names if self.fallback or self.sheet is None or n in (self.sheet, "")]
         return out
 
     def read(self, partition: SheetPartition) -> Iterator[tuple]:
@@ -99,7 +102,7 @@ class GridReader(DataSourceReader):
 
 
 class GridSource(DataSource):
-    """format("grid"): options path (file, folder or pattern), sheet, firstrow (1-based)."""
+    """format("grid"): options path (file, folder or pattern), sheet, firstrow (1-based), fallback (the first sheet where the named one is missing)."""
 
     @classmethod
     def name(cls) -> str:
@@ -112,10 +115,10 @@ class GridSource(DataSource):
         return GridReader(self.options)
 
 
-def read_grid(spark: SparkSession, path: str, sheet: str | None = None, first_row: int = 1) -> DataFrame:
+def read_grid(spark: SparkSession, path: str, sheet: str | None = None, first_row: int = 1, fallback: bool = False) -> DataFrame:
     ship(spark)
     spark.dataSource.register(GridSource)
-    reader = spark.read.format("grid").option("firstrow", str(first_row))
+    reader = spark.read.format("grid").option("firstrow", str(first_row)).option("fallback", str(fallback).lower())
     if sheet is not None:
         reader = reader.option("sheet", sheet)
     return reader.load(path)

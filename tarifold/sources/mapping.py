@@ -9,6 +9,8 @@ from typing import Any
 
 import yaml
 
+from tarifold import storage
+
 
 class MappingError(ValueError):
     """A mapping that cannot be used; code is the exit code of the command line."""
@@ -96,5 +98,10 @@ def parse_mapping(data: bytes, strict: bool = True) -> Mapping:
     )
 
 
+def mapping_bytes(path: str) -> bytes:
+    """A mapping file of the driver, or of any file system where the path names one."""
+    return storage.read_text(path).encode() if ":/" in path else Path(path).read_bytes()
+
+
 def load_mapping(path: str, strict: bool = True) -> Mapping:
-    return parse_mapping(Path(path).read_bytes(), strict)
+    return parse_mapping(mapping_bytes(path), strict)

@@ -3,7 +3,7 @@ from datetime import UTC, datetime
 import pytest
 from pyspark.sql import functions as F
 
-from tarifold import schemas
+from tarifold import schemas, storage
 from tarifold.operators import offers
 
 ITEMS = [
@@ -74,7 +74,7 @@ def test_refusals(spark, tmp_path):
     st.expire(-1)
     assert st.read("snapshots").isEmpty()
     st.backfill()
-    with offers.exclusive(str(tmp_path / "l" / "x")), pytest.raises(FileExistsError), offers.exclusive(str(tmp_path / "l" / "x")):
+    with storage.exclusive(str(tmp_path / "l" / "x")), pytest.raises(FileExistsError), storage.exclusive(str(tmp_path / "l" / "x")):
         pass
 
 
@@ -102,3 +102,59 @@ def test_reprocessing(spark, store):
     states = spark.createDataFrame([("s", "blocked")], "supplier_id string, state string")
     flags = {r["id"]: r["quality_flags"] for r in reports.reviewed_flags(items, marked, states).collect()}
     assert flags["i1"] == ["x", "needs_review", offers.BLOCKED] and flags["i2"] == [offers.BLOCKED] and flags["i3"] == [offers.BLOCKED]
+
+
+def test_one_lock_a_table(spark, store):
+    """Two writers of one table wait for each other, so no update is lost; artifacts of one version race and one wins."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    store.seal("s1")
+    others = [offers.Store(spark, store.root) for _ in range(4)]
+
+    def add(k):
+        others[k].append("snapshots", spark.createDataFrame([(f"t{k}", "p", "open", None, None)], schemas.SNAPSHOTS))
+        others[k].switch_pointer("a1", channel=f"c{k}") if k < 2 else None
+        return True
+
+    store.generate("s1", "v1", "a1")
+    with ThreadPoolExecutor(4) as pool:
+        assert all(pool.map(add, range(4)))
+    assert {r["snapshot_id"] for r in store.read("snapshots").collect()} == {"s1", "t0", "t1", "t2", "t3"}
+    assert {r["channel"] for r in store.read("pointers").collect()} == {"c0", "c1"}
+
+    def make(k):
+        try:
+            return others[k].generate("s1", "v9", f"x{k}")
+        except offers.LifecycleError:
+            return None
+
+    with ThreadPoolExecutor(2) as pool:
+        assert sorted(pool.map(make, range(2)), key=str) == [3, None]
+
+
+def test_lookup_reads_one_artifact(spark, store):
+    store.seal("s1")
+    store.generate("s1", "v1", "a1")
+    store.generate("s1", "v2", "a2")
+    assert all("/offers/a1-" in f for f in store.read_offers("a1").inputFiles()) and store.read_offers("a1").count() == 3
+    assert store.read_offers("none").count() == 0
+
+
+def test_publish_curated_is_idempotent(spark, store):
+    one = store.publish_curated("s1", by="me")
+    assert store.publish_curated("s1") == one != store.publish_curated("s1", "v2")
+    row = store.read("artifacts").filter(F.col("artifact_id") == one).first()
+    assert row["status"] is None and row["published_by"] == "me" and row["published_at"] is not None
+
+
+def test_pointer_behind_an_ended_one(spark):
+    """a is open since 1 January, b held on the 2nd only: on the 4th it is a again."""
+    day = lambda n: datetime(2024, 1, n)
+    pointers = spark.createDataFrame([("k", "a", day(1), None), ("k", "b", day(2), day(3)), ("k", "c", day(10), day(9)), ("j", "d", day(2), day(20))], "k string, artifact_id string, valid_from timestamp, valid_to timestamp")
+    probes = spark.createDataFrame([(1, "k", day(1)), (2, "k", day(2)), (3, "k", day(3)), (4, "k", day(4)), (5, "k", day(25)), (6, "j", day(1)), (7, "j", day(19)), (8, "j", day(20)), (9, "z", day(5)), (10, "k", None), (4, "k", day(4))], "n int, k string, at timestamp")
+    got = [(r["n"], r["artifact_id"]) for r in offers.pointers_as_of(probes, pointers, ["k"], "at").collect()]
+    assert dict(got) == {1: "a", 2: "b", 3: "a", 4: "a", 5: "a", 6: None, 7: "d", 8: None, 9: None, 10: None}
+    assert len(got) == 11
+    for lo, hi in [(0, 0), (0, 7), (1, 6), (5, 12), (4, 3), (2, 15)]:
+        blocks = spark.range(1).select(offers._blocks(F.lit(lo), F.lit(hi), 6).alias("b")).first()["b"]
+        assert sorted(n for b in blocks for n in range(b["block"] << b["level"], b["block"] + 1 << b["level"])) == list(range(lo, hi + 1))

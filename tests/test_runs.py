@@ -62,7 +62,9 @@ def test_golden_run(spark, tmp_path, price_grid, mapping_path):
     objects = [json.loads(x) for x in lines]
     assert [(o["parsed"]["price"], o["parsed"]["qty"], o["quality_flags"]) for o in objects] == [(10050, 5, []), (10050, 40, ["qty_approximated"]), (None, 3, ["missing_price", "qty_fractional"]), (-300, 1, ["negative_price"])]
     assert lines == [runs.dump(o) for o in objects]  # canonical bytes
-    assert len(open(f"{root}/runs/r1/bad_rows.ndjson", encoding="utf-8").read().splitlines()) == 8
+    bad = [json.loads(x) for x in open(f"{root}/runs/r1/bad_rows.ndjson", encoding="utf-8").read().splitlines()]
+    assert [(b["_meta"]["source_row_number"], b["raw"]["supplier_warehouse_name"]) for b in bad] == [(r, w) for r in (5, 6) for w in ("Main", "Second", "Third", "Fourth")]  # in file order
+    assert document["sha256"]["mapping_lf"] == mapping.parse_mapping(MAPPING).hash and document["emitter_version"] == emit.EMITTER
     assert (document["kept_lines"], document["ingest"]) == (4, "ingested")
     before = open(f"{root}/facts/acme/acme_v1/2026-02/r1.ndjson", "rb").read()
     assert runs.full_run(*args, grid=price_grid)["ingest"] == "already_ingested"
@@ -160,12 +162,99 @@ def test_dispatch(spark):
     names = spark.createDataFrame([("Прайс ДИСКИ",), ("x",), ("грузовые шины",)], "n string")
     assert [r[0] for r in names.select(dispatch.layout_of_name(F.col("n"))).collect()] == ["wheels", "tyres", "truck"]
     assert dispatch.check_header(["", "Опт"], ["", "цена"], 2) == []
-    assert dispatch.check_header(["", "x"], ["", "y"], 2, stock=1) == ["price label", "price group", "stock label"]
+    assert dispatch.check_header(["", "x"], ["", "y"], 2, stock=1) == ["price label", "price group", "stock label", "stock name"]
+    assert dispatch.check_header(["Центр.  Склад", "Опт", "Уфа"], ["Остаток", "Цена", "остаток"], 2, stock=[1, 3], centre=1) == []
+    assert dispatch.check_header(["Уфа", "Опт"], ["шт", "Цена"], 2, centre=1) == ["centre group", "centre label"]
     sigs = spark.createDataFrame([("f1", 2, ["артикул|", "опт|цена"]), ("f2", 1, ["x"])], "file string, header_rows int, tokens array<string>")
     rules = spark.createDataFrame([("r1", "A", 2, ["опт"]), ("r2", "B", None, [])], "rule string, layout string, header_rows int, need array<string>")
     assert {r["file"]: (r["layouts"], r["status"]) for r in dispatch.match_signatures(sigs, rules).collect()} == {"f1": (["A"], "OK"), "f2": ([], "PROBLEM")}
 
 
+def test_json_types_count(spark):
+    """Numbers given as texts are no numbers; a text "0" is an id, the number 0 is none."""
+    base = '{"_meta":{"source_row_number":%s},"parsed":{"price":%s,"qty":%s},"mapping_version":%s,"run_id":%s}'
+    rows = [("4", "100", "7", "1", '"r"'), ('"4"', "100", "7", "1", '"r"'), ("4", '"100"', "7", "1", '"r"'), ("4", "100", '"7"', "1", '"r"'), ("4", "1.0", "7", "1", '"r"'), ("4", "null", "true", '"1"', '"r"'), ("4", "1", "1", "2", '"r"'), ("4", "1", "1", "1", "3"), ("4", "99999999999999999999", "1", "1", '"r"')]
+    frame = contract.parsed_lines(spark.createDataFrame([(i, base % r) for i, r in enumerate(rows)], "i int, value string"))
+    got = [r["v"] for r in frame.select("i", contract.contract_violation(["_meta", "parsed"], {"mapping_version": "1", "run_id": "r"}).alias("v")).orderBy("i").collect()]
+    assert got == [None, "meta:source_row_number", "type:parsed.price", "type:parsed.qty", "type:parsed.price", None, "mismatch:mapping_version", "mismatch:run_id", None]
+    items = spark.createDataFrame([("0", "string"), ("false", "string"), ("0", "number"), ("0.0", "number"), ("false", "boolean"), ("true", "boolean"), (" ", "string"), (None, None), ("5", "number")], "id string, id_kind string").selectExpr("*", "'3' as stock", "'1' as price_minimum", "true as is_object")
+    assert [r["fate"] for r in emit.emit_category(items).collect()] == ["emit", "emit", "no_id", "no_id", "no_id", "emit", "no_id", "no_id", "emit"]
+
+
+def test_line_numbers_of_split_files(spark, tmp_path):
+    """Files cut in many blocks keep their physical line numbers; blank lines count, a carriage return inside is text."""
+    want = {}
+    for name in ("a", "b"):
+        lines = [f'{{"n": {i}, "pad": "{"x" * (i % 37)}"}}' if i % 5 else "" for i in range(3000)]
+        lines[7] = "odd\rline"
+        (tmp_path / f"{name}.ndjson").write_text("\n".join(lines) + "\n", encoding="utf-8", newline="")
+        want |= {(name, i + 1): v for i, v in enumerate(lines) if v}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "9000")
+    try:
+        frame = files.read_lines(spark, str(tmp_path))
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 5
+        got = {(r["file"][-8], r["line_no"]): r["value"] for r in frame.collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == want
+
+
+class Book:
+    """A stand-in for a workbook library: two sheets, one with a merged cell."""
+
+    SHEETS = {"First": [["a", 1.0, None], ["", "x", 2.5]], "TDSheet": [["h", "h2"], [7, True]]}
+
+
+def test_workbook_readers(tmp_path, monkeypatch):
+    import sys
+    import types
+
+    class Sheet:
+        def __init__(self, rows):
+            self.rows, self.nrows, self.merged_cells = rows, len(rows), [(0, 2, 0, 1)]
+
+        def row_values(self, r):
+            return self.rows[r]
+
+        def cell_value(self, r, c):
+            return self.rows[r][c]
+
+    xlrd = types.ModuleType("xlrd")
+    xlrd.open_workbook = lambda path, on_demand: types.SimpleNamespace(sheet_names=lambda: list(Book.SHEETS), sheet_by_name=lambda n: Sheet(Book.SHEETS[n]))
+    openpyxl = types.ModuleType("openpyxl")
+
+    class Work(dict):
+        sheetnames = list(Book.SHEETS)
+
+    openpyxl.load_workbook = lambda path, **_: Work({n: types.SimpleNamespace(iter_rows=lambda values_only, rows=rows: iter(map(tuple, rows))) for n, rows in Book.SHEETS.items()})
+    monkeypatch.setitem(sys.modules, "xlrd", xlrd)
+    monkeypatch.setitem(sys.modules, "openpyxl", openpyxl)
+    for name in ("b.xls", "b.xlsx"):
+        (tmp_path / name).write_bytes(b"")
+    read = lambda options: {(os.path.basename(p.path), p.sheet): [(r[2], r[3]) for r in reader.read(p)] for reader in [grid.GridReader(options)] for p in reader.partitions()}
+    got = read({"path": str(tmp_path)})
+    assert got["b.xls", "First"] == [(1, ["a", "1", ""]), (2, ["a", "x", "2.5"])] and got["b.xlsx", "First"] == [(1, ["a", "1", ""]), (2, ["", "x", "2.5"])]
+    assert got["b.xlsx", "TDSheet"] == [(1, ["h", "h2"]), (2, ["7", "True"])] and len(got) == 4
+    assert list(read({"path": str(tmp_path / "b.xls"), "sheet": "TDSheet", "firstrow": "2"})) == [("b.xls", "TDSheet")]
+    with pytest.raises(ValueError, match="sheet not found"):
+        read({"path": str(tmp_path / "b.xls"), "sheet": "None"})
+    assert list(read({"path": str(tmp_path / "b.xlsx"), "sheet": "None", "fallback": "true"})) == [("b.xlsx", "First")]
+
+
+def test_adapters(spark, tmp_path):
+    (tmp_path / "stock.json").write_text('{"b": [], "a/x": [1], "n": 3}', encoding="utf-8")
+    (tmp_path / "list.json").write_text("[1]", encoding="utf-8")
+    registry = dispatch.Registry()
+    registry.add(("Acme",), dispatch.workbook_adapter("acme", {"wheels": "w.yaml", "tyres": "t.yaml"}))
+    registry.add(("dump", "Дамп"), dispatch.dump_adapter("dump", lambda p: files.dump_categories(spark, p)))
+    plans, _ = registry.plan("ACME", "/in/acme/Прайс ДИСКИ.xls")
+    assert [(p.layout, p.mapping, p.tag, p.emitter) for p in plans] == [("wheels", "w.yaml", "acme__Прайс_ДИСКИ__wheels", "strings")]
+    plans, _ = registry.plan("ДАМП", str(tmp_path / "stock.json"))
+    assert [(p.layout, p.tag) for p in plans] == [("category:a/x", "dump__stock__category_a_x"), ("category:b", "dump__stock__category_b")]
+    assert registry.plan("dump", str(tmp_path / "list.json")) == ([], "no plan") == registry.plan("dump", "x.xlsx")
+    assert registry.plan("acme2", "x.xls") == ([], "no adapter")
+
+
 def test_batch_goes_on_after_failures(spark, tmp_path):
     (tmp_path / "in" / "acme").mkdir(parents=True)
     (tmp_path / "in" / "other").mkdir()
@@ -191,9 +280,54 @@ def test_cli_codes(spark, tmp_path, mapping_path):
     assert cli.main(["curate", "--manifest", str(tmp_path / "none.json"), "--out-dir", str(tmp_path)], spark) == 1
 
 
+def test_cli_of_the_other_emitters(spark, tmp_path, mapping_path):
+    (tmp_path / "p.csv").write_text("\n".join(",".join(cells(v)) for _, v in ROWS) + "\n", encoding="utf-8")
+    (tmp_path / "d.json").write_text('{"rims": [{"id": 7, "stock": 3, "price_minimum": 5, "img_url": "u"}], "n": 1}', encoding="utf-8")
+    at = lambda n: str(tmp_path / n)
+    outs = lambda n: ["--out", at(f"{n}.ndjson"), "--stats-out", at(f"{n}.json")]
+    assert cli.main(["emit-strings", "--input", at("p.csv"), "--mapping", mapping_path, "--layout", "tyres", "--run-id", "r", *outs("s"), "--supplier", "acme", "--parser", "p"], spark) == 0
+    assert len(open(at("s.ndjson"), encoding="utf-8").read().splitlines()) == runs.read_json(at("s.json"))["lines"] == 5
+    assert cli.main(["emit-strings", "--input", at("none.csv"), "--mapping", mapping_path, "--layout", "tyres", "--run-id", "r", *outs("x"), "--supplier", "acme", "--parser", "p"], spark) == 2
+    assert cli.main(["emit-category", "--input", at("d.json"), "--layout", "category:rims", *outs("c"), "--supplier", "acme"], spark) == 0
+    item = json.loads(open(at("c.ndjson"), encoding="utf-8").read())
+    assert item["item"] == {"article": None, "brand": None, "image": "u", "model": None, "name": None, "price_opt": 5.0, "price_roznica": None, "qty": 3, "supplier_item_id": "7"} and item["raw"] == {"category_key": "rims"}
+    assert [cli.main(["emit-category", "--input", at("d.json"), "--layout", layout, *outs("c"), "--supplier", "acme"], spark) for layout in ("rims", "category:n")] == [2, 4]
+    head = [[""] * 6] * 5 + [list(emit.HEADED.values()), ["12", "n", "a", "1200.5", "w", "> 4"]]
+    (tmp_path / "h.csv").write_text("\n".join(",".join(r) for r in head) + "\n", encoding="utf-8")
+    headed = lambda layout: cli.main(["emit-headed", "--input", at("h.csv"), "--sheet", "", "--layout", layout, *outs("h"), "--supplier", "acme"], spark)
+    assert headed("rims") == 2 and headed("category:rims") == 0
+    assert json.loads(open(at("h.ndjson"), encoding="utf-8").read())["item"] == {"article": "a", "currency": "RUB", "name": "n", "price_opt": 1200.5, "qty": 4, "supplier_item_id": "12"}
+    assert cli.main(["emit-headed", "--input", at("none.csv"), "--sheet", "x", "--layout", "category:rims", *outs("h"), "--supplier", "acme"], spark) == 3
+    (tmp_path / "w.csv").write_text("h\n" + ",".join(["n", " k ", "b", *[""] * 10, "5", "100"]) + "\n", encoding="utf-8")
+    sheet = lambda name: cli.main(["emit-sheet", "--input", at(name), "--sheet", "", "--layout", "wheels", "--run-id", "r", *outs("w"), "--supplier", "acme", "--parser", "p", "--warehouse", "centre"], spark)
+    assert sheet("w.csv") == 0 and sheet("none.csv") == 1
+    line = json.loads(open(at("w.ndjson"), encoding="utf-8").read())
+    assert line["raw"] == {"brand_raw": "b", "currency": "RUB", "name_raw": "n", "price": "100", "qty": "5", "sku_candidate_key": "k", "supplier_warehouse_name": "centre"} and line["_meta"]["source_row_1based"] == 2
+    (tmp_path / "rules.yaml").write_text("- {rule: r1, layout: tyres, row1: [опт]}\n- {rule: r2, layout: wheels, cols: 99}\n", encoding="utf-8")
+    assert cli.main(["dispatch", "--input", at("p.csv"), "--rules", at("rules.yaml")], spark) == 0
+    assert cli.main(["dispatch", "--input", at("w.csv"), "--rules", at("rules.yaml")], spark) == 2
+    (tmp_path / "in" / "acme").mkdir(parents=True)
+    (tmp_path / "in" / "acme" / "p.csv").write_bytes((tmp_path / "p.csv").read_bytes())
+    (tmp_path / "suppliers.yaml").write_text(f"- {{names: [Acme], kind: workbook, mappings: {{tyres: {mapping_path}}}}}\n", encoding="utf-8")
+    assert cli.main(["batch", "--root", at("in"), "--out", at("report.json"), "--run-id", "b", "--suppliers", at("suppliers.yaml"), "--effective-at", "2026-01-01T00:00:00Z", "--work", at("work")], spark) == 0
+    report = runs.read_json(at("report.json"))
+    assert [(i["rc"], i["stats"]["lines"]) for i in report["items"]] == [(0, 5)] and os.path.exists(at("work/acme__p__tyres.b.ndjson"))
+
+
+def test_extraction_artifacts(spark, tmp_path):
+    rows = [("s", "b", "t", 1, 2, ["x"], "A2"), ("s", "a", "t", 2, 1, ["y"], "A1"), ("s", "a", "t", 1, 2, ["z"], "A1"), ("s", "a", "t", 1, 1, ["w"], "A3")]
+    frame = spark.createDataFrame(rows, "supplier string, source_file string, source_table string, row_index int, qty_column_index int, raw array<string>, article string").withColumn("warehouse", F.lit("w"))
+    runs.extraction_run(frame, frame.limit(1).withColumn("error", F.lit("e")), {"errors": []}, str(tmp_path / "o"), "s")
+    runs.combine_extractions(spark, str(tmp_path / "o"))
+    runs.combine_extractions(spark, str(tmp_path / "o"))  # the joint file is no input of itself
+    lines = [json.loads(x) for x in open(tmp_path / "o" / "all" / "canonical.ndjson", encoding="utf-8").read().splitlines()]
+    assert [r["raw"] for r in lines] == [["w"], ["z"], ["y"], ["x"]]
+    assert runs.read_json(str(tmp_path / "o/s/report.json")) == {"errors": []} and spark.read.parquet(str(tmp_path / "o/canonical_items")).count() == 4
+
+
 def test_rows_and_rules(spark):
     rows = contract.parsed_lines(spark.createDataFrame([('{"supplier":"s","source_file":"f","source_table":"t","row_index":1,"qty_column_index":2,"raw":[]}',), ('{"supplier":"s"}',), ('{"supplier":"s","source_file":"f","source_table":"t","row_index":0,"qty_column_index":2,"raw":[]}',), ('{"supplier":"s","source_file":"f","source_table":"t","row_index":1,"qty_column_index":2,"raw":[],"z":1}',)], "value string"))
-    assert [r[0] for r in rows.select(contract.row_error(schemas.CANONICAL_REQUIRED, schemas.CANONICAL_ALLOWED)).collect()] == [None, "missing:source_file", "minimum:row_index", "extra_key"]
+    assert [r[0] for r in rows.select(contract.row_error()).collect()] == [None, "missing:source_file", "minimum:row_index", "extra_key"]
     frame = spark.createDataFrame([("open",), ("odd",)], "status string")
     with pytest.raises(Exception, match="bad status"):
         contract.require(frame, F.col("status").isin("open", "sealed"), "bad status").collect()
