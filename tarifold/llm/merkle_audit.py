@@ -10,14 +10,15 @@ range that it covers.
 
 Two replicas are compared root against root; only the children of differing
 nodes are looked at on the next level, down to the records. Trees are kept as a
-table partitioned by level, so the descent reads single levels and, through the
-semi-join, single branches. All grouping is by file: one shuffle of digests
-(never of bytes) per replica builds the whole tree.
+table partitioned by level and by bundle (BUNDLE files side by side), so the
+descent reads single levels and, of those, only bundles that hold a differing
+node; the nodes found on each level are written, and a level's are read once.
+One shuffle of digests (never of bytes), by bundle, builds each level.
 
 Defined results for odd input:
 
 * null url or html: recorded as empty; empty and very long html: hashed whole;
-* null page_id: slot 0 of file -1;
+* null page_id: slot 0 of a file of its own, NO_FILE; negative ids: files below 0;
 * repeated rows and ties (equal page_id): one slot with the hash over the
   sorted digests of its records, so that order and engine don't matter;
 * a record, branch or file that one replica lacks: a mismatch with that
@@ -30,9 +31,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tarifold.llm.common import new_path, table
+from tarifold.llm.common import join_lookup, new_path, stash, table
 
 SLOTS, FANOUT, LEVELS = 4096, 16, 3
+#: Files of a bundle; the file of records without page_id, which no page_id can give.
+BUNDLE, NO_FILE = 64, -(1 << 60)
 CAPTURED = "2024-01-01T00:00:00Z"
 #: The replica of the query: bit rot in one record of FLIP, a cut tail in one of CUT, a lost record in one of LOSE.
 FLIP, CUT, LOSE = 997, 1499, 2003
@@ -57,60 +60,68 @@ def faulty_copy(records: DataFrame) -> DataFrame:
     return records.filter(F.coalesce(F.pmod(key, F.lit(LOSE)) != 5, F.lit(True))).select("page_id", damaged.alias("record"))
 
 
+def _bundle() -> Column:
+    return F.expr(f"(file - pmod(file, {BUNDLE})) div {BUNDLE}")
+
+
 def _hash(parts: Column) -> Column:
     return F.sha2(F.concat_ws("|", parts), 256)
 
 
 def leaves(records: DataFrame) -> DataFrame:
     """file, slot, digest, bytes and offset of every slot."""
-    key = F.coalesce(F.floor(F.col("page_id") / SLOTS), F.lit(-1)).cast("long")
+    key = F.coalesce(F.expr(f"(page_id - pmod(page_id, {SLOTS})) div {SLOTS}"), F.lit(NO_FILE)).cast("long")
     one = records.select(key.alias("file"), F.coalesce(F.pmod(F.col("page_id"), F.lit(SLOTS)), F.lit(0)).cast("int").alias("slot"), F.sha2("record", 256).alias("digest"), F.octet_length("record").cast("long").alias("bytes"))
-    # one exchange, of digests, serves the slots and the offsets
-    slots = one.repartition("file").groupBy("file", "slot").agg(F.count("*").alias("n"), F.min("digest").alias("first"), F.array_sort(F.collect_list("digest")).alias("all"), F.sum("bytes").alias("bytes"))
+    # one exchange, of digests, serves the slots, the offsets and the layout
+    slots = one.repartition(_bundle()).groupBy("file", "slot").agg(F.count("*").alias("n"), F.min("digest").alias("first"), F.array_sort(F.collect_list("digest")).alias("all"), F.sum("bytes").alias("bytes"))
     digest = F.when(F.col("n") == 1, F.col("first")).otherwise(_hash(F.col("all")))
     slots = slots.select("file", "slot", digest.alias("digest"), "bytes")
     before = Window.partitionBy("file").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
     return slots.withColumn("offset", F.coalesce(F.sum("bytes").over(before), F.lit(0)))
 
 
+NODES = "file long, node int, digest string, bytes long, offset long"
+
+
 def tree(records: DataFrame) -> DataFrame:
-    """The nodes of every file's tree as a stored table: level (0: records), file, node, digest, bytes, offset."""
+    """The nodes of every file's tree as a stored table: level (0: records), bundle, file, node, digest, bytes, offset."""
     spark = records.sparkSession
     path = new_path(spark, "merkle")
-    shape = ["file", "node", "digest", "bytes", "offset"]
-    level = leaves(records).withColumnRenamed("slot", "node").select(*shape)
-    level.write.parquet(f"{path}/level=0")
+
+    def store(nodes: DataFrame, number: int) -> DataFrame:
+        nodes.withColumn("bundle", _bundle()).repartition("bundle").sortWithinPartitions("bundle", "file", "node").write.partitionBy("bundle").parquet(f"{path}/level={number}")
+        return spark.read.schema(f"{NODES}, bundle long").parquet(f"{path}/level={number}")
+
+    below = store(leaves(records).withColumnRenamed("slot", "node").select("file", "node", "digest", "bytes", "offset"), 0)
     for number in range(1, LEVELS + 1):
-        schema = "file long, node int, digest string, bytes long, offset long"
-        below = spark.read.schema(schema).parquet(f"{path}/level={number - 1}")
         child = F.struct("node", "digest", "bytes")
-        up = below.groupBy("file", F.expr(f"node div {FANOUT}").cast("int").alias("up")).agg(F.array_sort(F.collect_list(child)).alias("kids"), F.sum("bytes").alias("bytes"), F.min("offset").alias("offset"))
+        up = below.groupBy("bundle", "file", F.expr(f"node div {FANOUT}").cast("int").alias("up")).agg(F.array_sort(F.collect_list(child)).alias("kids"), F.sum("bytes").alias("bytes"), F.min("offset").alias("offset"))
         text = F.transform("kids", lambda k: F.concat_ws(":", k["node"].cast("string"), k["digest"], k["bytes"].cast("string")))
-        up.select("file", F.col("up").alias("node"), _hash(text).alias("digest"), "bytes", "offset").write.parquet(f"{path}/level={number}")
-    return spark.read.schema("file long, node int, digest string, bytes long, offset long, level int").parquet(path)
+        below = store(up.select("file", F.col("up").alias("node"), _hash(text).alias("digest"), "bytes", "offset"), number)
+    return spark.read.schema(f"{NODES}, level int, bundle long").parquet(path)
 
 
 def audit(ours: DataFrame, theirs: DataFrame) -> DataFrame:
     """Mismatching records of two trees: file, slot, offset, bytes, both digests and the fault."""
 
-    def differing(level: int, under: DataFrame | None) -> DataFrame:
+    def differing(level: int, found: DataFrame | None) -> DataFrame:
         sides = []
         for t in (ours, theirs):
             nodes = t.filter(F.col("level") == level).drop("level")
-            if under is not None:
-                nodes = nodes.withColumn("up", F.expr(f"node div {FANOUT}").cast("int")).join(under, ["file", "up"], "left_semi").drop("up")
+            if found is not None:
+                # bundles are counted in millions of records: their list is short, and names the folders to read
+                bundles = [r["bundle"] for r in found.select("bundle").distinct().collect()]
+                under = found.select("file", F.col("node").alias("up"))
+                nodes = join_lookup(nodes.filter(F.col("bundle").isin(bundles)).withColumn("up", F.expr(f"node div {FANOUT}").cast("int")), under, ["file", "up"], "left_semi").drop("up")
             sides.append(nodes)
         a, b = sides[0].alias("a"), sides[1].alias("b")
-        both = a.join(b, (F.col("a.file") == F.col("b.file")) & (F.col("a.node") == F.col("b.node")), "full_outer")
-        return both.filter(~F.col("a.digest").eqNullSafe(F.col("b.digest"))).select(
-            F.coalesce("a.file", "b.file").alias("file"), F.coalesce("a.node", "b.node").alias("node"), F.coalesce("a.offset", "b.offset").alias("offset"), F.coalesce("a.bytes", "b.bytes").alias("bytes"),
-            F.col("a.digest").alias("digest"), F.col("b.digest").alias("other"),
-        )
+        both = a.join(b, (F.col("a.bundle") == F.col("b.bundle")) & (F.col("a.file") == F.col("b.file")) & (F.col("a.node") == F.col("b.node")), "full_outer")
+        either = lambda c: F.coalesce(f"a.{c}", f"b.{c}").alias(c)
+        return both.filter(~F.col("a.digest").eqNullSafe(F.col("b.digest"))).select(either("bundle"), either("file"), either("node"), either("offset"), either("bytes"), F.col("a.digest").alias("digest"), F.col("b.digest").alias("other"))
 
     found = None
     for level in range(LEVELS, -1, -1):
-        under = None if found is None else found.select("file", F.col("node").alias("up"))
-        found = differing(level, under)
+        found = stash(differing(level, found), f"differing-{level}")
     fault = F.when(F.col("other").isNull(), "missing").when(F.col("digest").isNull(), "extra").otherwise("corrupt")
     return found.select("file", F.col("node").alias("slot"), "offset", "bytes", "digest", "other", fault.alias("fault"))
 
