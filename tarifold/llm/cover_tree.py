@@ -2,26 +2,36 @@
 
 Unit vectors u, v have cosine >= t iff |u - v| <= eps = sqrt(2 - 2 t).
 
-1. Root cells: every vector goes to its nearest of P pivots, P growing with
-   the table up to MAX_PIVOTS; a cell of more than CELL rows is cut in chunks,
-   so no task holds more than two chunks.
-2. One cover tree per chunk. Level k has radius RADIUS / 2**k: the members of a
-   node are covered by children within that radius, the node's own centre is
-   its first child (nesting), siblings are more than the radius apart, down to
-   radii below eps. Every node keeps its true covering radius.
-3. Dual traversal: chunk pairs, then node pairs level by level, go on only while
-   |c1 - c2| <= r1 + r2 + eps; the members of surviving leaf pairs are compared.
-   The bounds are exact, so every pair is found; nothing is capped.
-
-Vectors are kept as float32 unit vectors. Bounds carry a slack for float32; the
-final cosine of a pair is taken in float64.
+1. Cells: every vector goes to its nearest of P pivots, P growing with the table
+   as long as the pivots stay under PIVOT_BYTES. Cells lie side by side in
+   groups of about GROUP_BYTES, one task each. A cell's count and covering
+   radius are one small aggregate.
+2. Visits: a vector v of cell A can have a partner in cell B only if
+   |v - pB| <= min(rB + eps, |v - pA| + 2 eps). It is sent to the groups of
+   such cells, once a group, and of two groups only one sends to the other. No
+   pair of cells or groups is ever enumerated.
+3. In a group one cover tree per cell: level k has radius RADIUS / 2**k, the
+   members of a node are covered by children within that radius, the node's own
+   centre is its first child (nesting), siblings are more than the radius apart,
+   down to radii below eps / 2. Every node keeps its true covering radius.
+   Visitors come in batches, each with a tree of its own.
+4. Dual traversal of two trees, depth first in blocks: node pairs go on only
+   while |c1 - c2| <= r1 + r2 + eps; the members of surviving leaf pairs are
+   compared. The bounds are exact, so every pair is found; nothing is capped, and
+   a task holds one group, one batch and one block of candidates a level.
+
+Vectors travel in their own type. Bounds are taken in float32 and carry a slack
+for it; the cosine of a pair is taken in float64 from the original values, up to
+TIE, which stands for the rounding of float64 itself.
 
 Defined results for odd input:
 
 * null embedding, null or non-finite element, zero vector, null vec_id: in no pair;
 * vectors of another length than the most frequent (least on ties): in no pair;
 * repeated rows (equal vec_id): never paired with themselves, other pairs appear once;
-* equal vectors: distance 0, all their pairs appear;
+* equal vectors: distance 0, all their pairs appear; a cell of more than CELL_ROWS
+  of them is cut by a hash of the id into cells of one centre;
+* ties at the threshold: a pair;
 * empty table: empty result; extra columns are ignored.
 """
 
@@ -29,6 +39,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -39,33 +50,39 @@ from tarifold.llm.common import stash, table
 
 COSINE = 0.95
 RADIUS = 1.0
-#: Rows aimed at per cell and held at most per chunk; pivots at most.
-CELL, CHUNK, MAX_PIVOTS = 4096, 8192, 4096
-#: Rows of a distance block, node pairs looked at together; slack of the bounds for float32.
-BLOCK, COMBINATIONS, SLACK = 512, 1 << 17, 2e-3
-
-TREE = "root long, size int, centre binary, radius double, ids binary, vectors binary, nodes binary"
-
-
-def unit_vectors(embeddings: DataFrame) -> DataFrame:
-    """id and the unit vector as float32 bytes, valid rows only."""
-    own = embeddings.select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("v")).filter("id is not null and v is not null and size(v) > 0")
-    own = own.filter(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))))
-    own = own.withColumn("n", F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).filter("n > 0")
+#: Rows aimed at per cell and held at most by one; bytes of all pivots at most; bytes of vectors aimed at per group.
+CELL, CELL_ROWS, PIVOT_BYTES, GROUP_BYTES = 4096, 8192, 64 << 20, 32 << 20
+#: Rows of a distance block, node pairs looked at together, entries of a block of distances to pivots.
+BLOCK, COMBINATIONS, ENTRIES = 512, 1 << 16, 1 << 22
+#: Slack of the bounds for float32; of the cosine for float64.
+SLACK, TIE = 2e-3, 1e-12
+
+
+def valid_vectors(embeddings: DataFrame) -> DataFrame:
+    """id and the vector (array<float> as it came, other numbers as array<double>), valid rows only."""
+    kind = embeddings.schema["embedding"].dataType.simpleString()
+    own = embeddings.select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast(kind if kind == "array<float>" else "array<double>").alias("v"))
+    own = own.filter("id is not null and v is not null and size(v) > 0").filter(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0))
     length = own.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").first()
-    return own.filter(F.size("v") == (length["d"] if length else 0)).select("id", "v", "n")
+    return own.filter(F.size("v") == (length["d"] if length else 0))
 
 
-def _pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        if len(b):
-            x = np.stack(b["v"].to_numpy()).astype(np.float64) / b["n"].to_numpy()[:, None]
-            yield pd.DataFrame({"id": b["id"], "vector": [row.tobytes() for row in x.astype(np.float32)]})
+def _packer(dtype: str):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                yield pd.DataFrame({"id": b["id"], "raw": [np.asarray(v, dtype).tobytes() for v in b["v"]]})
+
+    return run
 
 
-def _matrix(vectors: list[bytes] | bytes, dim: int) -> np.ndarray:
-    raw = vectors if isinstance(vectors, bytes | bytearray | memoryview) else b"".join(vectors)
-    return np.frombuffer(raw, np.float32).reshape(-1, dim)
+def units(raw: list[bytes], dtype: str, dim: int) -> np.ndarray:
+    """Float64 unit vectors of raw vectors."""
+    x = np.frombuffer(b"".join(raw), dtype).reshape(-1, dim).astype(np.float64)
+    if len(x):
+        x /= np.abs(x).max(1, keepdims=True)
+        x /= np.sqrt((x * x).sum(1, keepdims=True))
+    return x
 
 
 def _to(x: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -112,23 +129,6 @@ def build_tree(x: np.ndarray, eps: float, radius: float = RADIUS) -> tuple[np.nd
     return order, np.array(nodes, np.float64).reshape(-1, 7)
 
 
-def _tree_of_cell(eps: float):
-    def build(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("id", ignore_index=True)
-        dim = len(group["vector"].iloc[0]) // 4
-        x = _matrix(list(group["vector"]), dim)
-        order, nodes = build_tree(x, eps)
-        place = np.empty(len(order), np.int64)
-        place[order] = np.arange(len(order))
-        nodes[:, 1] = place[nodes[:, 1].astype(np.int64)]
-        return pd.DataFrame({
-            "root": [int(group["root"].iloc[0])], "size": [len(group)], "centre": [x[order[int(nodes[0, 1])]].tobytes()], "radius": [float(nodes[0, 6])],
-            "ids": [group["id"].to_numpy(np.int64)[order].tobytes()], "vectors": [np.ascontiguousarray(x[order]).tobytes()], "nodes": [nodes.tobytes()],
-        })
-
-    return build
-
-
 def _products(lo_a: np.ndarray, n_a: np.ndarray, lo_b: np.ndarray, n_b: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """All combinations of the ranges [lo_a, lo_a + n_a) and [lo_b, lo_b + n_b), pair by pair, in blocks."""
     n = n_a * n_b
@@ -148,103 +148,204 @@ def _below(nodes: np.ndarray, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return np.where(n > 0, lo, pick), np.maximum(n, 1)
 
 
-def traverse(x: np.ndarray, nx: np.ndarray, y: np.ndarray, ny: np.ndarray, eps: float) -> tuple[np.ndarray, np.ndarray]:
-    """Candidate rows (i of x, j of y) of all node pairs that the bounds leave."""
-    centre_a, centre_b = nx[:, 1].astype(np.int64), ny[:, 1].astype(np.int64)
-    radius_a, radius_b = nx[:, 6].astype(np.float32), ny[:, 6].astype(np.float32)
-    pairs_a, pairs_b = np.zeros(1, np.int64), np.zeros(1, np.int64)
-    none = np.zeros(0, np.int64)
-    while len(pairs_a) and ((nx[pairs_a, 5] > nx[pairs_a, 4]) | (ny[pairs_b, 5] > ny[pairs_b, 4])).any():
-        (lo_a, n_a), (lo_b, n_b) = _below(nx, pairs_a), _below(ny, pairs_b)
-        out_a, out_b = [none], [none]
-        if len(pairs_a) == 1:  # all children against all children: one matrix product, in blocks
-            cb = np.arange(lo_b[0], lo_b[0] + n_b[0])
-            yb = y[centre_b[cb]]
-            for at in range(lo_a[0], lo_a[0] + n_a[0], BLOCK):
-                ca = np.arange(at, min(at + BLOCK, lo_a[0] + n_a[0]))
-                limit = radius_a[ca][:, None] + radius_b[cb][None, :] + np.float32(eps + SLACK)
-                i, j = np.nonzero(2 - 2 * (x[centre_a[ca]] @ yb.T) <= limit * limit)
-                out_a.append(ca[i])
-                out_b.append(cb[j])
-        else:
-            for ca, cb in _products(lo_a, n_a, lo_b, n_b):
-                limit = radius_a[ca] + radius_b[cb] + np.float32(eps + SLACK)
-                ok = 2 - 2 * np.einsum("ij,ij->i", x[centre_a[ca]], y[centre_b[cb]]) <= limit * limit
-                out_a.append(ca[ok])
-                out_b.append(cb[ok])
-        pairs_a, pairs_b = np.concatenate(out_a), np.concatenate(out_b)
-    out = list(_products(nx[pairs_a, 2].astype(np.int64), (nx[pairs_a, 3] - nx[pairs_a, 2]).astype(np.int64), ny[pairs_b, 2].astype(np.int64), (ny[pairs_b, 3] - ny[pairs_b, 2]).astype(np.int64)))
-    return np.concatenate([none, *(i for i, _ in out)]), np.concatenate([none, *(j for _, j in out)])
-
-
-def _pairs_of_trees(cosine: float):
+@dataclass(frozen=True)
+class Tree:
+    """A cover tree with its vectors, in the tree's order."""
+
+    ids: np.ndarray
+    exact: np.ndarray
+    x: np.ndarray
+    nodes: np.ndarray
+    centre: np.ndarray
+    radius: np.ndarray
+
+
+def make_tree(ids: np.ndarray, exact: np.ndarray, eps: float) -> Tree:
+    x = exact.astype(np.float32)
+    order, nodes = build_tree(x, eps)
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    return Tree(ids[order], exact[order], x[order], nodes, place[nodes[:, 1].astype(np.int64)], nodes[:, 6].astype(np.float32))
+
+
+def traverse(a: Tree, b: Tree, eps: float, pairs_a: np.ndarray | None = None, pairs_b: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Leaf node pairs of two trees that the bounds leave, block by block, depth first."""
+    if pairs_a is None:
+        pairs_a, pairs_b = np.zeros(1, np.int64), np.zeros(1, np.int64)
+        if _to(a.x[a.centre[:1]], b.x[b.centre[:1]])[0] > a.radius[0] + b.radius[0] + eps + SLACK:
+            return
+    nx, ny = a.nodes, b.nodes
+    if not ((nx[pairs_a, 5] > nx[pairs_a, 4]) | (ny[pairs_b, 5] > ny[pairs_b, 4])).any():
+        yield pairs_a, pairs_b
+        return
+    (lo_a, n_a), (lo_b, n_b) = _below(nx, pairs_a), _below(ny, pairs_b)
+    if len(pairs_a) == 1:  # all children against all children: one matrix product, in blocks
+        cb = np.arange(lo_b[0], lo_b[0] + n_b[0])
+        yb = b.x[b.centre[cb]]
+        for at in range(lo_a[0], lo_a[0] + n_a[0], BLOCK):
+            ca = np.arange(at, min(at + BLOCK, lo_a[0] + n_a[0]))
+            limit = a.radius[ca][:, None] + b.radius[cb][None, :] + np.float32(eps + SLACK)
+            i, j = np.nonzero(2 - 2 * (a.x[a.centre[ca]] @ yb.T) <= limit * limit)
+            for k in range(0, len(i), COMBINATIONS):
+                yield from traverse(a, b, eps, ca[i[k : k + COMBINATIONS]], cb[j[k : k + COMBINATIONS]])
+    else:
+        for ca, cb in _products(lo_a, n_a, lo_b, n_b):
+            limit = a.radius[ca] + b.radius[cb] + np.float32(eps + SLACK)
+            ok = 2 - 2 * np.einsum("ij,ij->i", a.x[a.centre[ca]], b.x[b.centre[cb]]) <= limit * limit
+            if ok.any():
+                yield from traverse(a, b, eps, ca[ok], cb[ok])
+
+
+def _members(a: Tree, b: Tree, pairs_a: np.ndarray, pairs_b: np.ndarray, cosine: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows (i of a, j of b) of the members of leaf node pairs whose cosine reaches the threshold."""
+    lo_a, hi_a, lo_b, hi_b = (t[p, k].astype(np.int64) for t, p in ((a.nodes, pairs_a), (b.nodes, pairs_b)) for k in (2, 3))
+    large = (hi_a - lo_a) * (hi_b - lo_b) > BLOCK
+    for k in np.flatnonzero(large):
+        for at in range(lo_a[k], hi_a[k], BLOCK):
+            for to in range(lo_b[k], hi_b[k], BLOCK):
+                i, j = np.nonzero(a.exact[at : min(at + BLOCK, hi_a[k])] @ b.exact[to : min(to + BLOCK, hi_b[k])].T >= cosine - TIE)
+                yield i + at, j + to
+    few = ~large
+    for i, j in _products(lo_a[few], (hi_a - lo_a)[few], lo_b[few], (hi_b - lo_b)[few]):
+        ok = np.einsum("ij,ij->i", a.exact[i], b.exact[j]) >= cosine - TIE
+        yield i[ok], j[ok]
+
+
+def tree_pairs(a: Tree, b: Tree, cosine: float) -> Iterator[pd.DataFrame]:
+    """The near pairs of two trees, or of one with itself."""
     eps = math.sqrt(max(0.0, 2 - 2 * cosine))
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        sides = list(group.sort_values("side").itertuples(index=False))
-        a, b = sides[0], sides[-1]
-        dim = len(a.centre) // 4
-        x, y = _matrix(a.vectors, dim), _matrix(b.vectors, dim)
-        i, j = traverse(x, np.frombuffer(a.nodes).reshape(-1, 7), y, np.frombuffer(b.nodes).reshape(-1, 7), eps)
-        if a is b:
-            i, j = i[i < j], j[i < j]
-        ids_a, ids_b = np.frombuffer(a.ids, np.int64), np.frombuffer(b.ids, np.int64)
-        lows, highs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for k in range(0, len(i), 1 << 17):
-            ii, jj = i[k : k + (1 << 17)], j[k : k + (1 << 17)]
-            ok = (np.einsum("ij,ij->i", x[ii].astype(np.float64), y[jj].astype(np.float64)) >= cosine) & (ids_a[ii] != ids_b[jj])
-            lows.append(np.minimum(ids_a[ii[ok]], ids_b[jj[ok]]))
-            highs.append(np.maximum(ids_a[ii[ok]], ids_b[jj[ok]]))
-        return pd.DataFrame({"vec_a": np.concatenate(lows), "vec_b": np.concatenate(highs)})
-
-    return run
-
-
-def trees(vectors: DataFrame, eps: float) -> DataFrame:
-    """The stored cover trees over id and vector, one row per chunk."""
-    total = vectors.count()
-    pivots = max(1, min(MAX_PIVOTS, -(-total // CELL)))
-    chosen = [bytes(r["vector"]) for r in vectors.orderBy(F.xxhash64("id"), "id").limit(pivots).select("vector").collect()]  # MAX_PIVOTS vectors at most
-    dim = len(chosen[0]) // 4 if chosen else 1
-    centres = _matrix(chosen, dim)
-
-    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            if len(b):
-                yield b.assign(cell=(_matrix(list(b["vector"]), dim) @ centres.T).argmax(1).astype(np.int64))
-
-    celled = stash(vectors.mapInPandas(assign, "id long, vector binary, cell long"), "cells")
-    sizes = celled.groupBy("cell").agg(F.ceil(F.count("*") / CHUNK).alias("chunks"))  # at most MAX_PIVOTS rows
-    rooted = celled.join(F.broadcast(sizes), "cell").select("id", "vector", (F.col("cell") * (1 << 32) + F.pmod(F.xxhash64("id"), F.col("chunks"))).alias("root"))
-    # a fixed number of partitions: the work grows faster than the bytes that adaptive coalescing goes by
-    spread = max(vectors.sparkSession.sparkContext.defaultParallelism * 2, pivots)
-    return stash(rooted.repartition(spread, "root").groupBy("root").applyInPandas(_tree_of_cell(eps), TREE), "trees")
+    for pairs_a, pairs_b in traverse(a, b, eps):
+        for i, j in _members(a, b, pairs_a, pairs_b, cosine):
+            if a is b:
+                i, j = i[i < j], j[i < j]
+            p, q = a.ids[i], b.ids[j]
+            ok = p != q
+            if ok.any():
+                yield pd.DataFrame({"vec_a": np.minimum(p[ok], q[ok]), "vec_b": np.maximum(p[ok], q[ok])})
+
+
+@dataclass(frozen=True)
+class Layout:
+    """Cells by pivot (first cell of a pivot, number of its cells), the group of each cell, radii of pivots."""
+
+    first: np.ndarray
+    cells: np.ndarray
+    group: np.ndarray
+    radius: np.ndarray
+    groups: int
+
+    def home(self, pivot: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        mixed = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
+        return self.first[pivot] + (mixed % self.cells[pivot].astype(np.uint64)).astype(np.int64)
+
+
+def lay_out(centres: np.ndarray, counts: np.ndarray, radius: np.ndarray, parallelism: int, row_bytes: int) -> Layout:
+    """Cells in groups of like size whose pivots lie near each other."""
+    total = int(counts.sum())
+    cells = np.maximum(1, -(-counts // CELL_ROWS))
+    first = np.cumsum(cells) - cells
+    heads = centres[: max(1, math.isqrt(len(centres)))]
+    near = centres @ heads.T
+    order = np.lexsort((-near.max(1), near.argmax(1)))
+    pivot_of = np.repeat(order, cells[order])
+    size = (counts / cells)[pivot_of]
+    wanted = max(2 * parallelism, -(-total * row_bytes // GROUP_BYTES))
+    number = np.floor((np.cumsum(size) - size) / max(total / wanted, 1.0)).astype(np.int64)
+    _, number = np.unique(number, return_inverse=True)
+    group = np.empty(int(cells.sum()), np.int64)
+    nth = np.arange(len(pivot_of)) - np.repeat(np.cumsum(cells[order]) - cells[order], cells[order])
+    group[first[pivot_of] + nth] = number
+    return Layout(first, cells, group, radius, int(number.max()) + 1 if len(number) else 1)
+
+
+def _blocks(b: pd.DataFrame, pivots: int) -> Iterator[pd.DataFrame]:
+    step = max(1, ENTRIES // pivots)
+    for at in range(0, len(b), step):
+        yield b.iloc[at : at + step]
 
 
 def near_pairs(embeddings: DataFrame, cosine: float = COSINE) -> DataFrame:
     """vec_a < vec_b of all pairs whose cosine is at least the threshold."""
     spark = embeddings.sparkSession
     eps = math.sqrt(max(0.0, 2 - 2 * cosine))
-    units = unit_vectors(embeddings)
-    vectors = stash(units.mapInPandas(_pack, "id long, vector binary"), "vectors")
-    forest = trees(vectors, eps)
-    roots = forest.select("root", "centre", "radius")
-
-    def far(a: pd.Series, b: pd.Series, ra: pd.Series, rb: pd.Series) -> pd.Series:
-        if not len(a):
-            return pd.Series([], dtype=bool)
-        dim = len(a.iloc[0]) // 4
-        return pd.Series(_to(_matrix(list(a), dim), _matrix(list(b), dim)) > ra.to_numpy() + rb.to_numpy() + eps + SLACK)
-
-    is_far = F.pandas_udf(far, "boolean")
-    a, b = (roots.select(*(F.col(c).alias(f"{c}_{s}") for c in roots.columns)) for s in "ab")
-    meet = a.join(b, F.col("root_a") <= F.col("root_b")).filter(~is_far("centre_a", "centre_b", "radius_a", "radius_b")).select("root_a", "root_b")
-    meet = stash(meet, "meet")
-    sides = meet.select("root_a", "root_b", F.lit(0).alias("side"), F.col("root_a").alias("root")).unionByName(meet.filter("root_a < root_b").select("root_a", "root_b", F.lit(1).alias("side"), F.col("root_b").alias("root")))
-    shipped = sides.join(forest.select("root", "centre", "ids", "vectors", "nodes"), "root")
-    spread = max(spark.sparkContext.defaultParallelism * 4, meet.count() // 8)
-    found = shipped.repartition(spread, "root_a", "root_b").groupBy("root_a", "root_b").applyInPandas(_pairs_of_trees(cosine), "vec_a long, vec_b long")
-    return found.distinct()
+    valid = valid_vectors(embeddings)
+    dtype = "<f4" if valid.schema["v"].dataType.simpleString() == "array<float>" else "<f8"
+    vectors = stash(valid.mapInPandas(_packer(dtype), "id long, raw binary"), "vectors")
+    total, one = vectors.count(), vectors.first()
+    if total < 2:
+        return spark.createDataFrame([], "vec_a long, vec_b long")
+    dim = len(one["raw"]) // np.dtype(dtype).itemsize
+    pivots = max(1, min(PIVOT_BYTES // (4 * dim), -(-total // CELL)))
+    chosen = [bytes(r["raw"]) for r in vectors.orderBy(F.xxhash64("id"), "id").limit(pivots).select("raw").collect()]  # at most PIVOT_BYTES of float32
+    centres = units(chosen, dtype, dim).astype(np.float32)
+
+    def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for b in _blocks(batch, len(centres)):
+                x = units(list(b["raw"]), dtype, dim).astype(np.float32)
+                pivot = (x @ centres.T).argmax(1)
+                yield b.assign(pivot=pivot, away=_to(x, centres[pivot]).astype(np.float64))
+
+    placed = stash(vectors.mapInPandas(nearest, "id long, raw binary, pivot long, away double"), "placed")
+    counts, radius = np.zeros(len(centres), np.int64), np.zeros(len(centres), np.float32)
+    for r in placed.groupBy("pivot").agg(F.count("*").alias("n"), F.max("away").alias("r")).collect():  # a row a pivot
+        counts[r["pivot"]], radius[r["pivot"]] = r["n"], r["r"]
+    layout = lay_out(centres, counts, radius, spark.sparkContext.defaultParallelism, len(one["raw"]))
+    groups_of = [np.unique(layout.group[f : f + c]) for f, c in zip(layout.first, layout.cells)]
+    n_groups = np.array([len(g) for g in groups_of])
+    flat_groups, group_starts = np.concatenate(groups_of), np.cumsum(n_groups) - n_groups
+
+    def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for b in _blocks(batch, len(centres)):
+                x = units(list(b["raw"]), dtype, dim).astype(np.float32)
+                pivot, ids = b["pivot"].to_numpy(), b["id"].to_numpy()
+                cell = layout.home(pivot, ids)
+                own = layout.group[cell]
+                yield pd.DataFrame({"part": own.astype(np.int32), "visitor": False, "cell": cell, "id": ids, "raw": b["raw"].to_numpy()})
+                away = np.sqrt(np.maximum(0, 2 - 2 * (x @ centres.T)))
+                reach = np.minimum(b["away"].to_numpy(np.float32)[:, None] + np.float32(2 * eps), layout.radius[None, :] + np.float32(eps)) + np.float32(SLACK)
+                i, p = np.nonzero((away <= reach) & (counts > 0)[None, :])
+                i, p = np.repeat(i, n_groups[p]), np.concatenate([flat_groups[:0], *(flat_groups[s : s + n] for s, n in zip(group_starts[p], n_groups[p]))]) if (n_groups > 1).any() else flat_groups[group_starts[p]]
+                mine = own[i]
+                i, p = np.divmod(np.unique((i * layout.groups + p)[np.where((mine + p) % 2 == 0, mine < p, mine > p)]), layout.groups)
+                for k in range(0, len(i), 1 << 15):
+                    at = i[k : k + (1 << 15)]
+                    yield pd.DataFrame({"part": p[k : k + (1 << 15)].astype(np.int32), "visitor": True, "cell": cell[at], "id": ids[at], "raw": b["raw"].to_numpy()[at]})
+
+    def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        trees: list[Tree] | None = None
+
+        def grow() -> list[Tree]:
+            rows = pd.concat(held) if held else pd.DataFrame({"cell": [], "id": [], "raw": []})
+            held.clear()
+            return [make_tree(g["id"].to_numpy(np.int64), units(list(g["raw"]), dtype, dim), eps) for _, g in rows.groupby("cell", sort=True)]
+
+        for batch in batches:
+            guest = batch["visitor"].to_numpy(bool)
+            if not guest.all():
+                held.append(batch[~guest])
+            if guest.any():
+                if trees is None:
+                    trees = grow()
+                    yield from inside(trees)
+                b = batch[guest]
+                guests = make_tree(b["id"].to_numpy(np.int64), units(list(b["raw"]), dtype, dim), eps)
+                for tree in trees:
+                    yield from tree_pairs(tree, guests, cosine)
+        if trees is None:
+            yield from inside(grow())
+
+    def inside(trees: list[Tree]) -> Iterator[pd.DataFrame]:
+        for k, a in enumerate(trees):
+            for b in trees[: k + 1]:
+                yield from tree_pairs(a, b, cosine)
+
+    sent = placed.mapInPandas(send, "part int, visitor boolean, cell long, id long, raw binary")
+    found = sent.repartitionById(layout.groups, F.col("part")).sortWithinPartitions("visitor", "cell").mapInPandas(meet, "vec_a long, vec_b long")
+    # only an id with several vectors or rows can give a pair twice
+    return found if vectors.groupBy("id").count().filter("count > 1").isEmpty() else found.distinct()
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

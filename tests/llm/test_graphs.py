@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 import pytest
 from oracle import assert_same
@@ -38,11 +40,29 @@ def test_audit_of_odd_pages(spark):
     assert found(good, changed) == [(0, 7, "corrupt")]
     assert found(good, good.filter("page_id is null or page_id <> 5000")) == [(1, 5000 - 4096, "missing")]
     assert found(good.filter("page_id is null or page_id <> 2"), good) == [(0, 2, "extra")]
-    assert found(good, good.filter("page_id is not null")) == [(-1, 0, "missing")]
-    assert found(good, good.limit(0)) == sorted({(-1, 0, "missing"), (1, 904, "missing")} | {(0, i, "missing") for i in (1, 2, 4, 5, 6, 7, 8)})
+    assert found(good, good.filter("page_id is not null")) == [(merkle_audit.NO_FILE, 0, "missing")]
+    assert found(good, good.limit(0)) == sorted({(merkle_audit.NO_FILE, 0, "missing"), (1, 904, "missing")} | {(0, i, "missing") for i in (1, 2, 4, 5, 6, 7, 8)})
     assert found(good.limit(0), good.limit(0)) == []
 
 
+def test_negative_and_missing_ids_have_files_of_their_own(spark):
+    low = merkle_audit.warc_records(pages(spark, [(-4096, "u", "a"), (-1, "u", "b"), (None, "u", "c"), (2**53 + 1, "u", "d"), (-(2**63), "u", "e")]))
+    got = {(r["file"], r["slot"]) for r in merkle_audit.leaves(low).collect()}
+    assert got == {(-1, 0), (-1, 4095), (merkle_audit.NO_FILE, 0), (2**41, 1), (-(2**51), 0)}
+    assert found(low, low.filter("page_id is not null")) == [(merkle_audit.NO_FILE, 0, "missing")]
+
+
+def test_the_descent_reads_few_bundles(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    records = spark.range(0, 4096 * 200, 1000).select(F.col("id").alias("page_id"), F.concat(F.lit("r"), F.col("id").cast("string")).alias("record"))
+    ours, theirs = merkle_audit.tree(records), merkle_audit.tree(records.withColumn("record", F.when(F.col("page_id") == 5000, "x").otherwise(F.col("record"))))
+    assert [(r["file"], r["slot"], r["fault"]) for r in merkle_audit.audit(ours, theirs).collect()] == [(1, 904, "corrupt")]
+    assert ours.select("bundle").distinct().count() == 4
+    plan = ours.filter("level = 0 and bundle in (0)")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(level" in plan and "bundle" in plan
+
+
 def test_root_speaks_for_all_records(spark):
     good = merkle_audit.warc_records(pages(spark, odd_pages()))
     top = {r["file"]: (r["digest"], r["bytes"]) for r in merkle_audit.tree(good).filter(f"level = {merkle_audit.LEVELS}").collect()}
@@ -102,8 +122,8 @@ def brute_pairs(rows, cosine):
     valid = [(i, np.array(v, float)) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v) and np.linalg.norm(v) > 0]
     sizes = [len(v) for _, v in valid]
     dim = min(set(sizes), key=lambda d: (-sizes.count(d), d)) if sizes else 0
-    valid = [(i, (v / np.linalg.norm(v)).astype(np.float32).astype(float)) for i, v in valid if len(v) == dim]
-    return {(min(i, j), max(i, j)) for k, (i, a) in enumerate(valid) for j, b in valid[:k] if i != j and a @ b >= cosine}
+    valid = [(i, v / np.linalg.norm(v)) for i, v in valid if len(v) == dim]
+    return {(min(i, j), max(i, j)) for k, (i, a) in enumerate(valid) for j, b in valid[:k] if i != j and a @ b >= cosine - 1e-12}
 
 
 def frame(spark, rows):
@@ -112,9 +132,8 @@ def frame(spark, rows):
 
 @pytest.mark.parametrize("cosine", [0.95, 0.6, 0.2, 1.0])
 def test_pairs_equal_brute_force(spark, monkeypatch, cosine):
-    monkeypatch.setattr(cover_tree, "CELL", 60)
-    monkeypatch.setattr(cover_tree, "CHUNK", 40)
-    monkeypatch.setattr(cover_tree, "COMBINATIONS", 500)
+    monkeypatch.setattr(cover_tree, "CELL", 20)
+    monkeypatch.setattr(cover_tree, "CELL_ROWS", 15)
     rng = np.random.default_rng(2)
     centres = rng.normal(size=(30, 12))
     x = np.concatenate([centres[rng.integers(0, 30, 250)] + 0.1 * rng.normal(size=(250, 12)), rng.normal(size=(50, 12)), centres[:5], centres[:5]])
@@ -131,6 +150,57 @@ def test_pairs_of_odd_vectors(spark):
     assert cover_tree.near_pairs(frame(spark, [])).count() == 0
 
 
+def test_pairs_close_to_the_threshold(spark):
+    """Doubles whose cosine is 1e-9 above or below the threshold: float32 could not tell them apart."""
+    rng = np.random.default_rng(8)
+    rows, want = [], set()
+    for k in range(150):
+        u = rng.normal(size=8)
+        w = rng.normal(size=8)
+        u /= np.linalg.norm(u)
+        w -= (w @ u) * u
+        w /= np.linalg.norm(w)
+        c = 0.95 + (1e-9 if k % 2 else -1e-9)
+        rows += [(2 * k, (3 * u).tolist()), (2 * k + 1, (0.5 * (c * u + math.sqrt(1 - c * c) * w)).tolist())]
+        if k % 2:
+            want.add((2 * k, 2 * k + 1))
+    frame64 = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {tuple(r) for r in cover_tree.near_pairs(frame64).collect()}
+    assert {p for p in got if p[0] + 1 == p[1] and p[0] % 2 == 0} == want
+
+
+def test_many_equal_vectors_stay_small():
+    """A block of candidates is held at a time: 3000 equal vectors give 4.5 million pairs in little memory."""
+    import tracemalloc
+
+    exact = np.tile(np.array([[0.6, 0.8, 0.0]]), (3000, 1))
+    tree = cover_tree.make_tree(np.arange(3000), exact, 0.316)
+    tracemalloc.start()
+    n = sum(len(f) for f in cover_tree.tree_pairs(tree, tree, 0.95))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 3000 * 2999 // 2 and peak < 40e6
+
+
+def test_clustered_vectors_visit_few_groups():
+    """In data with structure a vector is sent to few groups, however many there are."""
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(40, 16))
+    x = np.repeat(centres, 50, 0) + 0.02 * rng.normal(size=(2000, 16))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    pivots = x[::10]
+    pivot = (x @ pivots.T).argmax(1)
+    away = cover_tree._to(x, pivots[pivot])
+    counts, radius = np.bincount(pivot, minlength=len(pivots)), np.zeros(len(pivots), np.float32)
+    np.maximum.at(radius, pivot, away)
+    layout = cover_tree.lay_out(pivots, counts, radius, 20, 64)
+    assert layout.groups >= 30
+    reach = np.minimum(away[:, None] + 2 * 0.316, radius[None, :] + 0.316)
+    seen = np.sqrt(np.maximum(0, 2 - 2 * x @ pivots.T)) <= reach
+    visits = [len(set(layout.group[layout.first[np.flatnonzero(row)]].tolist())) for row in seen]
+    assert np.mean(visits) < 6
+
+
 def test_tree_invariants():
     rng = np.random.default_rng(4)
     x = rng.normal(size=(400, 6)).astype(np.float32)
