@@ -7,7 +7,7 @@ in which they differ; its expectation is about SYMBOLS * (1 - Jaccard).
 The signature is cut into m chunks. If two signatures differ in at most
 ``max_distance`` < 2 m symbols, some chunk has at most one error (pigeonhole).
 Every chunk is therefore indexed once per allowed error position, that symbol
-masked out. Two signatures that
+masked out: four symbols, 32 bits, are left to meet under. Two signatures that
 meet under a key are compared in full, and the pair is emitted only under the
 first key where the two can meet, so no distinct is needed afterwards. The index
 holds each distinct signature once, by its least holder; the pairs found are
@@ -42,7 +42,7 @@ from tarifold.llm.common import columns_of, join_lookup, stash, table
 
 SYMBOLS = 40
 LANES = SYMBOLS // 8
-CHUNKS = 9
+CHUNKS = 8
 MAX_DISTANCE = 2 * CHUNKS - 1
 SEED = 20_240_117
 
