@@ -14,7 +14,7 @@ from __future__ import annotations
 import json
 import time as clock
 import uuid
-from contextlib import contextmanager
+from contextlib import ExitStack, contextmanager
 from datetime import UTC, datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -266,6 +266,24 @@ class Store:
         with self._alone(name):
             self.replace(name, self.read(name).filter(~F.coalesce(test, F.lit(False))))
 
+    @contextmanager
+    def transaction(self):
+        """All tables as they were if the block fails. Versions are never changed, so going back moves the pointers.
+
+        The block holds the locks of all tables, in one order.
+        """
+        with ExitStack() as locks:
+            for name in sorted(self.TABLES):
+                locks.enter_context(self._alone(name))
+            before = {name: self._parts(name) for name in self.TABLES}
+            try:
+                yield self
+            except BaseException:
+                for name, parts in before.items():
+                    if self._parts(name) != parts:
+                        self._point(name, parts)
+                raise
+
     def _artifact(self, artifact_id: str) -> dict | None:
         row = self.read("artifacts").filter(F.col("artifact_id") == artifact_id).first()
         return row.asDict() if row else None

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarifold import schemas, storage
+from tarifold.functions.hashing import utc_month, utc_text
 from tarifold.functions.text import signature_tokens
 from tarifold.operators import contract, dispatch, emit, offers, reports
 from tarifold.plans import catalog as base
@@ -264,6 +265,58 @@ def q_accepted_run(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame([row], "segment string, lines long, same_bytes boolean, marker string, first string, second string")
 
 
+def _curated(spark: SparkSession, sf: str) -> tuple[str, dict]:
+    """A curation of a segment with every kind of line: kept, dropped, broken JSON, broken contract."""
+    root = scratch(spark, "curate")
+    lines = base.typed(spark, sf).filter(~F.col("fate").startswith("bad:")).withColumn("fate", F.lit("good")).orderBy("row_no", "wh_pos")
+    good = runs.canonical_lines(emit.typed_contract(lines, RUN))
+    odd = spark.createDataFrame([("{broken",), ("{}",)], "value string")
+    runs.write_lines(odd.coalesce(1).unionByName(good.coalesce(1)), f"{root}/segment.ndjson")
+    storage.write_text(f"{root}/manifest.json", runs.dump({"run_id": "r1", "paths": {"segment": f"{root}/segment.ndjson"}}))
+    return root, runs.curate_run(spark, f"{root}/manifest.json", root, 40)
+
+
+def q_curate_stats(spark: SparkSession, sf: str) -> DataFrame:
+    """The counts of a curation, dropped lines by reason, and the first effective time."""
+    _, s = _curated(spark, sf)
+    row = (s["input_lines"], s["bad_json"], s["bad_contract"], s["kept_lines"], s["dropped_lines"], s["drop_counts"].get("qty_missing", 0), s["drop_counts"].get("qty_nonpositive", 0), s["effective_at"])
+    return spark.createDataFrame([row], "input_lines long, bad_json long, bad_contract long, kept_lines long, dropped_lines long, qty_missing long, qty_nonpositive long, effective_at string")
+
+
+def q_curate_samples(spark: SparkSession, sf: str) -> DataFrame:
+    """The first dropped lines of a curation as they are written: in file order, with their line numbers."""
+    root, _ = _curated(spark, sf)
+    lines = files.read_lines(spark, f"{root}/r1/dropped_samples.ndjson")
+    return lines.select("line_no", F.from_json("value", "seg_line_no long, drop_reason string, sku_candidate_key string").alias("r")).select("line_no", "r.*")
+
+
+def q_latest_file(spark: SparkSession, sf: str) -> DataFrame:
+    """The newest .json file of a folder; of equal times the first by path."""
+    root = scratch(spark, "latest")
+    for r in base._read(spark, sf, "nation").collect():  # 25 rows
+        path = f"{root}/{r['n_name']}.{'json' if r['n_nationkey'] % 2 else 'csv'}"
+        storage.write_text(path, "x")
+        fs, p = storage._at(path)
+        fs.setTimes(p, (1_700_000_000 + r["n_nationkey"] * 7 % 13) * 1000, -1)
+    return spark.createDataFrame([(files.latest_file(spark, root).rsplit("/", 1)[-1],)], "name string")
+
+
+def q_utc_times(spark: SparkSession, sf: str) -> DataFrame:
+    """Times with an offset as UTC texts and their months, by the driver's function."""
+    keys = [r["n_nationkey"] for r in base._read(spark, sf, "nation").collect()]  # 25 rows
+    shown = [(k, f"2026-{k % 12 + 1:02d}-01T0{k % 10}:30:00+0{k % 6}:00") for k in keys]
+    return spark.createDataFrame([(k, utc_text(t), utc_month(t)) for k, t in shown], "n_nationkey int, at string, month string")
+
+
+def q_column_rules(spark: SparkSession, sf: str) -> DataFrame:
+    """Fields that the column rules find in headers made of nations' names."""
+    names = [r["n_name"] for r in base._read(spark, sf, "nation").orderBy("n_nationkey").collect()]  # 25 rows
+    rule = dispatch.ColumnRule
+    rules = [rule("last", "header_contains", "24"), rule("seventh", "header_exact", "nation_7"), rule("any7", "header_contains", "_7", 5), rule("digits", "value_pattern", "[0-9]+"), rule("third", "column_position", 3), rule("none", "header_exact", "x")]
+    found = dispatch.map_columns([f" {n}  " for n in names], [[str(i) if i == 4 else "a" for i in range(25)]], rules)
+    return spark.createDataFrame([(at, field) for at, (field, _) in found.items()], "position int, field string")
+
+
 def q_string_run(spark: SparkSession, sf: str) -> DataFrame:
     """The string lines that a run writes, warehouses named by the header."""
     out = scratch(spark, "strings")
@@ -433,6 +486,19 @@ def q_store_aliases(spark: SparkSession, sf: str) -> DataFrame:
     return store.read("aliases").select("supplier_id", "supplier_warehouse_name", "warehouse_key")
 
 
+def q_store_rollback(spark: SparkSession, sf: str) -> DataFrame:
+    """Tables after a transaction that failed behind a generation and a deletion: as before."""
+    store = _store(spark, sf)
+    try:
+        with store.transaction():
+            store.generate("snap", "v2", "art-2", resolution="fallback")
+            store.delete("aliases", F.lit(True))
+            store.publish("no such artifact")
+    except offers.LifecycleError:
+        pass
+    return store.read("offers").groupBy("artifact_id").agg(F.count("*").alias("n")).crossJoin(F.broadcast(store.read("aliases").agg(F.count("*").alias("aliases"))))  # one row
+
+
 def q_publish_curated(spark: SparkSession, sf: str) -> DataFrame:
     """The older publication twice: one artifact without a status."""
     store = offers.Store(spark, scratch(spark, "offers"))
@@ -524,6 +590,12 @@ def oracle_sql() -> dict[str, str]:
         "q_run_stats": f"{_TYPED}, {base.STATS_SQL} select source_rows_read, exploded_lines, good_rows, bad_rows, '{RUN['effective_at']}' as effective_at, 'WARN' as verdict, 'baseline_missing,has_bad_rows' || case when (select count(*) from typed where fate = 'good' and price < 0) > 0 then ',has_negative_price' else '' end as codes from stats",
         "q_full_run": f"{_TYPED} select {order} as line_no, (k + 3)::int as row_no, sku, price, qty from typed where fate = 'good'",
         "q_accepted_run": f"{_TYPED} select '/facts/acme/acme_v1/2026-02/r1.ndjson' as segment, count(*) as lines, true as same_bytes, 'accepted' as marker, 'ingested' as first, 'already_ingested' as second from typed where fate = 'good'",
+        "q_curate_stats": f"{_TYPED} select count(*) + 2 as input_lines, 1::bigint as bad_json, 1::bigint as bad_contract, count(*) filter (qty > 0) as kept_lines, count(*) filter (coalesce(qty, 0) <= 0) as dropped_lines, count(*) filter (qty is null) as qty_missing, count(*) filter (qty <= 0) as qty_nonpositive, '{RUN['effective_at']}' as effective_at from typed where fate in ('good', 'skip')",
+        "q_curate_samples": f"{_TYPED}, l as (select *, {order} + 2 as seg_line_no from typed where fate in ('good', 'skip')) select row_number() over (order by seg_line_no) as line_no, seg_line_no, case when qty is null then 'qty_missing' else 'qty_nonpositive' end as drop_reason, sku as sku_candidate_key from l where coalesce(qty, 0) <= 0 order by seg_line_no limit 40",
+        "q_latest_file": "select n_name || '.json' as name from nation where n_nationkey % 2 = 1 order by n_nationkey * 7 % 13 desc, n_name limit 1",
+        "q_utc_times": "with t as (select n_nationkey, timestamp '2026-01-01' + to_months(n_nationkey % 12) + to_hours(n_nationkey % 10 - n_nationkey % 6) + interval 30 minutes as at_ from nation) select n_nationkey, strftime(at_, '%Y-%m-%dT%H:%M:%SZ') as at, strftime(at_, '%Y-%m') as month from t",
+        "q_column_rules": "select p as position, f as field from (values (8, 'seventh'), (25, 'last'), (5, 'digits'), (3, 'third')) v(p, f)",
+        "q_store_rollback": f"{base._MAPPED} select '{base.ARTIFACT}' as artifact_id, count(*) as n, (select count(*) from aliases) as aliases from named join aliases using (supplier_id) where lookup = name",
         "q_string_run": f"with {base.STRINGS_SQL} select (row_no + 3)::int as row_no, warehouse, sku, price, qty, 'RUB' as currency, array_to_string(flags, ',') as flags from strings where fate = 'emit'",
         "q_headed_run": f"with {base.HEADED_SQL} select 'acme__rims__xlsx_v1' as parser_id, h.goods_id as supplier_item_id, name, nullif(a2, '') as article, h.qty, h.price as price_opt, 'S' as sheet, wh as warehouse from headed h join pl on pl.k = h.row_no and pl.pos = h.wh_pos where fate = 'emit' and h.row_no * 4 + h.wh_pos <= 3000",
         "q_headed_skip": "select 'SKIP' as status, 'missing columns' as reason, 0::bigint as rows_emitted, 0::bigint as lines",

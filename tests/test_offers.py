@@ -158,3 +158,15 @@ def test_pointer_behind_an_ended_one(spark):
     for lo, hi in [(0, 0), (0, 7), (1, 6), (5, 12), (4, 3), (2, 15)]:
         blocks = spark.range(1).select(offers._blocks(F.lit(lo), F.lit(hi), 6).alias("b")).first()["b"]
         assert sorted(n for b in blocks for n in range(b["block"] << b["level"], b["block"] + 1 << b["level"])) == list(range(lo, hi + 1))
+
+
+def test_a_failed_transaction_leaves_nothing(spark, store):
+    store.seal("s1")
+    with pytest.raises(offers.LifecycleError), store.transaction():
+        store.generate("s1", "v1", "a1")
+        store.switch_pointer("a1")
+        store.publish("zz")
+    assert store.read("artifacts").isEmpty() and store.read("offers").isEmpty() and store.current_artifact() is None
+    with store.transaction():
+        store.generate("s1", "v1", "a1")
+    assert store.read_offers("a1").count() == 3
