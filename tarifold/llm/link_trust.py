@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from tarifold.llm.common import join_lookup, stash, table
 
-#: Seeds as patterns over host names: trusted and blocked.
+#: Seeds of the query, as patterns over host names: trusted and blocked.
 TRUSTED, BLOCKED = "^www[.]", "^m[.].*[.]com$"
 #: Share (in percent) of a rank that follows links, mass of a seed, rounds between cuts of the lineage.
 FOLLOW, MASS, CUT_EVERY = 85, 1_000_000_000, 4
@@ -54,20 +54,34 @@ def parent_of(host: Column) -> Column:
     return F.nullif(F.regexp_extract(host, "^[^.]+[.]([^.]+[.].+)$", 1), F.lit(""))
 
 
-def host_edges(pages: DataFrame) -> DataFrame:
-    """src, dst and weight, one row for each pair of hosts; written once."""
+def host_edges(pages: DataFrame, parents: bool = True) -> DataFrame:
+    """src, dst and weight, one row for each pair of hosts; written once. parents: with the links to and from parent domains."""
     own = pages.select(host_of(F.col("url")).alias("src"), F.col("html").cast("string").alias("html")).filter("src is not null")
     links = own.select("src", F.explode(F.regexp_extract_all("html", F.lit(LINK), F.lit(3))).alias("dst")).select("src", F.lower("dst").alias("dst")).filter("src <> dst")
     counted = links.groupBy("src", "dst").agg(F.count("*").alias("weight"))
+    if not parents:
+        return stash(counted, "edges")
     hosts = own.select(F.col("src").alias("host")).unionByName(counted.select(F.col("dst").alias("host"))).distinct()
     tree = hosts.select("host", parent_of(F.col("host")).alias("up")).filter("up is not null")
     both = tree.select(F.col("host").alias("src"), F.col("up").alias("dst")).unionByName(tree.select(F.col("up").alias("src"), F.col("host").alias("dst"))).withColumn("weight", F.lit(1).cast("long"))
     return stash(counted.unionByName(both).groupBy("src", "dst").agg(F.sum("weight").alias("weight")), "edges")
 
 
-def _start(edges: DataFrame, hosts: DataFrame, trusted: str, blocked: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+#: Hosts that are seeds: a pattern over host names, or a table with a column host.
+Seeds = str | DataFrame
+
+
+def _listed(seeds: DataFrame) -> DataFrame:
+    return seeds.select(F.lower(F.col("host").cast("string")).alias("host")).filter("host is not null").distinct()
+
+
+def _marked(hosts: DataFrame, seeds: Seeds) -> DataFrame:
+    return hosts.filter(F.col("host").rlike(seeds)) if isinstance(seeds, str) else hosts.join(_listed(seeds), "host", "left_semi")
+
+
+def _start(edges: DataFrame, hosts: DataFrame, trusted: Seeds, blocked: Seeds) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Seeds, the edges both ways with the total weight of their start, and what a seed gets in every round."""
-    seeds = hosts.select("host", F.explode(F.array(F.when(F.col("host").rlike(trusted), "trust"), F.when(F.col("host").rlike(blocked), "distrust"))).alias("kind")).filter("kind is not null")
+    seeds = _marked(hosts, trusted).select(F.lit("trust").alias("kind"), "host").unionByName(_marked(hosts, blocked).select(F.lit("distrust").alias("kind"), "host"))
     seeds = stash(seeds.select("kind", "host", F.lit(MASS).cast("long").alias("rank")), "seeds")
     ways = edges.select(F.lit("trust").alias("kind"), F.col("src").alias("host"), "dst", "weight").unionByName(edges.select(F.lit("distrust").alias("kind"), F.col("dst").alias("host"), F.col("src").alias("dst"), "weight"))
     out = ways.groupBy("kind", "host").agg(F.sum("weight").alias("total"))
@@ -85,7 +99,7 @@ def _by_host(rank: DataFrame) -> DataFrame:
     return rank.groupBy("host").agg(pick("trust"), pick("distrust"))
 
 
-def converge(edges: DataFrame, hosts: DataFrame, trusted: str = TRUSTED, blocked: str = BLOCKED, negligible: int = NEGLIGIBLE) -> DataFrame:
+def converge(edges: DataFrame, hosts: DataFrame, trusted: Seeds = TRUSTED, blocked: Seeds = BLOCKED, negligible: int = NEGLIGIBLE) -> DataFrame:
     """host, trust and distrust of every host that has any, iterated until all ranks together grow by no more than negligible.
 
     It ends: a round is monotone and starts below its own result, so integer
@@ -103,25 +117,33 @@ def converge(edges: DataFrame, hosts: DataFrame, trusted: str = TRUSTED, blocked
         before = now
 
 
-def judge(pages: DataFrame, ranks: DataFrame, blocked: str = BLOCKED, block_at: int = BLOCK_AT) -> DataFrame:
+def judge(pages: DataFrame, ranks: DataFrame, blocked: Seeds = BLOCKED, block_at: int = BLOCK_AT) -> DataFrame:
     """Every page with its host's ranks and whether the host is allowed."""
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), host_of(F.col("url")).alias("host"))
     joined = join_lookup(own, ranks, ["host"])
+    if isinstance(blocked, str):
+        joined = joined.withColumn("__seed", F.col("host").rlike(blocked))
+    else:
+        joined = join_lookup(joined, _listed(blocked).withColumn("__seed", F.lit(True)), ["host"])
     trust, distrust = F.coalesce("trust", F.lit(0)), F.coalesce("distrust", F.lit(0))
-    bad = F.coalesce(F.col("host").rlike(blocked), F.lit(False)) | ((distrust >= block_at) & (distrust > trust))
+    bad = F.coalesce("__seed", F.lit(False)) | ((distrust >= block_at) & (distrust > trust))
     return joined.select("page_id", "host", trust.alias("trust"), distrust.alias("distrust"), (~bad).alias("allowed"))
 
 
-def _graph(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _graph(pages: DataFrame, parents: bool = True) -> tuple[DataFrame, DataFrame]:
     """Edges and all hosts of the pages."""
-    edges = host_edges(pages)
+    edges = host_edges(pages, parents)
     return edges, pages.select(host_of(F.col("url")).alias("host")).filter("host is not null").unionByName(edges.select(F.col("src").alias("host"))).unionByName(edges.select(F.col("dst").alias("host"))).distinct()
 
 
+def filtered(pages: DataFrame, trusted: Seeds = TRUSTED, blocked: Seeds = BLOCKED, parents: bool = True) -> DataFrame:
+    """Every page judged by its host's converged trust and distrust."""
+    return judge(pages, stash(converge(*_graph(pages, parents), trusted, blocked), "ranks"), blocked)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """op9: every page judged by its host's converged trust and distrust."""
-    pages = table(spark, sf_dir, "pages")
-    return judge(pages, stash(converge(*_graph(pages)), "ranks"))
+    """op9: every page of the pages table, judged."""
+    return filtered(table(spark, sf_dir, "pages"))
 
 
 def oracle() -> str:

@@ -139,19 +139,19 @@ def counted_documents(docs: DataFrame, tokens: Callable[[Column], Column] = word
     return docs.select(*leaf_columns(), F.col("doc_id").cast("long").alias("doc_id"), tokens(F.col("text")).alias("tokens"))
 
 
-def _ends(docs: DataFrame, percent: int, max_epochs: int, tokens: Callable[[Column], Column] = words) -> tuple[DataFrame, DataFrame]:
+def _ends(docs: DataFrame, percent: int, max_epochs: int, tokens: Callable[[Column], Column] = words, domain_weights: dict[str, int] = DOMAIN_WEIGHTS, language_weights: dict[str, int] = LANGUAGE_WEIGHTS) -> tuple[DataFrame, DataFrame]:
     counted = stash(counted_documents(docs, tokens), "counted")
     leaves = stash(counted.groupBy(*LEAF).agg(F.sum("tokens").alias("tokens")), "leaves")
     budget = F.expr(f"tokens * {percent} div 100")
-    return counted, cutoffs(counted, leaf_budgets(leaves, budget, max_epochs))
+    return counted, cutoffs(counted, leaf_budgets(leaves, budget, max_epochs, domain_weights, language_weights))
 
 
-def mix(docs: DataFrame, percent: int = BUDGET_PERCENT, max_epochs: int = MAX_EPOCHS, tokens: Callable[[Column], Column] = words) -> DataFrame:
+def mix(docs: DataFrame, percent: int = BUDGET_PERCENT, max_epochs: int = MAX_EPOCHS, tokens: Callable[[Column], Column] = words, domain_weights: dict[str, int] = DOMAIN_WEIGHTS, language_weights: dict[str, int] = LANGUAGE_WEIGHTS) -> DataFrame:
     """The rows of docs taken, once per epoch, columns as they came. The text is never shuffled.
 
     tokens: the count that budgets are made of; words, or byte-pair tokens of some vocabulary.
     """
-    _, ends = _ends(docs, percent, max_epochs, tokens)
+    _, ends = _ends(docs, percent, max_epochs, tokens, domain_weights, language_weights)
     names = {c: f"__leaf_{c}" for c in LEAF}
     renamed = ends.select(*(F.col(c).alias(n) for c, n in names.items()), F.col("epochs").alias("__epochs"), F.col("cutoff").alias("__cutoff"))
     tagged = docs.select("*", *(c.alias(names[k]) for k, c in zip(LEAF, leaf_columns())))

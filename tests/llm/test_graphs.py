@@ -118,6 +118,18 @@ def test_op9_takes_converged_trust(spark, tmp_path):
     assert not any(allowed[k] for k in range(15)) and len(allowed) == 26
 
 
+def test_seed_tables_and_no_parent_links(spark):
+    """Seeds from tables (null, repeated and unknown hosts too); without parent links only hyperlinks carry rank."""
+    link = lambda h: f'<a href="http://{h}/">'
+    rows = [(1, "http://a.x.example.org/", link("bad.site.example.net")), (2, "http://b.x.example.org/", link("good.example.org")), (3, "http://bad.site.example.net/", None), (4, "http://good.example.org/", link("b.x.example.org"))]
+    seeds = lambda *h: spark.createDataFrame([(x,) for x in h], "host string")
+    for parents in (True, False):
+        got = {r["page_id"]: r for r in link_trust.filtered(pages(spark, rows), seeds("GOOD.example.org", None, "no.where"), seeds("bad.site.example.net", "bad.site.example.net"), parents).collect()}
+        assert [got[k]["allowed"] for k in (1, 2, 3, 4)] == [False, True, False, True]
+        assert (got[1]["trust"] > 0) == parents  # b.x and a.x meet in x.example.org only
+    assert all(r["allowed"] and r["trust"] == r["distrust"] == 0 for r in link_trust.filtered(pages(spark, rows), seeds(), seeds()).collect())
+
+
 def brute_pairs(rows, cosine):
     valid = [(i, np.array(v, float)) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v) and np.linalg.norm(v) > 0]
     sizes = [len(v) for _, v in valid]
