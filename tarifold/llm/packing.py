@@ -97,8 +97,9 @@ def slots(patterns: list[tuple[tuple[int, ...], int]]) -> dict[int, list[tuple[i
 
 def pieces(docs: DataFrame, context: int = CONTEXT, folder: str = bpe.VOCABULARY_DIR) -> DataFrame:
     """doc_id, piece, start and length of every piece, in tokens."""
-    counted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), token_counter(VOCABULARY, folder)(F.col("text").cast("string")).alias("tokens")).filter("tokens > 0")
-    cut = counted.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(tokens - 1) div {context}"))))
+    counted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), token_counter(VOCABULARY, folder)(F.col("text").cast("string")).alias("tokens"))
+    # no filter on tokens: it would be pushed below the projection and count them a second time
+    cut = counted.withColumn("piece", F.explode(F.when(F.col("tokens") > 0, F.sequence(F.lit(0).cast("long"), F.expr(f"(tokens - 1) div {context}")))))
     start = F.col("piece") * context
     return cut.select("doc_id", "piece", start.alias("start"), F.least(F.lit(context).cast("long"), F.col("tokens") - start).cast("int").alias("length"))
 
