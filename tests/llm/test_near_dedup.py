@@ -93,3 +93,48 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(30)] + [(100, 103), (101, 103), (102, 101)] + [(200, i) for i in range(201, 240)] + [(7, 7)]
     got = {r["doc_id"]: r["root"] for r in hj.components(spark.createDataFrame(edges, "doc_a long, doc_b long")).collect()}
     assert got == {i: 0 for i in range(31)} | {i: 100 for i in range(100, 104)} | {i: 200 for i in range(200, 240)}
+
+
+def class_rows(df):
+    rows = [(r["doc_id"], r["class_id"], r["links"]) for r in df.collect()]
+    assert len(rows) == len({r[0] for r in rows})
+    return set(rows)
+
+
+def brute_classes(rows):
+    """Class and links of each document from the pairs of brute()."""
+    found = {p[:2] for p in brute(rows)}
+    ids = {i for i, _ in rows if i is not None}
+    root = {i: i for i in ids}
+    while True:
+        least = {i: min([root[i], *(root[b if a == i else a] for a, b in found if i in (a, b))]) for i in ids}
+        if least == root:
+            return {(i, root[i], sum(i in p for p in found)) for i in ids}
+        root = least
+
+
+def test_classes_equal_brute_force(spark, sf, odd_docs, no_docs):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    want = brute_classes([(r["doc_id"], r["text"]) for r in docs.collect()])
+    assert class_rows(hj.query(spark, sf)) == want and any(n for _, _, n in want)
+    assert class_rows(hj.classes(odd_docs)) == brute_classes([(r["doc_id"], r["text"]) for r in odd_docs.collect()])
+    assert hj.classes(no_docs).count() == 0
+
+
+def test_rows_do_not_grow_with_the_size_of_groups(spark):
+    """One row a document, each with all its links: 60 copies, 20 near copies and one document alone."""
+    base = prose(21, 200)
+    rows = [(i, base) for i in range(60)] + [(60 + k, base.replace(base.split()[7 * k], f"other{k}", 1)) for k in range(20)] + [(90, prose(22, 200))]
+    want = brute_classes(rows)
+    assert class_rows(hj.classes(spark.createDataFrame(rows, "doc_id long, text string"))) == want
+    assert len(want) == 81 and max(n for _, _, n in want) == 79 and (90, 90, 0) in want
+
+
+def test_documents_of_several_texts(spark):
+    """A document that holds two signatures first of all counts partners once, joins both classes and makes no pair of their holders."""
+    a, b, c = prose(31, 200), prose(32, 200), prose(33, 200)
+    near = a.replace(a.split()[3], "other", 1)
+    rows = [(1, a), (1, b), (2, a), (3, b), (4, near), (4, b), (1, near), (5, near), (6, c), (7, c), (8, c), (8, a), (None, a), (9, None), (10, a), (10, a)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert pairs(hj.near_pairs(docs)) == brute(rows)
+    assert class_rows(hj.classes(docs)) == brute_classes(rows)
