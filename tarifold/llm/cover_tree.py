@@ -13,22 +13,28 @@ Unit vectors u, v have cosine >= t iff |u - v| <= eps = sqrt(2 - 2 t).
 3. In a group one cover tree per cell: level k has radius RADIUS / 2**k, the
    members of a node are covered by children within that radius, the node's own
    centre is its first child (nesting), siblings are more than the radius apart,
-   down to radii below eps / 2. Every node keeps its true covering radius.
+   down to LEAF members or radii below eps / 2. A node whose children would hold
+   fewer than SPREAD members on average stays a leaf: there bounds prune less
+   than a matrix product costs. Every node keeps its true covering radius.
    Visitors come in batches, each with a tree of its own.
 4. Dual traversal of two trees, depth first in blocks: node pairs go on only
    while |c1 - c2| <= r1 + r2 + eps; the members of surviving leaf pairs are
-   compared. The bounds are exact, so every pair is found; nothing is capped, and
-   a task holds one group, one batch and one block of candidates a level.
-
-Vectors travel in their own type. Bounds are taken in float32 and carry a slack
-for it; the cosine of a pair is taken in float64 from the original values, up to
+   compared, large leaves by blocks of float32 products first. The bounds are
+   exact, so every pair is found; nothing is capped, and a task holds one group,
+   one batch and one block of candidates a level.
+5. The query returns one row a vector: the least vector of its connected
+   component and the number of its partners. near_pairs lists the pairs.
+
+Vectors travel in their own type. Bounds and the first look at a block are taken
+in float32 and carry a slack for it; the cosine of a pair is taken in float64 from the original values, up to
 TIE, which stands for the rounding of float64 itself.
 
 Defined results for odd input:
 
-* null embedding, null or non-finite element, zero vector, null vec_id: in no pair;
-* vectors of another length than the most frequent (least on ties): in no pair;
-* repeated rows (equal vec_id): never paired with themselves, other pairs appear once;
+* null embedding, null or non-finite element, zero vector: in no pair, a class of its own with no links;
+* null vec_id: in no pair and no row;
+* vectors of another length than the most frequent (least on ties): like null embeddings;
+* repeated rows (equal vec_id): one vector, never paired with itself, other pairs appear once;
 * equal vectors: distance 0, all their pairs appear; a cell of more than CELL_ROWS
   of them is cut by a hash of the id into cells of one centre;
 * ties at the threshold: a pair;
@@ -47,6 +53,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarifold.llm.common import stash, table
+from tarifold.llm.hamming_join import components
 
 COSINE = 0.95
 RADIUS = 1.0
@@ -54,8 +61,10 @@ RADIUS = 1.0
 CELL, CELL_ROWS, PIVOT_BYTES, GROUP_BYTES = 4096, 8192, 64 << 20, 32 << 20
 #: Rows of a distance block, node pairs looked at together, entries of a block of distances to pivots.
 BLOCK, COMBINATIONS, ENTRIES = 512, 1 << 16, 1 << 22
-#: Slack of the bounds for float32; of the cosine for float64.
-SLACK, TIE = 2e-3, 1e-12
+#: Members at which a tree stops; members a child holds at least on average, else a node is not split.
+LEAF, SPREAD = 256, 16
+#: Slack of the bounds for float32; of a cosine in float32; of the cosine for float64.
+SLACK, LOOSE, TIE = 2e-3, 1e-4, 1e-12
 
 
 def valid_vectors(embeddings: DataFrame) -> DataFrame:
@@ -89,8 +98,8 @@ def _to(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.sqrt(((x - c) ** 2).sum(1))
 
 
-def build_tree(x: np.ndarray, eps: float, radius: float = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """(order of the rows, nodes) of one cover tree.
+def build_tree(x: np.ndarray, eps: float, radius: float = RADIUS, leaf: int = 1, spread: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """(order of the rows, nodes) of one cover tree; nodes of at most leaf members, or with less than spread a child, are not split.
 
     nodes: level, centre row, first and end position in the order, first and
     end child node, covering radius. Members of a node are contiguous.
@@ -103,9 +112,9 @@ def build_tree(x: np.ndarray, eps: float, radius: float = RADIUS) -> tuple[np.nd
         level, after = level + 1, []
         for at in frontier:
             _, centre, lo, hi, _, _, covering = nodes[at]
-            if hi - lo == 1 or covering <= eps / 2:
+            if hi - lo <= leaf or covering <= eps / 2:
                 continue
-            rows = order[lo:hi].copy()
+            rows = before = order[lo:hi].copy()
             own, alive = x[rows], np.ones(hi - lo, bool)
             first_child, position, c = len(nodes), lo, int(centre)
             while True:
@@ -119,12 +128,17 @@ def build_tree(x: np.ndarray, eps: float, radius: float = RADIUS) -> tuple[np.nd
                 position += len(members)
                 if position == hi:
                     break
+                if (len(nodes) - first_child) * spread >= hi - lo and spread > 1:  # one child more would be too many
+                    order[lo:hi] = before
+                    del after[len(after) - (len(nodes) - first_child) :], nodes[first_child:]
+                    break
                 alive &= ~near
                 if (hi - position) * 2 < len(rows):
                     rows, own = rows[alive], own[alive]
                     alive = np.ones(len(rows), bool)
                 c = int(rows[int(alive.argmax())])
-            nodes[at][4:6] = [first_child, len(nodes)]
+            if len(nodes) > first_child:
+                nodes[at][4:6] = [first_child, len(nodes)]
         frontier, radius = after, radius / 2
     return order, np.array(nodes, np.float64).reshape(-1, 7)
 
@@ -162,7 +176,7 @@ class Tree:
 
 def make_tree(ids: np.ndarray, exact: np.ndarray, eps: float) -> Tree:
     x = exact.astype(np.float32)
-    order, nodes = build_tree(x, eps)
+    order, nodes = build_tree(x, eps, leaf=LEAF, spread=SPREAD)
     place = np.empty(len(order), np.int64)
     place[order] = np.arange(len(order))
     return Tree(ids[order], exact[order], x[order], nodes, place[nodes[:, 1].astype(np.int64)], nodes[:, 6].astype(np.float32))
@@ -203,7 +217,18 @@ def _members(a: Tree, b: Tree, pairs_a: np.ndarray, pairs_b: np.ndarray, cosine:
     for k in np.flatnonzero(large):
         for at in range(lo_a[k], hi_a[k], BLOCK):
             for to in range(lo_b[k], hi_b[k], BLOCK):
-                i, j = np.nonzero(a.exact[at : min(at + BLOCK, hi_a[k])] @ b.exact[to : min(to + BLOCK, hi_b[k])].T >= cosine - TIE)
+                end_a, end_b = min(at + BLOCK, hi_a[k]), min(to + BLOCK, hi_b[k])
+                if a is b and end_b - 1 <= at:  # no i < j
+                    continue
+                rough = a.x[at:end_a] @ b.x[to:end_b].T
+                if rough.max() < cosine - LOOSE:
+                    continue
+                i, j = np.nonzero(rough >= cosine - LOOSE)
+                if len(i) > 4 * BLOCK:
+                    i, j = np.nonzero(a.exact[at:end_a] @ b.exact[to:end_b].T >= cosine - TIE)
+                else:
+                    ok = np.einsum("ij,ij->i", a.exact[i + at], b.exact[j + to]) >= cosine - TIE
+                    i, j = i[ok], j[ok]
                 yield i + at, j + to
     few = ~large
     for i, j in _products(lo_a[few], (hi_a - lo_a)[few], lo_b[few], (hi_b - lo_b)[few]):
@@ -290,7 +315,7 @@ def near_pairs(embeddings: DataFrame, cosine: float = COSINE) -> DataFrame:
     counts, radius = np.zeros(len(centres), np.int64), np.zeros(len(centres), np.float32)
     for r in placed.groupBy("pivot").agg(F.count("*").alias("n"), F.max("away").alias("r")).collect():  # a row a pivot
         counts[r["pivot"]], radius[r["pivot"]] = r["n"], r["r"]
-    layout = lay_out(centres, counts, radius, spark.sparkContext.defaultParallelism, len(one["raw"]))
+    layout = lay_out(centres, counts, radius, max(1, spark.sparkContext.defaultParallelism // 2), len(one["raw"]))  # a group a core
     groups_of = [np.unique(layout.group[f : f + c]) for f, c in zip(layout.first, layout.cells)]
     n_groups = np.array([len(g) for g in groups_of])
     flat_groups, group_starts = np.concatenate(groups_of), np.cumsum(n_groups) - n_groups
@@ -348,12 +373,27 @@ def near_pairs(embeddings: DataFrame, cosine: float = COSINE) -> DataFrame:
     return found if vectors.groupBy("id").count().filter("count > 1").isEmpty() else found.distinct()
 
 
+def classes(embeddings: DataFrame, cosine: float = COSINE) -> DataFrame:
+    """vec_id, class_id and links of each vector: the least vector it is connected with, and its number of partners."""
+    pairs = stash(near_pairs(embeddings, cosine), "pairs")
+    links = pairs.select(F.explode(F.array("vec_a", "vec_b")).alias("vec_id")).groupBy("vec_id").agg(F.count("*").alias("links"))
+    roots = components(pairs, "vec_a", "vec_b").toDF("vec_id", "class_id")
+    ids = embeddings.select(F.col("vec_id").cast("long").alias("vec_id")).filter("vec_id is not null").distinct()
+    found = ids.join(links, "vec_id", "left").join(roots, "vec_id", "left")
+    return found.select("vec_id", F.coalesce("class_id", "vec_id").alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """op1: all near-duplicate pairs of the whole embeddings table."""
-    return near_pairs(table(spark, sf_dir, "embeddings"))
+    """op1: class and number of near duplicates of every vector of the embeddings table."""
+    return classes(table(spark, sf_dir, "embeddings"))
 
 
 def oracle() -> str:
-    """The same pairs by comparing all."""
-    return f"""with e as (select vec_id, embedding::double[] as v from embeddings where vec_id is not null)
-select a.vec_id as vec_a, b.vec_id as vec_b from e a join e b on a.vec_id < b.vec_id where list_cosine_similarity(a.v, b.v) >= {COSINE}"""
+    """The same by comparing all pairs and following links."""
+    return f"""with recursive e as (select vec_id, embedding::double[] as v from embeddings where vec_id is not null),
+near as (select a.vec_id as vec_a, b.vec_id as vec_b from e a join e b on a.vec_id < b.vec_id where list_cosine_similarity(a.v, b.v) >= {COSINE}),
+link as (select vec_a as one, vec_b as other from near union select vec_b, vec_a from near),
+reach(vec_id, root) as (select vec_id, vec_id from e union select l.other, r.root from reach r join link l on l.one = r.vec_id),
+classes as (select vec_id, min(root) as class_id from reach group by vec_id),
+counts as (select one, count(*) as links from link group by one)
+select c.vec_id, c.class_id, coalesce(n.links, 0) as links from classes c left join counts n on n.one = c.vec_id"""

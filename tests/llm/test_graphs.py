@@ -233,3 +233,51 @@ def test_tree_invariants():
 
 def test_oracle_of_pairs(spark, sf):
     assert_same(cover_tree.query(spark, sf), cover_tree.oracle(), sf)
+
+
+def clustered(rng):
+    """Chains, cliques, a vector with two rows and vectors alone."""
+    base = rng.normal(size=(4, 64))
+    rows = [base[0] + 0.02 * rng.normal(size=64) for _ in range(40)] + [base[1] + 0.3 * k * base[2] for k in range(6)] + list(rng.normal(size=(30, 64)))
+    rows = [(int(i), [float(np.float32(v)) for v in row]) for i, row in enumerate(rows)]
+    return rows + [(70, rows[0][1]), (3, rows[3][1]), (100, [float(np.float32(v)) for v in base[3]])]
+
+
+def test_classes_equal_oracle(spark, tmp_path):
+    """One row a vector, however large its group, with the links of brute force and the classes of the recursive SQL."""
+    rows = clustered(np.random.default_rng(9))
+    frame(spark, rows).write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {r["vec_id"]: (r["class_id"], r["links"]) for r in cover_tree.query(spark, str(tmp_path)).collect()}
+    want = brute_pairs(rows, 0.95)
+    assert len(got) == len({i for i, _ in rows}) and all(n == sum(i in p for p in want) for i, (_, n) in got.items())
+    assert got[39] == (0, 40) and got[100] == (100, 0) and max(got[i][1] for i in range(40, 46)) > 0
+    assert_same(cover_tree.query(spark, str(tmp_path)), cover_tree.oracle(), str(tmp_path))
+
+
+def test_classes_of_odd_vectors(spark):
+    a, b = [1.0, 0.0, 0.1], [1.0, 0.0, 0.12]
+    rows = [(1, a), (2, b), (2, b), (3, a), (None, a), (4, None), (5, []), (6, [0.0, 0.0, 0.0]), (9, [1.0, 0.0]), (11, [-1.0, 0.0, -0.1])]
+    got = sorted(tuple(r) for r in cover_tree.classes(frame(spark, rows)).collect())
+    assert got == [(1, 1, 2), (2, 1, 2), (3, 1, 2), (4, 4, 0), (5, 5, 0), (6, 6, 0), (9, 9, 0), (11, 11, 0)]
+    assert cover_tree.classes(frame(spark, [])).count() == 0
+
+
+@pytest.mark.parametrize("leaf,spread", [(1, 1), (8, 2), (64, 16), (10**6, 16)])
+def test_any_leaf_size_gives_the_same_pairs(monkeypatch, leaf, spread):
+    rng = np.random.default_rng(10)
+    x = np.concatenate([np.repeat(rng.normal(size=(6, 16)), 150, 0) + 0.08 * rng.normal(size=(900, 16)), rng.normal(size=(900, 16))])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    monkeypatch.setattr(cover_tree, "LEAF", leaf)
+    monkeypatch.setattr(cover_tree, "SPREAD", spread)
+    eps = math.sqrt(0.1)
+    a, b = cover_tree.make_tree(np.arange(1300), x[:1300], eps), cover_tree.make_tree(np.arange(1300, 1800), x[1300:], eps)
+    got = [(p, q) for s, t in ((a, a), (b, b), (a, b)) for f in cover_tree.tree_pairs(s, t, 0.95) for p, q in zip(f["vec_a"], f["vec_b"])]
+    i, j = np.nonzero(np.triu(x @ x.T >= 0.95, 1))
+    assert len(got) == len(set(got)) and set(got) == set(zip(i.tolist(), j.tolist()))
+
+
+def test_vectors_without_structure_stay_in_leaves():
+    """Vectors of which none is near another are compared by matrix products, not node by node."""
+    x = np.random.default_rng(11).normal(size=(4096, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    assert len(cover_tree.make_tree(np.arange(4096), x, math.sqrt(0.1)).nodes) == 1
