@@ -13,6 +13,8 @@ VOCABULARY_DIR = os.environ.get("TARIFOLD_TOKENIZERS", "/opt/tokenizers")
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Longer texts are encoded in runs of about this many characters, cut where no token can span.
 RUN_CHARS = 400_000
+#: A special token that is never allowed, so never given out. Without any, the search for special tokens matches the empty string at every character.
+NEVER = "<|tarifold-never|>"
 
 _loaded: dict[tuple[str, str], object] = {}
 
@@ -25,7 +27,7 @@ def encoder(name: str, folder: str = VOCABULARY_DIR):
 
         with open(f"{folder}/{name}.tiktoken", "rb") as file:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, file)}
-        _loaded[key] = tiktoken.Encoding(name, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        _loaded[key] = tiktoken.Encoding(name, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={NEVER: max(ranks.values()) + 1})
     return _loaded[key]
 
 

@@ -1,4 +1,5 @@
 import collections
+import time
 
 import numpy as np
 import pytest
@@ -113,6 +114,20 @@ def test_long_texts_encode_as_a_whole(monkeypatch):
     assert tokens.encode(enc, "z" * 5000).tolist() == enc.encode_ordinary("z" * 5000)
 
 
+def test_the_search_for_special_tokens_costs_little():
+    """No more CPU time than without that search, of the best of a few rounds; the one special token's own name is ordinary text."""
+    enc, text, seconds = tokens.encoder(repair.VOCABULARY), prose(7, 20_000), collections.defaultdict(list)
+    for _ in range(7):
+        for name, encode in (("encode", lambda: tokens.encode(enc, text)), ("ordinary", lambda: enc.encode_ordinary(text))):
+            began = time.process_time()
+            encode()
+            seconds[name].append(time.process_time() - began)
+    assert min(seconds["encode"]) < min(seconds["ordinary"])
+    for odd in (tokens.NEVER, f"é{tokens.NEVER * 3}😀 x", "<|endoftext|>"):
+        ids = tokens.encode(enc, odd)
+        assert ids.tolist() == enc.encode_ordinary(odd) and ids.max() < repair.IDS and enc.decode(ids.tolist()) == odd
+
+
 def check_round_trip(shards, texts):
     enc, seen = tokens.encoder(repair.VOCABULARY), []
     for row in (r.asDict() for r in shards.collect()):
@@ -248,6 +263,19 @@ def test_shard_names_are_unique(spark, odd_docs):
     assert len(names) == len(set(names)) > 3
 
 
+def test_pairs_are_ordered_alike_with_and_without_room():
+    """Packed with their positions, or sorted indirectly where 63 bits don't hold both: rising codes, positions rising in each."""
+    rng = np.random.default_rng(3)
+    for top, number in ((5, 5), (60_000, 60_000), (60_000, 1 << 30), (1 << 31, 1 << 31)):
+        seq = rng.integers(0, top, 5000).astype("<i4")
+        seq[::7] = seq[0]
+        pair = np.ndarray((len(seq) - 1,), "<i8", seq, 0, (4,))
+        at = np.flatnonzero(rng.random(len(pair)) < 0.8)
+        codes, place = repair._ordered(pair, at, number)
+        order = np.argsort(pair[at], kind="stable")
+        assert codes.tolist() == pair[at][order].tolist() and place.tolist() == at[order].tolist()
+
+
 def test_no_pair_crosses_a_document():
     ids = np.array([1, 2] * 40)
     symbols, starts, rules, lengths = repair.compress(ids, np.arange(0, 80, 2) + 1 - 1, first=10)
