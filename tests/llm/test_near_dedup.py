@@ -1,3 +1,6 @@
+import random
+import tracemalloc
+
 import numpy as np
 from samples import prose
 
@@ -138,3 +141,34 @@ def test_documents_of_several_texts(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert pairs(hj.near_pairs(docs)) == brute(rows)
     assert class_rows(hj.classes(docs)) == brute_classes(rows)
+
+
+def plain_signature(raw):
+    """The signature word by word, in Python's integers."""
+    full, words = (1 << 64) - 1, raw.lower().replace(b"\x0b", b" ").split()
+    mix = lambda x: int(hj._mix(np.array([x & full], np.uint64))[0])
+    hashes = [mix(sum((c + 1) * pow(hj._P, i, 1 << 64) for i, c in enumerate(w))) for w in words]
+    shingles = [mix(x * 3 + y * 0xA0761D6478BD642F) for x, y in zip(hashes, hashes[1:])] if len(hashes) > 1 else hashes
+    if not shingles:
+        return None
+    return [mix(min((int(a) * x + int(b)) & full for x in shingles)) >> 56 for a, b in zip(*hj._multipliers())]
+
+
+def test_signatures_do_not_depend_on_blocks(monkeypatch):
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("aBé \t\n") for _ in range(rng.randrange(30))).encode() for _ in range(60)] + [b"x" * 24, b"x" * 8, b"x" * 8 + b" y", b" " * 16 + b"z", b"a b " * 9]
+    want = [plain_signature(t) for t in texts]
+    for block in (1, 3, 8, hj.BLOCK):
+        monkeypatch.setattr(hj, "BLOCK", block)
+        monkeypatch.setattr(hj, "_powers", [])
+        got = [hj.text_signature(t) for t in texts]
+        assert [g if g is None else g.tolist() for g in got] == want
+
+
+def test_memory_does_not_grow_with_the_text():
+    for raw in (prose(1, 1000).encode() * 3000, b"x" * 20_000_000):
+        tracemalloc.start()
+        hj.text_signature(raw)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 40e6, (len(raw), peak)
