@@ -19,6 +19,7 @@ from datetime import UTC, datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tarifold import schemas, storage
 from tarifold.functions.hashing import fingerprint
@@ -27,6 +28,10 @@ from tarifold.functions.text import unreviewed_alias
 BLOCKED = "blocked_for_aggregation"
 #: Dimension rows up to which a broadcast is asked for.
 BROADCAST_ROWS = 200_000
+#: Rows of a bin of time if all rows had one key and were spread evenly; rows of a partition that is sorted.
+BIN_ROWS, SORT_ROWS = 50_000, 250_000
+#: End of a pointer without end, in microseconds.
+FOREVER = (1 << 63) - 1
 
 
 class LifecycleError(ValueError):
@@ -114,46 +119,116 @@ def _blocks(first: Column, last: Column, levels: int) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.lit(levels - 1)), start, step, lambda state: state["out"])
 
 
+def _div(number: Column, by: int) -> Column:
+    """Whole quotient of a number that is not negative."""
+    return F.call_function("div", number, F.lit(by))
+
+
+def _named(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows without a null among their keys."""
+    for k in keys:
+        rows = rows.filter(F.col(k).isNotNull())
+    return rows
+
+
+def _width(first: int, last: int, rows: int, widest: int) -> int:
+    """Microseconds of a bin: so many bins that one holds about BIN_ROWS rows, whatever the keys."""
+    return max(1, min(widest, (last - first) // (rows // BIN_ROWS + 1) + 1))
+
+
+def _sweep(keys: list[str]):
+    """The step over rows sorted by (keys, bin, time, kind): pointers (kind 0) and probes (kind 1). A row (keys, __at, __found) a probe.
+
+    The pointers started so far lie on a stack, the latest on top, each
+    without those below that end no later; a probe takes off what has ended by
+    its time, and the top is its pointer. Every pointer is put on once and
+    taken off once.
+    """
+
+    def step(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        stack, group = [], None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            new = np.zeros(batch.num_rows, bool)
+            for name in (*keys, "__bin"):
+                codes = batch.column(name).dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+                new[1:] |= codes[1:] != codes[:-1]
+            ends = [tuple(batch.column(name)[at].as_py() for name in (*keys, "__bin")) for at in (0, batch.num_rows - 1)]
+            new[0] = ends[0] != group
+            group = ends[1]
+            at, found = [], []
+            rows = zip(new.tolist(), batch.column("__kind").to_pylist(), batch.column("__time").to_pylist(), batch.column("__to").to_pylist(), batch.column("__artifact").to_pylist())
+            for i, (fresh, kind, time, to, artifact) in enumerate(rows):
+                if fresh:
+                    stack = []
+                if kind:
+                    while stack and stack[-1][0] <= time:
+                        stack.pop()
+                    at.append(i)
+                    found.append(stack[-1][1] if stack else None)
+                else:
+                    while stack and stack[-1][0] <= to:
+                        stack.pop()
+                    stack.append((to, artifact))
+            probed = batch.take(pa.array(at, pa.int64()))
+            columns = [probed.column(k) for k in keys] + [probed.column("__time"), pa.array(found, batch.schema.field("__artifact").type)]
+            yield pa.RecordBatch.from_arrays(columns, names=[*keys, "__at", "__found"])
+
+    return step
+
+
 def pointers_as_of(probes: DataFrame, pointers: DataFrame, keys: list[str], time: str, bin_seconds: int = 86_400) -> DataFrame:
     """For each probe the pointer in force at its time: of those started by then and not ended, the one that started last.
 
-    Two equi-joins by (key, bin), whose partitions stay small however few keys
-    there are. First the intervals cut off where the next one of their key
-    starts: they don't overlap, so they spread over the bins with at most one
-    row per key and bin beyond their number, and they answer every probe but
-    those behind a pointer that has ended while an earlier one goes on. These,
-    few as a rule, look in the true intervals, spread as dyadic blocks of bins
-    (about two a level, however long), of which a probe meets one a level.
+    Time is cut into bins (bin_seconds wide at most, narrower the more rows
+    there are) that are treated apart, however few keys there are. A pointer
+    comes into the bin where it starts and the one where it ends. Of those that
+    cover a whole bin only the one that started last counts: they are spread as
+    dyadic blocks of bins (about two a level, however long), the last start of
+    each block is kept, and a bin looks at one block a level. Inside a bin
+    sorted rows are swept once. So the work follows the rows (times the
+    logarithm of the bins), not the pairs of probes and pointers.
     """
-    width = bin_seconds * 1_000_000
-    reach = probes.agg(F.min(_micros(time)).alias("first"), F.max(_micros(time)).alias("last")).first()
+    at = _micros(time)
+    reach = probes.agg(F.min(at).alias("first"), F.max(at).alias("last"), F.count("*").alias("n")).first()
     first, last = reach["first"], reach["last"]
-    spans = pointers.select(*keys, "artifact_id", _micros("valid_from").alias("__from"), _micros("valid_to").alias("__to")).filter((F.col("__from") <= F.lit(last)) & (F.col("__to").isNull() | (F.col("__to") > F.col("__from"))))
-    following = F.lead("__from").over(Window.partitionBy(*keys).orderBy("__from", "artifact_id"))
-    cut = spans.withColumn("__end", F.least("__to", following)).filter(F.col("__end").isNull() | (F.col("__end") > F.col("__from")))
-    until = F.least(F.coalesce("__end", F.lit(last)), F.lit(last))
-    right = cut.withColumn("__bin", F.explode(F.sequence(F.floor(F.col("__from") / width), F.floor(until / width)))).alias("r")
-    left = probes.withColumn("__at", _micros(time)).withColumn("__bin", F.floor(F.col("__at") / width)).alias("l")
-    on = (F.col("l.__bin") == F.col("r.__bin")) & (F.col("r.__from") <= F.col("l.__at")) & (F.col("r.__end").isNull() | (F.col("r.__end") > F.col("l.__at")))
-    for k in keys:
-        on = on & (F.col(f"l.{k}") == F.col(f"r.{k}"))
-    found = left.join(right, on, "left").select(*(F.col(f"l.{c}") for c in probes.columns), F.col("l.__at").alias("__at"), F.col("r.artifact_id").alias("__found"))
+    kind = pointers.schema["artifact_id"].dataType
     if last is None:
-        return found.select(*probes.columns, F.col("__found").alias("artifact_id"))
-
-    # bins are counted from the first probe's
-    base = first // width
-    levels = (last // width - base + 1).bit_length() + 1
-    rest = found.filter(F.col("__found").isNull() & F.col("__at").isNotNull()).select(*keys, "__at").distinct()
-    rest = rest.withColumn("__bin", F.floor(F.col("__at") / width) - base)
-    rest = rest.select("*", F.explode(F.array(*(F.struct(F.lit(k).alias("level"), F.shiftright("__bin", k).alias("block")) for k in range(levels)))).alias("__b")).select(*keys, "__at", F.col("__b.level").alias("__level"), F.col("__b.block").alias("__block"))
-    long_ = spans.withColumns({"__lo": F.greatest(F.floor(F.col("__from") / width) - base, F.lit(0)), "__hi": F.least(F.floor(F.least(F.coalesce(F.col("__to") - 1, F.lit(last)), F.lit(last)) / width) - base, F.lit(last // width - base))})
-    long_ = long_.filter("__hi >= __lo").select("*", F.explode(_blocks(F.col("__lo"), F.col("__hi"), levels)).alias("__b"))
-    long_ = long_.select(*keys, "artifact_id", "__from", "__to", F.col("__b.level").alias("__level"), F.col("__b.block").alias("__block"))
-    met = rest.join(long_, [*keys, "__level", "__block"]).filter((F.col("__from") <= F.col("__at")) & (F.col("__to").isNull() | (F.col("__to") > F.col("__at"))))
-    late = met.groupBy(*keys, "__at").agg(F.max_by("artifact_id", F.struct("__from", "artifact_id")).alias("__late"))
-    joined = found.join(late, [*keys, "__at"], "left")
-    return joined.select(*(F.col(c) for c in probes.columns), F.coalesce("__found", "__late").alias("artifact_id"))
+        return probes.withColumn("artifact_id", F.lit(None).cast(kind))
+    rows = reach["n"] + pointers.count()
+    width = _width(first, last, rows, bin_seconds * 1_000_000)
+    top = (last - first) // width
+    levels = (top + 1).bit_length() + 1
+
+    spans = _named(pointers, keys).select(*keys, F.col("artifact_id").alias("__artifact"), _micros("valid_from").alias("__from"), _micros("valid_to").alias("__to"))
+    spans = spans.filter((F.col("__from") <= F.lit(last)) & (F.col("__to").isNull() | (F.col("__to") > F.greatest("__from", F.lit(first)))))
+    low = F.when(F.col("__from") >= F.lit(first), _div(F.col("__from") - F.lit(first), width)).otherwise(F.lit(-1))
+    high = F.when(F.col("__to") <= F.lit(last), _div(F.col("__to") - F.lit(first), width)).otherwise(F.lit(top + 1))
+    spans = spans.select(*keys, "__artifact", "__from", F.coalesce("__to", F.lit(FOREVER)).alias("__to"), low.cast("bigint").alias("__low"), high.cast("bigint").alias("__high"))
+    ends = F.array_compact(F.array(F.when(F.col("__low") >= 0, F.col("__low")), F.when((F.col("__high") <= top) & (F.col("__high") > F.col("__low")), F.col("__high"))))
+    shape = [*keys, "__bin", "__time", "__kind", "__to", "__artifact"]
+    part = spans.withColumn("__bin", F.explode(ends)).withColumns({"__time": F.col("__from"), "__kind": F.lit(0)}).select(*shape)
+
+    asked = _named(probes, keys).withColumn("__time", at).filter("__time is not null").select(*keys, "__time").distinct()
+    asked = asked.select("*", _div(F.col("__time") - F.lit(first), width).alias("__bin"), F.lit(1).alias("__kind"), F.lit(None).cast("bigint").alias("__to"), F.lit(None).cast(kind).alias("__artifact")).select(*shape)
+
+    latest = F.max("__start").alias("__start")
+    whole = spans.filter("__high - __low > 1").groupBy(*keys, (F.col("__low") + 1).alias("__low"), (F.col("__high") - 1).alias("__high")).agg(F.max(F.struct("__from", "__artifact")).alias("__start"))
+    whole = whole.select(*keys, "__start", F.explode(_blocks(F.col("__low"), F.col("__high"), levels)).alias("__b")).groupBy(*keys, F.col("__b.level").alias("__level"), F.col("__b.block").alias("__block")).agg(latest)
+    above = F.array(*(F.struct(F.lit(k).alias("level"), F.shiftright("__bin", k).alias("block")) for k in range(levels)))
+    bins = asked.select(*keys, "__bin").distinct().select(*keys, "__bin", F.explode(above).alias("__b")).select(*keys, "__bin", F.col("__b.level").alias("__level"), F.col("__b.block").alias("__block"))
+    over = bins.join(whole, [*keys, "__level", "__block"]).groupBy(*keys, "__bin").agg(latest)
+    over = over.select(*keys, "__bin", F.col("__start.__from").alias("__time"), F.lit(0).alias("__kind"), F.lit(FOREVER).alias("__to"), F.col("__start.__artifact").alias("__artifact"))
+
+    both = part.unionByName(over).unionByName(asked).repartition(rows // SORT_ROWS + 1, *keys, "__bin").sortWithinPartitions(*keys, "__bin", "__time", "__kind", "__artifact")
+    answer = StructType([both.schema[k] for k in keys]).add("__at", "long").add("__found", kind)
+    found = both.mapInArrow(_sweep(keys), answer)
+    joined = probes.withColumn("__at", at).join(found, [*keys, "__at"], "left")
+    return joined.select(*(F.col(c) for c in probes.columns), F.col("__found").alias("artifact_id"))
 
 
 def current_counts(pointers: DataFrame, at: str | Column, keys: list[str]) -> DataFrame:
@@ -164,8 +239,21 @@ def current_counts(pointers: DataFrame, at: str | Column, keys: list[str]) -> Da
 
 
 def pointer_intervals(log: DataFrame, keys: list[str], time: str, tie: str) -> DataFrame:
-    """Validity intervals of a log of switches: each ends where the next begins."""
-    return log.withColumn("valid_to", F.lead(time).over(Window.partitionBy(*keys).orderBy(time, tie)))
+    """Validity intervals of a log of switches: each ends where the next begins.
+
+    A long log is cut into bins of time, so that few keys do not make few
+    partitions; a bin ends with a row for the first switch of the next bin.
+    """
+    reach = log.agg(F.min(_micros(time)).alias("first"), F.max(_micros(time)).alias("last"), F.count("*").alias("n")).first()
+    if reach["n"] <= BIN_ROWS or reach["last"] is None:
+        return log.withColumn("valid_to", F.lead(time).over(Window.partitionBy(*keys).orderBy(time, tie)))
+    width = _width(reach["first"], reach["last"], reach["n"], reach["last"] - reach["first"] + 1)
+    binned = log.withColumns({"__bin": F.coalesce(_div(_micros(time) - F.lit(reach["first"]), width), F.lit(-1)), "__end": F.lit(0)})
+    own = binned.groupBy(*keys, "__bin").agg(F.min(time).alias(time))
+    ends = own.withColumn("__bin", F.lag("__bin").over(Window.partitionBy(*keys).orderBy("__bin"))).filter("__bin is not null").withColumn("__end", F.lit(1))
+    both = binned.unionByName(ends, allowMissingColumns=True)
+    following = both.withColumn("valid_to", F.lead(time).over(Window.partitionBy(*keys, "__bin").orderBy("__end", time, tie)))
+    return following.filter("__end = 0").drop("__bin", "__end")
 
 
 def latest_per_key(rows: DataFrame, keys: list[str], time: str, tie: str) -> DataFrame:

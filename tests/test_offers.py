@@ -160,6 +160,41 @@ def test_pointer_behind_an_ended_one(spark):
         assert sorted(n for b in blocks for n in range(b["block"] << b["level"], b["block"] + 1 << b["level"])) == list(range(lo, hi + 1))
 
 
+def test_as_of_follows_the_rows_not_the_pairs(spark, monkeypatch):
+    """Many bins, two keys, overlapping and open pointers, ties, null keys and times: as by brute force, and no join compares times."""
+    import random
+    import re
+
+    monkeypatch.setattr(offers, "BIN_ROWS", 20)
+    monkeypatch.setattr(offers, "SORT_ROWS", 300)
+    rng = random.Random(5)
+    moment = lambda: datetime.fromtimestamp(1_700_000_000 + rng.randrange(5000), UTC)
+    length = [None, 0, 3, 40, 700, 4000]
+    pointers = [(rng.choice(["k", "j", None]), f"a{n}", t := moment(), None if (d := rng.choice(length)) is None else datetime.fromtimestamp(t.timestamp() + d, UTC)) for n in range(400)]
+    pointers = [p for p in pointers if p[3] is not None or rng.random() < 0.2]
+    probes = [(n, rng.choice(["k", "j", "k", None]), moment() if n % 50 else None) for n in range(600)]
+    want = {}
+    for n, k, t in probes:
+        open_ = [(p[2], p[1]) for p in pointers if k is not None and p[0] == k and t is not None and p[2] <= t and (p[3] is None or p[3] > t)]
+        want[n] = max(open_)[1] if open_ else None
+    rows = spark.createDataFrame(pointers, "k string, artifact_id string, valid_from timestamp, valid_to timestamp")
+    found = offers.pointers_as_of(spark.createDataFrame(probes, "n int, k string, at timestamp"), rows, ["k"], "at")
+    got = [(r["n"], r["artifact_id"]) for r in found.collect()]
+    assert dict(got) == want and len(got) == 600 and len(set(want.values())) > 100
+    joins = re.findall(r"\n.*Join .*", found._jdf.queryExecution().optimizedPlan().toString())
+    assert joins and not any("<" in j for j in joins)
+
+
+def test_intervals_of_few_keys_make_many_partitions(spark, monkeypatch):
+    """In bins of time, gaps between them and null times and keys too: as one window a key gives them."""
+    log = spark.createDataFrame([(k, n, None if n % 40 == 0 else datetime(2024, 1, 1 + n % 3 + 20 * (n % 7 == 0), n % 24, n % 11)) for k in ("k", "j", None) for n in range(200)], "k string, n int, t timestamp")
+    want = sorted(map(str, offers.pointer_intervals(log, ["k"], "t", "n").collect()))
+    monkeypatch.setattr(offers, "BIN_ROWS", 20)
+    found = offers.pointer_intervals(log, ["k"], "t", "n")
+    assert sorted(map(str, found.collect())) == want and found.columns == ["k", "n", "t", "valid_to"]
+    assert "hashpartitioning(k#" in (plan := found._jdf.queryExecution().executedPlan().toString()) and "__bin" in plan
+
+
 def test_a_failed_transaction_leaves_nothing(spark, store):
     store.seal("s1")
     with pytest.raises(offers.LifecycleError), store.transaction():
