@@ -9,9 +9,12 @@ from tarifold.schemas import CANONICAL_REQUIRED, CANONICAL_TYPES, TYPED_LINE, TY
 
 
 def parsed_lines(lines: DataFrame) -> DataFrame:
-    """Adds doc: the JSON object in value as a VARIANT, parsed once (null where it is no object)."""
-    parsed = lines.withColumn("__doc", F.try_parse_json("value"))
-    return parsed.withColumn("doc", F.when(F.schema_of_variant("__doc").startswith("OBJECT"), F.col("__doc"))).drop("__doc")
+    """Adds doc: the JSON object in value as a VARIANT, parsed once (null where it is no object).
+
+    A text that parses is an object if it begins with a brace; the type name of
+    the whole document would take longer than the parsing.
+    """
+    return lines.withColumn("doc", F.when(F.ltrim("value", F.lit(" \t\r\n")).startswith("{"), F.try_parse_json("value")))
 
 
 #: Kinds of a JSON value as patterns over VARIANT's type names; whole numbers beyond 64 bits are decimals of scale 0,
@@ -21,9 +24,14 @@ KINDS = {
 }
 
 
+def _value(path: str) -> Column:
+    """The value at a path of doc; null where nothing is there (a JSON null is something)."""
+    return F.try_variant_get("doc", path, "variant")
+
+
 def type_at(path: str) -> Column:
     """VARIANT's type name at a path of doc; null where nothing is there."""
-    return F.substring_index(F.schema_of_variant(F.try_variant_get("doc", path, "variant")), "<", 1)
+    return F.substring_index(F.schema_of_variant(_value(path)), "<", 1)
 
 
 def _is(path: str, *kinds: str, absent: bool = False) -> Column:
@@ -38,7 +46,7 @@ def contract_violation(required: list[str] = TYPED_REQUIRED, expected: dict[str,
     """
     out = F.when(F.col("doc").isNull(), F.lit("bad_json"))
     for key in required:
-        out = out.when(type_at(f"$.{key}").isNull(), F.lit(f"missing:{key}"))
+        out = out.when(_value(f"$.{key}").isNull(), F.lit(f"missing:{key}"))
     shapes = [("quality_flags", "array"), ("_meta", "object"), ("parsed", "object")] + ([] if strict else [("raw", "object")])
     for key, kind in shapes:
         if key in required:
@@ -67,6 +75,10 @@ def eligible(qty: Column, price: Column | None = None) -> Column:
     return test if price is None else test & F.coalesce(price > 0, F.lit(False))
 
 
+#: All that drop_reason gives.
+DROP_REASONS = ("qty_missing", "qty_nonpositive", "unknown")
+
+
 def drop_reason(qty: Column) -> Column:
     named = F.concat_ws("_and_", F.when(qty.isNull(), "qty_missing"), F.when(qty <= 0, "qty_nonpositive"))
     return F.coalesce(F.nullif(named, F.lit("")), F.lit("unknown"))
@@ -101,7 +113,7 @@ def row_error(types: dict[str, tuple[str, ...]] = CANONICAL_TYPES, required: lis
     """
     out = F.when(F.col("doc").isNull(), F.lit("bad_json"))
     for key in required:
-        out = out.when(type_at(f"$.{key}").isNull(), F.lit(f"missing:{key}"))
+        out = out.when(_value(f"$.{key}").isNull(), F.lit(f"missing:{key}"))
     out = out.when(F.size(F.array_except(F.json_object_keys("value"), F.array(*map(F.lit, types)))) > 0, F.lit("extra_key"))
     for key, kinds in types.items():
         out = out.when(~_is(f"$.{key}", *kinds, absent=True), F.lit(f"type:{key}"))

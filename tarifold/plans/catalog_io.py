@@ -268,10 +268,11 @@ def q_accepted_run(spark: SparkSession, sf: str) -> DataFrame:
 def _curated(spark: SparkSession, sf: str) -> tuple[str, dict]:
     """A curation of a segment with every kind of line: kept, dropped, broken JSON, broken contract."""
     root = scratch(spark, "curate")
-    lines = base.typed(spark, sf).filter(~F.col("fate").startswith("bad:")).withColumn("fate", F.lit("good")).orderBy("row_no", "wh_pos")
-    good = runs.canonical_lines(emit.typed_contract(lines, RUN))
+    lines = base.typed(spark, sf).filter(~F.col("fate").startswith("bad:")).withColumn("fate", F.lit("good")).persist()  # a sort samples its rows first
+    good = runs.canonical_lines(emit.typed_contract(lines.orderBy("row_no", "wh_pos"), RUN))
     odd = spark.createDataFrame([("{broken",), ("{}",)], "value string")
-    runs.write_lines(odd.coalesce(1).unionByName(good.coalesce(1)), f"{root}/segment.ndjson")
+    runs.write_lines(odd.coalesce(1).unionByName(good), f"{root}/segment.ndjson")
+    lines.unpersist()
     storage.write_text(f"{root}/manifest.json", runs.dump({"run_id": "r1", "paths": {"segment": f"{root}/segment.ndjson"}}))
     return root, runs.curate_run(spark, f"{root}/manifest.json", root, 40)
 

@@ -2,9 +2,9 @@
 
 Accepting a run has a fixed order: segment, then manifest, then marker. The
 marker's existence is the idempotency key; anything without it never happened.
-The line files of one run are written by Spark as one part (a run is one price
-list) in row order; the fact store as a whole is read by partition
-(supplier, parser, month).
+The line files of one run are written by Spark side by side, in row order, and
+joined to one file (a run is one price list); the fact store as a whole is read
+by partition (supplier, parser, month).
 """
 
 from __future__ import annotations
@@ -65,14 +65,14 @@ def canonical_lines(lines: DataFrame, order: list[str] = ()) -> DataFrame:
 
 
 def write_lines(lines: DataFrame, path: str) -> None:
-    """A text frame as one file, complete or not there."""
+    """A text frame as one file, complete or not there. Partitions are written side by side and joined in their order."""
     folder = f"{path}.parts"
-    lines.coalesce(1).write.mode("overwrite").text(folder)
-    part = [n for n in storage.names(folder) if n.startswith("part-")]
-    if part:
-        storage.replace(f"{folder}/{part[0]}", path)
+    lines.write.mode("overwrite").option("compression", "none").text(folder)
+    parts = [f"{folder}/{n}" for n in storage.names(folder) if n.startswith("part-")]
+    if len(parts) == 1:
+        storage.replace(parts[0], path)
     else:
-        write_text(path, "")
+        storage.join(parts, path)
     storage.delete(folder)
 
 
@@ -83,7 +83,7 @@ def emit_run(spark: SparkSession, source: str, mapping_path: str, effective_at:
     run = {"supplier_id": supplier_id, "parser_id": parser_id, "mapping_version": mapping.version, "mapping_hash": mapping.hash, "run_id": run_id, "effective_at": at}
     try:
         grid = read_grid(spark, source, mapping.sheet) if grid is None else grid
-        lines = emit.emit_typed(emit.price_rows(grid, mapping), mapping.price_scale).persist()
+        lines = emit.emit_typed(emit.price_rows(grid, mapping).repartition("row_no"), mapping.price_scale).persist()
         stats = emit.stats_document(lines, run) | {"input_file": source}
     except Exception as e:
         write_text(f"{out_dir}/stats.json", dump(run | {"input_file": source, "file_readable": False, "structure_ok": False, "good_rows": 0, "bad_rows": 0, "exploded_lines": 0, "source_rows_read": 0, "explosion_factor_exact": "0", "flags_counts": {}, "bad_reasons_counts": {}}) + "\n")
@@ -113,7 +113,7 @@ def string_run(spark: SparkSession, source: str, mapping_path: str, layout: str,
         head = grid.filter(F.col("row_no") == mapping.header_row).first()
     except Exception as e:
         raise RunError(f"{source}: {e}", 2) from e
-    lines = emit.emit_strings(emit.price_rows(grid, mapping, head["cells"] if head else None)).persist()
+    lines = emit.emit_strings(emit.price_rows(grid, mapping, head["cells"] if head else None).repartition("row_no")).persist()
     stats = emit.string_stats(lines).first().asDict() | {"flags_counts": {r["flag"]: r["n"] for r in emit.string_flag_counts(lines).collect()}, "supplier_id": supplier_id, "parser_id": parser_id, "layout": layout, "run_id": run_id}
     _write_run(emit.string_contract(lines.orderBy("row_no", "wh_pos"), supplier_id, parser_id, run_id, mapping.currency), stats, out, stats_out)
     lines.unpersist()
@@ -135,7 +135,7 @@ def headed_run(spark: SparkSession, source: str, sheet: str, layout: str, out: s
         empty, stats = skipped(spark, reason)
         return _write_run(empty, named | stats, out, stats_out)
     capped = emit.cap_rows(rows.withColumn("row_no", F.col("row_no") - header_row), max_rows)
-    lines = emit.emit_headed(capped).persist()
+    lines = emit.emit_headed(capped.repartition("row_no")).persist()
     stats = named | emit.headed_stats(lines).first().asDict() | {"status": "OK"}
     _write_run(emit.headed_contract(lines.orderBy("row_no"), supplier_id, category, sheet, at), stats, out, stats_out)
     lines.unpersist()
@@ -164,7 +164,7 @@ def sheet_run(spark: SparkSession, source: str, sheet: str, layout: str, run_id:
             raise ValueError(f"sheet not found: {sheet}")
     except Exception as e:
         raise RunError(f"{source}: {e}", 1) from e
-    lines = emit.emit_sheet(emit.sheet_rows(grid, SHEETS[layout]), zero_price_apart=layout == "wheels").persist()
+    lines = emit.emit_sheet(emit.sheet_rows(grid, SHEETS[layout]).repartition("row_no"), zero_price_apart=layout == "wheels").persist()
     fates = {r["fate"]: r["n"] for r in emit.fate_counts(lines).collect()}
     stats = {"lines": fates.pop("emit", 0), "fates": fates, "flags_counts": {r["flag"]: r["n"] for r in emit.sheet_flag_counts(lines).collect()}, "run_id": run_id, "parser_id": parser_id}
     _write_run(emit.sheet_contract(lines.orderBy("row_no"), supplier_id, parser_id, run_id, sheet, warehouse), stats, out, stats_out)
@@ -260,9 +260,10 @@ def curate_run(spark: SparkSession, manifest_path: str, out_dir: str, max_droppe
     checked = contract.parsed_lines(read_lines(spark, segment)).select("line_no", "value", contract.contract_violation(strict=False).alias("violation")).persist()
     rows = contract.typed_rows(checked.filter("violation is null")).withColumn("qty", F.col("parsed.qty"))
     counts = checked.agg(F.count("*").alias("input_lines"), F.count_if(F.col("violation") == "bad_json").alias("bad_json"), F.count_if(F.col("violation") != "bad_json").alias("bad_contract")).first().asDict()
-    counts |= rows.agg(F.count_if(contract.eligible(F.col("qty"))).alias("kept_lines"), F.count_if(~contract.eligible(F.col("qty"))).alias("dropped_lines"), F.min_by("effective_at", "line_no").alias("effective_at")).first().asDict()
-    dropped = rows.filter(~contract.eligible(F.col("qty")))
-    counts["drop_counts"] = {r["reason"]: r["n"] for r in dropped.groupBy(contract.drop_reason(F.col("qty")).alias("reason")).agg(F.count("*").alias("n")).collect()}
+    kept = contract.eligible(F.col("qty"))
+    reason = F.when(~kept, contract.drop_reason(F.col("qty")))
+    fates = rows.select("line_no", "effective_at", kept.alias("kept"), reason.alias("reason")).agg(F.count_if("kept").alias("kept_lines"), F.count_if(~F.col("kept")).alias("dropped_lines"), F.min_by("effective_at", "line_no").alias("effective_at"), *(F.count_if(F.col("reason") == r).alias(r) for r in contract.DROP_REASONS)).first().asDict()
+    counts |= {"drop_counts": {r: n for r in contract.DROP_REASONS if (n := fates.pop(r))}} | fates
     base = f"{out_dir}/{manifest['run_id']}"
     write_lines(rows.filter(contract.eligible(F.col("qty"))).orderBy("line_no").select("value"), f"{base}/curated.ndjson")
     sample = contract.first_dropped(rows, ["line_no"], max_dropped_samples).select(

@@ -55,6 +55,24 @@ def replace(source: str, target: str) -> None:
     _jvm().org.apache.hadoop.fs.FileContext.getFileContext(uri, _conf()).rename(fs.makeQualified(_at(source)[1]), fs.makeQualified(p), options)
 
 
+def join(parts: list[str], target: str) -> None:
+    """The bytes of files, one after the other, as one file; it takes its place when it is complete."""
+    fs, p = _at(f"{target}.tmp")
+    fs.mkdirs(p.getParent())
+    out = fs.create(p, True)
+    try:
+        for part in parts:
+            there, at = _at(part)
+            stream = there.open(at)
+            try:
+                _jvm().org.apache.hadoop.io.IOUtils.copyBytes(stream, out, 1 << 20, False)
+            finally:
+                stream.close()
+    finally:
+        out.close()
+    replace(f"{target}.tmp", target)
+
+
 def write_text(path: str, content: str) -> None:
     """Write beside the target, then rename over it."""
     fs, p = _at(f"{path}.tmp")

@@ -388,3 +388,36 @@ def test_windowed_counts_and_facts(spark, tmp_path):
     lines.write.parquet(str(tmp_path / "l"))
     inbox.append_facts(spark.readStream.schema(lines.schema).parquet(str(tmp_path / "l")), str(tmp_path / "f"), str(tmp_path / "c")).awaitTermination(60)
     assert os.path.isdir(tmp_path / "f" / "supplier_id=s" / "parser_id=p" / "month=2026-02")
+
+
+def test_lines_are_written_side_by_side(spark, tmp_path, monkeypatch):
+    """Partitions are parts of their own, joined in row order; no rows and one part make a file too."""
+    joined = []
+    real = runs.storage.join
+    monkeypatch.setattr(runs.storage, "join", lambda parts, target: (joined.append(len(parts)), real(parts, target)))
+    lines = spark.range(0, 1000, 1, 5).select(F.col("id").cast("string").alias("value"))
+    runs.write_lines(lines, str(tmp_path / "a.txt"))
+    assert (tmp_path / "a.txt").read_text() == "".join(f"{n}\n" for n in range(1000))
+    assert joined == [5] and sorted(p.name for p in tmp_path.iterdir() if not p.name.startswith(".")) == ["a.txt"]
+    runs.write_lines(lines.filter("id < 0"), str(tmp_path / "b.txt"))
+    runs.write_lines(lines.coalesce(1), str(tmp_path / "a.txt"))
+    assert (tmp_path / "b.txt").read_bytes() == b"" and len((tmp_path / "a.txt").read_text().split()) == 1000
+
+
+def test_objects_are_told_by_their_first_character(spark):
+    """Every kind of JSON text; the type name of a whole document is not worked out."""
+    values = ["{}", ' \t\r\n{"a":1}', "[{}]", "1", '"{"', "null", "{", "{} {}", "\u00a0{}", "\ufeff{}", "", None]
+    found = contract.parsed_lines(spark.createDataFrame([(v,) for v in values], "value string"))
+    assert [r["value"] for r in found.filter("doc is not null").collect()] == [*values[:2], "{} {}"]
+    assert "schema_of_variant" not in found._jdf.queryExecution().optimizedPlan().toString().lower().replace("schemaofvariant", "schema_of_variant")
+
+
+def test_curation_counts_every_reason_in_one_pass(spark, tmp_path):
+    """No line, and lines of every fate: counts as before, reasons without a line are left out."""
+    line = '{"ndjson_contract_version":"1","emitter_version":"1","supplier_id":"s","parser_id":"p","mapping_version":"1","mapping_hash":"h","run_id":"r","effective_at":"%s","sku_candidate_key":"k","raw":{},"parsed":{"price":1,"qty":%s},"quality_flags":[],"_meta":{"source_row_number":1}}'
+    for name, rows, want in (("none", [], (0, 0, {}, None)), ("some", [("b", "null"), ("a", "3"), ("a", "0"), ("a", "-1")], (1, 3, {"qty_missing": 1, "qty_nonpositive": 2}, "b"))):
+        runs.storage.write_text(f"{tmp_path}/{name}.ndjson", "".join(line % r + "\n" for r in rows))
+        runs.storage.write_text(f"{tmp_path}/{name}.json", runs.dump({"run_id": name, "paths": {"segment": f"{tmp_path}/{name}.ndjson"}}))
+        got = runs.curate_run(spark, f"{tmp_path}/{name}.json", str(tmp_path))
+        assert (got["kept_lines"], got["dropped_lines"], got["drop_counts"], got["effective_at"]) == want
+    assert set(contract.DROP_REASONS) == {"qty_missing", "qty_nonpositive", "unknown"}
