@@ -1,9 +1,9 @@
 """Text normalisation as column expressions.
 
 White space is spelled out: the set that a Unicode-aware strip removes, which
-neither the default trim nor an ASCII `\\s` covers. NFKC has no built-in
-expression, so it is the one Arrow function here, and only texts that are not
-plain ASCII reach it.
+neither the default trim nor an ASCII `\\s` covers. NFKC has no expression of
+its own: texts that are not plain ASCII go to the normaliser of ICU, which
+Spark ships for its collations, so that no row leaves the JVM for it.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 WS = "[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+WS_CHARS = "".join(map(chr, (*range(9, 14), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 ZERO_WIDTH = "[\u200b\u200c\u200d\ufeff]"
 ASCII_ONLY = "^[\\x00-\\x7F]*$"
 
@@ -28,12 +29,12 @@ def text(c: Column) -> Column:
 
 def strip(c: Column) -> Column:
     """Remove Unicode white space at both ends."""
-    return F.regexp_replace(c, f"^{WS}+|{WS}+$", "")
+    return F.btrim(c, F.lit(WS_CHARS))
 
 
 def norm_ws(c: Column) -> Column:
-    """Strip, and make every run of white space one blank."""
-    return strip(F.regexp_replace(text(c), f"{WS}+", " "))
+    """Strip, and make every run of white space one blank; then none but blanks are left to strip."""
+    return F.trim(F.regexp_replace(text(c), f"{WS}+", " "))
 
 
 def norm_header(c: Column) -> Column:
@@ -46,12 +47,6 @@ def norm_warehouse(c: Column) -> Column:
     return F.lower(norm_ws(c))
 
 
-@F.pandas_udf(StringType())
-def _nfkc(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for s in batches:
-        yield s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
-
-
 @F.pandas_udf(StringType())
 def _nfc(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for s in batches:
@@ -59,9 +54,13 @@ def _nfc(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 
 def nfkc(c: Column) -> Column:
-    """Compatibility composition; ASCII is left alone and never leaves the JVM's value."""
+    """Compatibility composition; ASCII is left alone.
+
+    Spark takes the call as not deterministic: where the result is used more
+    than once, it belongs in a column of its own.
+    """
     c = text(c)
-    return F.when(c.rlike(ASCII_ONLY), c).otherwise(_nfkc(F.when(~c.rlike(ASCII_ONLY), c)))
+    return F.when(c.rlike(ASCII_ONLY), c).otherwise(F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), c, F.lit(True)))
 
 
 def normalize_sku(c: Column) -> Column:

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarifold.functions import hashing, numeric
-from tarifold.functions.text import norm_warehouse, norm_ws, normalize_sku, sku_tail, text
+from tarifold.functions.text import nfkc, norm_warehouse, norm_ws, sku_tail, text
 from tarifold.sources.grid import header_index
 from tarifold.sources.mapping import Mapping
 
@@ -87,9 +87,9 @@ def emit_typed(rows: DataFrame, price_scale: int = 100, unicode_keys: bool = Tru
     The order of the tests is the contract: key, price, then quantity; a bad
     row is bad in every warehouse, a line without stock is skipped silently.
     """
-    key = normalize_sku if unicode_keys else sku_tail
-    first, second = key(F.col("article_primary")), key(F.col("article_fallback"))
-    keyed = rows.withColumn("sku", F.coalesce(F.nullif(first, F.lit("")), second))
+    keys = [nfkc(F.col(k)) if unicode_keys else F.col(k) for k in ("article_primary", "article_fallback")]
+    first, second = sku_tail(F.col("__first")), sku_tail(F.col("__second"))
+    keyed = rows.withColumns(dict(zip(("__first", "__second"), keys))).withColumn("sku", F.coalesce(F.nullif(first, F.lit("")), second))
     keyed = keyed.withColumn("article", F.coalesce(F.nullif(text(F.col("article_primary")), F.lit("")), text(F.col("article_fallback"))))
     keyed = keyed.withColumn("blank", all_empty()).withColumn("price", numeric.price_minor(F.col("price_raw"), price_scale))
     keyed = keyed.withColumn("warehouses", F.when(F.col("blank"), F.slice("warehouses", 1, 1)).otherwise(F.col("warehouses")))

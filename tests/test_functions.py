@@ -73,3 +73,27 @@ def test_hashing(spark, tmp_path):
     assert hashing.sha256_file(str(tmp_path / "a"), lf=True) == hashing.sha256_file(str(tmp_path / "b"))
     row = spark.range(1).select(hashing.fallback_sku(F.lit(""), F.lit(" "), F.lit("b"), F.lit("n")).alias("x")).first()["x"]
     assert (row["value"], row["flags"]) == ("unknown_sku_6ab771b7f5fd", ["missing_sku"])
+
+
+def test_nfkc_stays_in_the_jvm(spark):
+    """All characters of the basic plane that NFKC changes, and sequences, as Python has them; no Python step in the plan."""
+    import unicodedata
+
+    from tarifold.operators import emit
+
+    changed = [c for c in map(chr, range(0x80, 0xD800)) if unicodedata.normalize("NFKC", c) != c] + ["e\u0301", "\ufb01x", "\uff21\uff11 ", "\u1100\u1161", "plain"]
+    rows = spark.createDataFrame([(i, c) for i, c in enumerate(changed)], "i int, c string")
+    assert len(changed) > 1000
+    for r in rows.select("c", text.nfkc(F.col("c")).alias("n")).collect():
+        assert r["n"] == unicodedata.normalize("NFKC", r["c"])
+    source = rows.select(F.col("i").alias("row_no"), F.col("c").alias("article_primary"), *(F.lit("").alias(k) for k in ("article_fallback", "brand", "name", "price_raw")), F.array(F.struct(F.lit("w").alias("name"), F.lit("1").alias("qty_raw"))).alias("warehouses"))
+    assert "Python" not in emit.emit_typed(source)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_strip_removes_every_white_space(spark):
+    """The set that Python's str.strip removes, at both ends and not inside."""
+    blank = [chr(c) for c in range(0x3100) if chr(c).isspace()]
+    assert "".join(blank) == text.WS_CHARS
+    values = [f"{b}{b} a{b}b {b}" for b in blank] + ["".join(blank), "", "\u200b x\u180e"]
+    assert apply(spark, text.strip, values) == [v.strip() for v in values]
+    assert apply(spark, text.norm_ws, values) == [" ".join(v.split()) for v in values]
