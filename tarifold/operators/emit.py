@@ -2,7 +2,8 @@
 
 Every emitter is one plan. Prices and keys are parsed once per source row,
 below the explode; warehouses are exploded from an array, which is a narrow
-operation; the fate of a line is one CASE. No step shuffles.
+operation; the fate of a line is one CASE. No step shuffles; a source of many
+rows in few partitions is spread before it (spread).
 
 A price row has: row_no, article_primary, article_fallback, brand, name,
 price_raw and warehouses array<struct<name,qty_raw>>.
@@ -21,6 +22,13 @@ from tarifold.sources.grid import header_index
 from tarifold.sources.mapping import Mapping
 
 NDJSON_CONTRACT, EMITTER = "1.0.0", "1.0.0"
+#: Rows up to which an emitter may have them in one task.
+SPREAD_ROWS = 20_000
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """Many rows shuffled over all cores before the parsing, which costs more than the shuffle: a file with one row group is one task."""
+    return rows.repartition("row_no") if rows.limit(SPREAD_ROWS + 1).count() > SPREAD_ROWS else rows
 
 
 def cell(position: int) -> Column:

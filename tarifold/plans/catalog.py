@@ -40,10 +40,11 @@ def price_list(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("p_partkey")
     price = _cases(k % 17, {0: "", 1: "abc", 2: "0", 3: "-5"}, F.col("p_retailprice").cast("decimal(18,2)").cast("string"))
     stock = F.array(*(F.struct(F.lit(n).alias("name"), _qty(k, pos).alias("qty_raw")) for pos, n in enumerate(WAREHOUSES, 1)))
-    return _read(spark, sf, "part").select(
+    rows = _read(spark, sf, "part").select(
         k.alias("row_no"), F.when(k % 13 == 0, "").otherwise(F.concat(F.lit(" P"), k.cast("string"), F.lit(" "))).alias("article_primary"), F.when(k % 26 == 0, "").otherwise(F.concat(F.lit("C"), k.cast("string"))).alias("article_fallback"),
         F.col("p_brand").alias("brand"), F.col("p_name").alias("name"), price.alias("price_raw"), stock.alias("warehouses"),
     )
+    return emit.spread(rows)
 
 
 def _wh_sql() -> str:

@@ -97,3 +97,16 @@ def test_strip_removes_every_white_space(spark):
     values = [f"{b}{b} a{b}b {b}" for b in blank] + ["".join(blank), "", "\u200b x\u180e"]
     assert apply(spark, text.strip, values) == [v.strip() for v in values]
     assert apply(spark, text.norm_ws, values) == [" ".join(v.split()) for v in values]
+
+
+def test_many_rows_are_spread(spark, sf, monkeypatch):
+    """A price list of many rows in one file is shuffled before it is parsed; the lines are the same."""
+    from tarifold.operators import emit
+    from tarifold.plans import catalog
+
+    few = catalog.q_emit_strings(spark, sf)
+    monkeypatch.setattr(emit, "SPREAD_ROWS", 50)
+    many = catalog.q_emit_strings(spark, sf)
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan(few) and "Exchange" in plan(many)
+    assert sorted(map(str, few.collect())) == sorted(map(str, many.collect()))
