@@ -172,3 +172,23 @@ def test_memory_does_not_grow_with_the_text():
         peak = tracemalloc.get_traced_memory()[1]
         tracemalloc.stop()
         assert peak < 40e6, (len(raw), peak)
+
+
+def test_the_set_of_errors_is_worked_out_once_a_pair(spark):
+    """Every number of errors, each symbol: the distance and one row a pair; the join itself compares no signatures."""
+    base = np.arange(hj.SYMBOLS, dtype=np.uint8)
+    sigs = [base]
+    for s in range(hj.SYMBOLS):
+        sigs.append(base.copy())
+        sigs[-1][s] ^= 128
+    for n in range(2, 17):
+        sigs.append(base.copy())
+        sigs[-1][:: hj.SYMBOLS // n][:n] ^= 64
+    lanes = [[int(x) for x in s.view(np.int64)] for s in sigs]
+    frame = spark.createDataFrame([(i, *x) for i, x in enumerate(lanes)], "doc_id long, " + ", ".join(f"s{i} long" for i in range(hj.LANES)))
+    found = hj.hamming_pairs(frame)
+    want = {(i, j): d for i in range(len(sigs)) for j in range(i + 1, len(sigs)) if (d := int((sigs[i] != sigs[j]).sum())) <= hj.MAX_DISTANCE}
+    rows = [(r["doc_a"], r["doc_b"], r["distance"]) for r in found.collect()]
+    assert {(a, b): d for a, b, d in rows} == want and len(rows) == len(want)
+    joins = [x for x in found._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join" in x]
+    assert joins and not any("^" in x for x in joins)
