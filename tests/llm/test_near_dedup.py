@@ -192,3 +192,10 @@ def test_the_set_of_errors_is_worked_out_once_a_pair(spark):
     assert {(a, b): d for a, b, d in rows} == want and len(rows) == len(want)
     joins = [x for x in found._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join" in x]
     assert joins and not any("^" in x for x in joins)
+
+
+def test_exploded_keys_are_never_broadcast(spark, tmp_path):
+    """A small table of signatures stands for forty times its rows: Spark's estimate would let it be broadcast."""
+    spark.range(50).selectExpr("id as doc_id", *(f"id as s{i}" for i in range(hj.LANES))).write.parquet(str(tmp_path / "sigs"))
+    plan = hj.hamming_pairs(spark.read.parquet(str(tmp_path / "sigs")))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
